@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwright.llm import tokens
+from parcelwright.llm import langid, tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,8 +19,29 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def _languages(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.detect(_table(spark, folder, "documents").select("doc_id", "text"), langid.fit(_table(spark, folder, "lang_samples")))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The languages of each document that has several, or whose label is missing or wrong."""
+    documents = _table(spark, folder, "documents")
+    model = langid.fit(_table(spark, folder, "lang_samples"))
+    labels = documents.select("doc_id", "text", langid.label_code(F.col("lang")).alias("label"))
+    found = langid.detect(labels, model, keep="label")
+    case = (F.size("languages") > 1) | ((F.size("languages") == 1) & (F.col("languages")[0] != F.col("label")))
+    return found.where(case).select("doc_id", F.explode("languages").alias("lang"))
+
+
+def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's language with its confidence, and each segment of another language with its own."""
+    found = _languages(spark, folder)
+    other = F.filter("segments", lambda s: s["lang"] != F.col("lang"))
+    return found.select("doc_id", "lang", F.round("confidence", 6).alias("confidence"), F.explode_outer(other).alias("s")).select("doc_id", "lang", "confidence", F.col("s.start").alias("segment_start"), F.col("s.end").alias("segment_end"), F.col("s.lang").alias("segment_lang"), F.round("s.confidence", 6).alias("segment_confidence"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids}
+    return {"p6_ids": p6_ids, "p8_found": p8_found, "p8_segments": p8_segments}
 
 
 def oracle_sql() -> dict[str, str]:
