@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwright.llm import langid, tokens
+from parcelwright.llm import langid, tokens, truncation
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The values of message and reply that lost their end."""
+    return truncation.judge(_table(spark, folder, "chat_turns")).where("posterior >= 0.5").select("turn_id", "field_name").distinct()
+
+
+def p3_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each source cuts each field; a turn delivered twice counts once."""
+    judged = truncation.judge(_table(spark, folder, "chat_turns")).select("turn_id", "source", "field_name", "length", "posterior").distinct()
+    cut = (F.col("posterior") >= 0.5).cast("int")
+    return judged.groupBy("source", "field_name").agg(F.count("*").alias("texts"), F.sum(cut).alias("cut_texts"), F.round(F.avg(cut), 6).alias("share"), F.max(F.when(cut == 1, F.col("length"))).alias("longest_cut"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The ids of each document under byte_bpe_50k."""
     return tokens.encode(_table(spark, folder, "documents").select("doc_id", "text"))
@@ -41,7 +53,7 @@ def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids, "p8_found": p8_found, "p8_segments": p8_segments}
+    return {"p3_found": p3_found, "p3_sources": p3_sources, "p6_ids": p6_ids, "p8_found": p8_found, "p8_segments": p8_segments}
 
 
 def oracle_sql() -> dict[str, str]:
