@@ -7,13 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwright.llm import langid, tokens, truncation
+from parcelwright.llm import langid, survivors, tokens, truncation
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _parcels(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return _table(spark, folder, "parcels"), _table(spark, folder, "villages"), _table(spark, folder, "parcel_sources")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The pairs of records of one parcel, with the record that survives of their set."""
+    return survivors.same_parcel_pairs(*_parcels(spark, folder))
+
+
+def p2_survivors(spark: SparkSession, folder: str) -> DataFrame:
+    """The surviving record of each parcel, field by field."""
+    return survivors.survivors(*_parcels(spark, folder))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """The values of message and reply that lost their end."""
     return truncation.judge(_table(spark, folder, "chat_turns")).where("posterior >= 0.5").select("turn_id", "field_name").distinct()
@@ -53,7 +67,7 @@ def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_sources": p3_sources, "p6_ids": p6_ids, "p8_found": p8_found, "p8_segments": p8_segments}
+    return {"p2_found": p2_found, "p2_survivors": p2_survivors, "p3_found": p3_found, "p3_sources": p3_sources, "p6_ids": p6_ids, "p8_found": p8_found, "p8_segments": p8_segments}
 
 
 def oracle_sql() -> dict[str, str]:

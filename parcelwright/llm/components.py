@@ -1,0 +1,32 @@
+"""Connected components by labels that spread along edges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from parcelwright.plans.checkpoints import materialise
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, label: the smallest node of each component.
+
+    ``nodes`` (node long), ``edges`` (a long, b long). Each round a node takes the smallest label among its own, its
+    neighbours' and that of its label's node, so chains shorten by jumping; it ends when no label changes. Nothing is
+    collected but the number of changes; each round is written to the shared folder. Nodes without edges keep their
+    own label; edges may repeat or join a node to itself; nulls have no edges.
+    """
+    both = materialise(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")).distinct())
+    touched = both.select(F.col("a").alias("node")).distinct()
+    labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    while True:
+        offered = both.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "label")
+        jumped = labels.alias("l").join(labels.alias("r"), F.col("l.label") == F.col("r.node")).select(F.col("l.node").alias("node"), F.col("r.label").alias("label"))
+        spread = offered.unionByName(jumped).groupBy("node").agg(F.min("label").alias("offer"))
+        following = materialise(labels.join(spread, "node", "left").select("node", F.least("label", F.coalesce("offer", "label")).alias("label"), (F.coalesce("offer", "label") < F.col("label")).alias("changed")))
+        changed = following.where("changed").limit(1).count()
+        labels = following.select("node", "label")
+        if not changed:
+            break
+    alone = nodes.select("node").where("node IS NOT NULL").distinct().join(touched, "node", "left_anti").select("node", F.col("node").alias("label"))
+    return labels.unionByName(alone)
