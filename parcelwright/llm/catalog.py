@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwright.llm import langid, survivors, tokens, truncation
+from parcelwright.llm import langid, linking, survivors, tokens, truncation
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,6 +40,16 @@ def p3_sources(spark: SparkSession, folder: str) -> DataFrame:
     return judged.groupBy("source", "field_name").agg(F.count("*").alias("texts"), F.sum(cut).alias("cut_texts"), F.round(F.avg(cut), 6).alias("share"), F.max(F.when(cut == 1, F.col("length"))).alias("longest_cut"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The field sketches and all parcel records of the same plot."""
+    return linking.link(_table(spark, folder, "fmb_errors"), *_parcels(spark, folder)).select("fmb_id", "parcel_id")
+
+
+def p4_links(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the rule that found each match and the confidence in it."""
+    return linking.link(_table(spark, folder, "fmb_errors"), *_parcels(spark, folder)).withColumn("confidence", F.round("confidence", 6))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The ids of each document under byte_bpe_50k."""
     return tokens.encode(_table(spark, folder, "documents").select("doc_id", "text"))
@@ -67,7 +77,7 @@ def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_survivors": p2_survivors, "p3_found": p3_found, "p3_sources": p3_sources, "p6_ids": p6_ids, "p8_found": p8_found, "p8_segments": p8_segments}
+    return {"p2_found": p2_found, "p2_survivors": p2_survivors, "p3_found": p3_found, "p3_sources": p3_sources, "p4_found": p4_found, "p4_links": p4_links, "p6_ids": p6_ids, "p8_found": p8_found, "p8_segments": p8_segments}
 
 
 def oracle_sql() -> dict[str, str]:
