@@ -33,7 +33,7 @@ def test_cascade(spark):
     wide = [(x + 300, y), (x + 400, y), (x + 400, y + 50), (x + 300, y + 50)]
     parcels = [
         (1, "12/1", "Oradam", 7, square(x, y), "EPSG:32643", 0.36, "wet", "good", None, "o", 1),
-        (2, "12/1", "Oradam", 7, square(x, y, jitter=1.0), "EPSG:32643", 0.36, "wet", "poor", None, "o", 1),
+        (2, "12/1", "Oradam", 7, square(x, y, jitter=0.1), "EPSG:32643", 0.36, "wet", "poor", None, "o", 1),
         (3, "12/2", "Oradam", 7, square(x + 60, y), "EPSG:32643", 0.36, "wet", "good", None, "o", 1),
         (4, "345", "Oradam", 7, wide, "EPSG:32643", 0.5, "wet", "good", None, "o", 1),
         (5, "12/1", "Vadagar", 8, square(x + 9000, y, side=80.0), "EPSG:32643", 0.64, "wet", "good", None, "o", 1),
