@@ -1,4 +1,4 @@
-"""The registered queries over training data and their oracle SQL."""
+"""The registered queries over training data and their oracle SQL; each query loads the modules it needs."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwright.llm import langid, linking, survivors, tokens, truncation
-
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -20,21 +18,29 @@ def _parcels(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Da
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """The pairs of records of one parcel, with the record that survives of their set."""
+    from parcelwright.llm import survivors
+
     return survivors.same_parcel_pairs(*_parcels(spark, folder))
 
 
 def p2_survivors(spark: SparkSession, folder: str) -> DataFrame:
     """The surviving record of each parcel, field by field."""
+    from parcelwright.llm import survivors
+
     return survivors.survivors(*_parcels(spark, folder))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """The values of message and reply that lost their end."""
+    from parcelwright.llm import truncation
+
     return truncation.judge(_table(spark, folder, "chat_turns")).where("posterior >= 0.5").select("turn_id", "field_name").distinct()
 
 
 def p3_sources(spark: SparkSession, folder: str) -> DataFrame:
     """How often each source cuts each field; a turn delivered twice counts once."""
+    from parcelwright.llm import truncation
+
     judged = truncation.judge(_table(spark, folder, "chat_turns")).select("turn_id", "source", "field_name", "length", "posterior").distinct()
     cut = (F.col("posterior") >= 0.5).cast("int")
     return judged.groupBy("source", "field_name").agg(F.count("*").alias("texts"), F.sum(cut).alias("cut_texts"), F.round(F.avg(cut), 6).alias("share"), F.max(F.when(cut == 1, F.col("length"))).alias("longest_cut"))
@@ -42,25 +48,35 @@ def p3_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """The field sketches and all parcel records of the same plot."""
+    from parcelwright.llm import linking
+
     return linking.link(_table(spark, folder, "fmb_errors"), *_parcels(spark, folder)).select("fmb_id", "parcel_id")
 
 
 def p4_links(spark: SparkSession, folder: str) -> DataFrame:
     """The same with the rule that found each match and the confidence in it."""
+    from parcelwright.llm import linking
+
     return linking.link(_table(spark, folder, "fmb_errors"), *_parcels(spark, folder)).withColumn("confidence", F.round("confidence", 6))
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The ids of each document under byte_bpe_50k."""
+    from parcelwright.llm import tokens
+
     return tokens.encode(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
 def _languages(spark: SparkSession, folder: str) -> DataFrame:
+    from parcelwright.llm import langid
+
     return langid.detect(_table(spark, folder, "documents").select("doc_id", "text"), langid.fit(_table(spark, folder, "lang_samples")))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """The languages of each document that has several, or whose label is missing or wrong."""
+    from parcelwright.llm import langid
+
     documents = _table(spark, folder, "documents")
     model = langid.fit(_table(spark, folder, "lang_samples"))
     labels = documents.select("doc_id", "text", langid.label_code(F.col("lang")).alias("label"))

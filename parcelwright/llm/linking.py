@@ -53,7 +53,7 @@ def prepare_sketches(sketches: DataFrame, villages: DataFrame) -> DataFrame:
     )
     read = read.withColumns({"district": name_key(F.col("district")), "taluk": name_key(F.col("taluk")), "f1": name_key(F.col("v")), "f2": F.when(F.col("v").rlike(r"^T\p{Lu}"), name_key(F.expr("substring(v, 2)")))})
     spelled = read.select(F.explode(F.array("h", "f1", "f2")).alias("name"))
-    found = resolve_villages(spelled, villages)
+    found = materialise(resolve_villages(spelled, villages))
     for column in ("h", "f1", "f2"):
         read = read.join(found.select(F.col("name").alias(column), F.col("codes").alias(f"codes_{column}")), column, "left")
     none = F.array().cast("array<bigint>")
@@ -61,6 +61,7 @@ def prepare_sketches(sketches: DataFrame, villages: DataFrame) -> DataFrame:
     filed = F.when(F.size(F.coalesce("codes_f1", none)) > 0, F.col("codes_f1")).otherwise(F.coalesce("codes_f2", none))
     both = F.array_intersect(header, filed)
     read = read.withColumn("codes", F.when(F.size(both) > 0, both).otherwise(F.array_union(header, filed)))
+    read = materialise(read)
     # a district and taluk tell villages of one name apart
     where = villages.select(F.col("lgd_village_code").alias("code"), name_key(F.col("taluk")).alias("taluk"), name_key(F.col("district")).alias("district"))
     many = read.where(F.size("codes") > 1).select("fmb_id", "taluk", "district", F.explode("codes").alias("code"))
@@ -107,13 +108,20 @@ def _fits(value: str, other: str, error: float) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """name; keys of a sketch and of a plot (array columns of the same type); condition; whether a near tie is refused; the evidence outside the rule."""
+    """name; condition beside its keys; whether a near tie is refused."""
 
     name: str
+    condition: Callable[[], Column]
+    strict: bool = False
+
+
+@dataclass(frozen=True)
+class Pass:
+    """Rules on the same keys, strong to weak: keys of a sketch and of a plot (arrays), the rules, the evidence outside them."""
+
     sketch_keys: Callable[[], Column]
     plot_keys: Callable[[], Column]
-    condition: Callable[[], Column]
-    strict: bool
+    rules: tuple[Rule, ...]
     confirmed: Callable[[], Column]
 
 
@@ -128,7 +136,7 @@ def _tiles(x: str, y: str, around: bool) -> Column:
     return F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), made)
 
 
-def rules() -> list[Rule]:
+def passes() -> list[Pass]:
     yes, no = F.lit(True), F.lit(False)
     area, length = lambda: _fits("area", "plot_area", AREA_ERROR), lambda: _fits("perimeter", "plot_perimeter", PERIMETER_ERROR)
     near = lambda: _far() <= REACH
@@ -141,14 +149,24 @@ def rules() -> list[Rule]:
     numbered = lambda: _pairs(F.col("codes"), F.col("numbers"))
     plot_numbered = lambda: F.array(F.concat_ws("|", F.col("code").cast("string"), F.col("number")))
     sized = lambda: maybe(area()) & maybe(length())
+    village_main = lambda: F.array(F.concat_ws("|", F.col("code").cast("string"), main_number(F.col("number"))))
+    open_digit = lambda: F.transform(wildcards(F.col("number")), lambda w: F.concat_ws("|", F.col("code").cast("string"), w))
+    whole = lambda: F.exists("numbers", lambda n: ~n.contains("/"))
+    unknown = lambda: F.col("number").isNull() | (F.size("numbers") == 0)
     return [
-        Rule("village, number, size", numbered, plot_numbered, lambda: surely(area()) & maybe(length()) & maybe(near()), False, lambda: near()),
-        Rule("village, number", numbered, plot_numbered, lambda: sized() & maybe(near()), False, lambda: near()),
-        Rule("place, number", lambda: _tiles("x", "y", True), lambda: _tiles("cx", "cy", False), lambda: surely(near()) & sized() & same(), False, by_village),
-        Rule("place, main number, size", lambda: _tiles("x", "y", True), lambda: _tiles("cx", "cy", False), lambda: surely(near()) & sized() & same_main(), False, by_village),
-        Rule("place, misread number", lambda: _tiles("x", "y", True), lambda: _tiles("cx", "cy", False), lambda: surely(near()) & sized() & (surely(area()) | surely(length())) & (one_off() | F.col("number").isNull() | (F.size("numbers") == 0)), False, by_village),
-        Rule("village, main number, size", lambda: _pairs(F.col("codes"), F.col("mains")), lambda: F.array(F.concat_ws("|", F.col("code").cast("string"), main_number(F.col("number")))), lambda: sized() & (surely(area()) | surely(length())) & maybe(near()) & F.exists("numbers", lambda n: ~n.contains("/")), True, lambda: near()),
-        Rule("village, misread number, size", lambda: _pairs(F.col("codes"), F.flatten(F.transform("numbers", wildcards))), lambda: F.transform(wildcards(F.col("number")), lambda w: F.concat_ws("|", F.col("code").cast("string"), w)), lambda: surely(area()) & surely(length()) & maybe(near()), True, lambda: near()),
+        Pass(numbered, plot_numbered, (Rule("village, number, size", lambda: surely(area()) & maybe(length()) & maybe(near())), Rule("village, number", lambda: sized() & maybe(near()))), near),
+        Pass(
+            lambda: _tiles("x", "y", True),
+            lambda: _tiles("cx", "cy", False),
+            (
+                Rule("place, number", lambda: surely(near()) & sized() & same()),
+                Rule("place, main number, size", lambda: surely(near()) & sized() & same_main()),
+                Rule("place, misread number", lambda: surely(near()) & sized() & (surely(area()) | surely(length())) & (one_off() | unknown())),
+            ),
+            by_village,
+        ),
+        Pass(lambda: _pairs(F.col("codes"), F.col("mains")), village_main, (Rule("village, main number, size", lambda: sized() & (surely(area()) | surely(length())) & maybe(near()) & whole(), True),), near),
+        Pass(lambda: _pairs(F.col("codes"), F.flatten(F.transform("numbers", wildcards))), open_digit, (Rule("village, misread number, size", lambda: surely(area()) & surely(length()) & maybe(near()), True),), near),
     ]
 
 
@@ -168,18 +186,20 @@ def link(sketches: DataFrame, parcels: DataFrame, villages: DataFrame, sources:
     waiting = materialise(prepare_sketches(single, villages))
     plots, members = prepare_plots(parcels.where("parcel_id IS NOT NULL").dropDuplicates(["parcel_id"]), villages, sources)
     resolved = None
-    for rule in rules():
-        asked = waiting.withColumn("k", F.explode(rule.sketch_keys()))
-        offered = plots.withColumn("k", F.explode(rule.plot_keys()))
-        # the evidence that the condition leaves open: a place is judged by the village and a village by the place
-        fits = asked.join(offered, "k").where(rule.condition()).withColumns({"misfit": _misfit(), "confirmed": rule.confirmed(), "exact": F.array_contains("numbers", F.col("number")).cast("int")})
-        ranked = fits.select("fmb_id", "object", "misfit", "confirmed", F.coalesce("exact", F.lit(0)).alias("exact")).distinct().groupBy("fmb_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("exact")).alias("other"), "misfit", "object", "confirmed"))).alias("c"))
-        first, second = F.get("c", F.lit(0)), F.get("c", F.lit(1))
-        if rule.strict:
-            ranked = ranked.where(second.isNull() | (second["misfit"] - first["misfit"] >= TIE))
-        done = materialise(ranked.select("fmb_id", first["object"].alias("object"), first["confirmed"].alias("confirmed"), F.lit(rule.name).alias("rule")))
+    for step in passes():
+        rule = F.lit(None).cast("int")
+        for i, r in reversed(list(enumerate(step.rules))):
+            rule = F.when(F.coalesce(r.condition(), F.lit(False)), i).otherwise(rule)
+        left = waiting if resolved is None else waiting.join(resolved, "fmb_id", "left_anti")
+        fits = left.withColumn("k", F.explode(step.sketch_keys())).join(plots.withColumn("k", F.explode(step.plot_keys())), "k")
+        fits = fits.withColumns({"rule": rule, "misfit": _misfit(), "confirmed": step.confirmed(), "exact": F.coalesce(F.array_contains("numbers", F.col("number")).cast("int"), F.lit(0))}).where("rule IS NOT NULL")
+        # one plot may be met by several keys: it is one candidate
+        once = fits.groupBy("fmb_id", "object").agg(F.min(F.struct("rule", -F.col("exact"), "misfit", "confirmed")).alias("c"))
+        ranked = once.groupBy("fmb_id").agg(F.min(F.struct("c", "object")).alias("first"), F.slice(F.sort_array(F.collect_list("c.misfit")), 1, 2).alias("best"))
+        strict = F.lit(all(r.strict for r in step.rules))
+        clear = ~strict | (F.size("best") < 2) | (F.get("best", F.lit(1)) - F.get("best", F.lit(0)) >= TIE)
+        names = F.array(*[F.lit(r.name) for r in step.rules])
+        done = materialise(ranked.where(clear).select("fmb_id", F.col("first.object").alias("object"), F.col("first.c.confirmed").alias("confirmed"), F.get(names, F.col("first.c.rule")).alias("rule")))
         resolved = done if resolved is None else resolved.unionByName(done)
-        waiting = waiting.join(done, "fmb_id", "left_anti")
-        waiting = materialise(waiting)
     trust = resolved.groupBy("rule").agg(((F.count_if("confirmed") + 1.0) / (F.count("confirmed") + 2.0)).alias("confidence"))
     return resolved.join(members, "object").join(trust, "rule").select("fmb_id", "parcel_id", "rule", "confidence")

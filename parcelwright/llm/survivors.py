@@ -107,7 +107,7 @@ def group_records(parcels: DataFrame, villages: DataFrame, sources: DataFrame) -
     one parcel by number and village. A record with neither stays alone.
     """
     records = materialise(clean(parcels, villages))
-    placed = records.join(place_groups(records), "parcel_id", "left")
+    placed = materialise(records.join(place_groups(records), "parcel_id", "left"))
     claims = placed.where("object IS NOT NULL")
     start = sources.select("source", (F.col("trust") / (F.lit(1.0) + F.col("trust"))).alias("weight"))
     told = claims.select("object", F.lit("survey").alias("field"), F.col("survey").alias("value"), "source").unionByName(claims.select("object", F.lit("code").alias("field"), F.col("code").cast("string").alias("value"), "source"))
