@@ -67,6 +67,20 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def p7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """A container for each document in each context."""
+    from parcelwright.llm import packing
+
+    return packing.pack(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "contexts"))
+
+
+def p7_usage(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers and unused space of each context."""
+    from parcelwright.llm import packing
+
+    return packing.usage(p7_packing(spark, folder), _table(spark, folder, "contexts"))
+
+
 def _languages(spark: SparkSession, folder: str) -> DataFrame:
     from parcelwright.llm import langid
 
@@ -93,7 +107,7 @@ def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_survivors": p2_survivors, "p3_found": p3_found, "p3_sources": p3_sources, "p4_found": p4_found, "p4_links": p4_links, "p6_ids": p6_ids, "p8_found": p8_found, "p8_segments": p8_segments}
+    return {"p2_found": p2_found, "p2_survivors": p2_survivors, "p3_found": p3_found, "p3_sources": p3_sources, "p4_found": p4_found, "p4_links": p4_links, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_usage": p7_usage, "p8_found": p8_found, "p8_segments": p8_segments}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -41,7 +41,7 @@ class Context:
 def fill(tokens: np.ndarray, loss: np.ndarray, capacity: int, segments: int, loss_limit: int) -> np.ndarray:
     """The container (0, 1, ...) of each item, within the three limits; every item must fit an empty container.
 
-    Weights are the demand of each limit relative to its capacity; ties go to the item with more tokens, then more
+    Weights are the demand of each limit relative to its capacity. Ties go to the item with more tokens, then more
     loss-bearing tokens, and among equal items to the first.
     """
     n = len(tokens)
@@ -59,6 +59,8 @@ def fill(tokens: np.ndarray, loss: np.ndarray, capacity: int, segments: int, los
     limits = np.array([capacity, segments, loss_limit], np.float64)
     share = np.array([tokens.sum(), n, loss.sum()], np.float64) / limits
     weight = share / share.sum() / limits**2  # both factors of the product are taken relative to the limit
+    # where segments are scarcest, large items would waste them: the product is then divided by the length of the item's vector
+    norm = np.sqrt((share / share.sum()) @ np.stack([(t / limits[0]) ** 2, np.full(len(t), limits[1] ** -2.0), (b / limits[2]) ** 2])) if share.argmax() == 1 else np.ones(len(t))
     live = np.arange(len(kinds))
     container, room = 0, limits.copy()
     for _ in range(n):
@@ -69,7 +71,7 @@ def fill(tokens: np.ndarray, loss: np.ndarray, capacity: int, segments: int, los
             container += 1
             room = limits.copy()
             fits = left[live] > 0
-        score = np.where(fits, t[live] * (weight[0] * room[0]) + weight[1] * room[1] + b[live] * (weight[2] * room[2]), -1.0)
+        score = np.where(fits, t[live] * (weight[0] * room[0]) + weight[1] * room[1] + b[live] * (weight[2] * room[2]), -1.0) / norm[live]
         k = int(live[int(score.argmax())])
         out[order[first[k] + taken[k]]] = container
         taken[k] += 1
@@ -127,17 +129,14 @@ def pack(documents: DataFrame, contexts: DataFrame, pack_rows: int = PACK_ROWS,
     document is never split unless it alone exceeds the capacity; then its pieces (numbered from 0, piece_start being
     the first token) are full but for the last. A container holds at most its capacity of tokens, one segment for
     each SEGMENT_TOKENS of it (at least one), and loss_share of the capacity in loss-bearing tokens, which are all but a
-    document's first ``loss_free`` ones, as nothing predicts those; a piece whose loss alone exceeds the limit can't be
-    placed, so loss_share must be 1 unless the capacity limits loss below that. A null, empty or blank-free text of no tokens has
-    a row with 0 tokens. Rows that repeat are placed each; a null doc_id is kept; other columns are ignored; no
+    document's first ``loss_free`` ones, as nothing predicts those. A null or empty text has a row with 0 tokens. Rows that repeat are placed each; a null doc_id is kept; other columns are ignored; no
     documents or no contexts give no rows. Containers are numbered apart for each pack and context.
     """
     table = contexts.where("context_id IS NOT NULL AND tokenizer IS NOT NULL AND capacity > 0").select("context_id", "tokenizer", "capacity").distinct().orderBy("context_id", "tokenizer", "capacity").limit(MOST_CONTEXTS + 1).collect()
     if len(table) > MOST_CONTEXTS:
         raise ValueError(f"more than {MOST_CONTEXTS} contexts")
-    if loss_share < 1.0 or loss_share > 1.0:
-        if loss_share <= 0:
-            raise ValueError("loss_share must be positive")
+    if loss_share < 1.0:
+        raise ValueError("a piece may bear loss on every token, so loss_share must be at least 1")
     wanted = [Context(r.context_id, r.tokenizer, int(r.capacity), max(1, int(r.capacity) // SEGMENT_TOKENS), max(1, int(r.capacity * loss_share))) for r in table]
     if not wanted:
         return documents.sparkSession.createDataFrame([], PLACED)
