@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelwright.plans import land
+from parcelwright.plans import land, relational
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**land.QUERIES}
+    return {**land.QUERIES, **relational.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**land.ORACLE}
+    return {**land.ORACLE, **relational.ORACLE}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return land.p1_found(spark, folder)
+    return relational.village_candidates(spark, folder)
