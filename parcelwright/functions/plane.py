@@ -7,8 +7,6 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
-
 
 def orientation(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Direction of a line without its sense, in [0, 180)."""
@@ -24,7 +22,7 @@ def angle_between(a: Column, b: Column) -> Column:
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Distance of a point from a segment."""
     length2 = (bx - ax) * (bx - ax) + (by - ay) * (by - ay)
-    t = F.when(length2 == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(ZERO, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / F.when(length2 == 0, 1.0).otherwise(length2))))
+    t = F.when(length2 == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / F.when(length2 == 0, 1.0).otherwise(length2))))
     return F.hypot(px - (ax + t * (bx - ax)), py - (ay + t * (by - ay)))
 
 
@@ -32,7 +30,7 @@ def projected_overlap(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
     """Overlap of two intervals as a share of the shorter one."""
     low, high = F.greatest(F.least(a1, a2), F.least(b1, b2)), F.least(F.greatest(a1, a2), F.greatest(b1, b2))
     shorter = F.least(F.abs(a2 - a1), F.abs(b2 - b1))
-    return F.when(shorter > 0, F.greatest(ZERO, high - low) / shorter).otherwise(0.0)
+    return F.when(shorter > 0, F.greatest(F.lit(0.0), high - low) / shorter).otherwise(0.0)
 
 
 def boxes_overlap(ax0: Column, ay0: Column, ax1: Column, ay1: Column, bx0: Column, by0: Column, bx1: Column, by1: Column) -> Column:
@@ -41,7 +39,7 @@ def boxes_overlap(ax0: Column, ay0: Column, ax1: Column, ay1: Column, bx0: Colum
 
 
 def box_overlap_area(ax0: Column, ay0: Column, ax1: Column, ay1: Column, bx0: Column, by0: Column, bx1: Column, by1: Column) -> Column:
-    return F.greatest(ZERO, F.least(ax1, bx1) - F.greatest(ax0, bx0)) * F.greatest(ZERO, F.least(ay1, by1) - F.greatest(ay0, by0))
+    return F.greatest(F.lit(0.0), F.least(ax1, bx1) - F.greatest(ax0, bx0)) * F.greatest(F.lit(0.0), F.least(ay1, by1) - F.greatest(ay0, by0))
 
 
 def closed_pairs(ring: Column) -> Column:
@@ -53,12 +51,12 @@ def closed_pairs(ring: Column) -> Column:
 def ring_area(ring: Column) -> Column:
     """Area by the shoelace formula about the first vertex; 0 with fewer than three vertices."""
     o = F.get(ring, F.lit(0))
-    cross = F.aggregate(closed_pairs(ring), ZERO, lambda s, e: s + (e["x1"] - o["x"]) * (e["y2"] - o["y"]) - (e["x2"] - o["x"]) * (e["y1"] - o["y"]))
+    cross = F.aggregate(closed_pairs(ring), F.lit(0.0), lambda s, e: s + (e["x1"] - o["x"]) * (e["y2"] - o["y"]) - (e["x2"] - o["x"]) * (e["y1"] - o["y"]))
     return F.when(F.size(ring) >= 3, F.abs(cross) / 2).otherwise(0.0)
 
 
 def ring_length(ring: Column) -> Column:
-    return F.aggregate(closed_pairs(ring), ZERO, lambda s, e: s + F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"]))
+    return F.aggregate(closed_pairs(ring), F.lit(0.0), lambda s, e: s + F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"]))
 
 
 def closure_gap(ring: Column) -> Column:
@@ -94,7 +92,7 @@ def pair_similarity(ax: Column, ay: Column, bx: Column, by: Column, px: Column,
     length = F.hypot(bx - ax, by - ay)
     angle = F.atan2(qy - py, qx - px) - F.atan2(by - ay, bx - ax)
     scale = F.hypot(qx - px, qy - py) / F.when(length > 0, length)
-    tx, ty = similarity(angle, scale, ZERO, ZERO, ax, ay)
+    tx, ty = similarity(angle, scale, F.lit(0.0), F.lit(0.0), ax, ay)
     made = F.struct(angle.alias("angle"), scale.alias("scale"), (px - tx).alias("tx"), (py - ty).alias("ty"))
     return F.when(scale.isNotNull() & (scale.between(*scales) if scales else F.lit(True)), made)
 
@@ -175,7 +173,7 @@ def fingerprint(lengths: Column) -> Column:
 
 def fingerprint_rms(a: Column, b: Column) -> Column:
     """Root mean square of the differences of two fingerprints; null if their numbers differ."""
-    return F.when((a["n"] == b["n"]) & (a["n"] > 0), F.sqrt(F.aggregate(F.zip_with(a["bins"], b["bins"], lambda p, q: (p - q) * (p - q)), ZERO, lambda s, d: s + d) / a["n"]))
+    return F.when((a["n"] == b["n"]) & (a["n"] > 0), F.sqrt(F.aggregate(F.zip_with(a["bins"], b["bins"], lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d) / a["n"]))
 
 
 def finite(c: Column) -> Column:

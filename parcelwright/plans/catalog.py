@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelwright.plans import land, relational
+from parcelwright.plans import land, relational, shaped
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**land.QUERIES, **relational.QUERIES}
+    return {**land.QUERIES, **relational.QUERIES, **shaped.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**land.ORACLE, **relational.ORACLE}
+    return {**land.ORACLE, **relational.ORACLE, **shaped.ORACLE}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -95,7 +95,7 @@ def ring_measures(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(_RING_SQL + """
-SELECT parcel_id, n AS corners, array_to_string(list_sort(list(CAST(round_even(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) / 0.5, 0) AS INTEGER))), ',') AS bins
+SELECT parcel_id, CAST(n AS INTEGER) AS corners, array_to_string(list_sort(list(CAST(round_even(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) / 0.5, 0) AS INTEGER))), ',') AS bins
 FROM e GROUP BY parcel_id, n""")
 def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     p = table(spark, folder, "parcels").where(F.size("polygon") > 0)
