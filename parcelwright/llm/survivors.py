@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwright.llm.cadastre import has_text, name_key, resolve_villages, survey_key, with_shape
-from parcelwright.llm.components import components
+from parcelwright.operators.graph import components
 from parcelwright.plans.checkpoints import materialise
 
 SAME_PLACE = 0.25  # centroids of one parcel lie within this share of the square root of its area

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from parcelwright.llm.cadastre import name_key, resolve_villages, survey_key, with_shape
-from parcelwright.llm.components import components
+from parcelwright.operators.graph import components
 from parcelwright.llm.survivors import discover, same_parcel_pairs, survivors
 
 PARCELS = "parcel_id long, survey_number string, village string, lgd_village_code long, polygon array<struct<x double, y double>>, source_crs string, area_ha double, land_use string, source string, captured_at timestamp_ntz, object string, code int"
