@@ -19,19 +19,19 @@ def around(df: DataFrame, *cells: str) -> DataFrame:
     return df
 
 
-def within(left: DataFrame, right: DataFrame, distance: float) -> DataFrame:
+def within(left: DataFrame, right: DataFrame, distance: float, on: list[str] | None = None) -> DataFrame:
     """Pairs of ``left`` (lid, lx, ly) and ``right`` (rid, rx, ry) at most ``distance`` apart, with their gap.
 
-    Points without coordinates meet nothing. The right side goes to nine cells, the left to one.
+    Both sides agree on the columns ``on``, if there are any. Points without coordinates meet nothing. The right side goes to nine cells, the left to one.
     """
     a = left.where("lx IS NOT NULL AND ly IS NOT NULL").withColumns({"_u": cell(F.col("lx"), distance), "_v": cell(F.col("ly"), distance)})
     b = around(right.where("rx IS NOT NULL AND ry IS NOT NULL").withColumns({"_u": cell(F.col("rx"), distance), "_v": cell(F.col("ry"), distance)}), "_u", "_v")
-    return a.join(b, ["_u", "_v"]).drop("_u", "_v").withColumn("gap", F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry"))).where(F.col("gap") <= distance)
+    return a.join(b, ["_u", "_v", *(on or [])]).drop("_u", "_v").withColumn("gap", F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry"))).where(F.col("gap") <= distance)
 
 
-def nearest(left: DataFrame, right: DataFrame, distance: float, k: int = 1) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, distance: float, k: int = 1, on: list[str] | None = None) -> DataFrame:
     """The ``k`` nearest rows of ``right`` within ``distance`` of each left point (lid, rid, gap, place); ties go to the smaller rid."""
-    met = within(left, right, distance)
+    met = within(left, right, distance, on)
     if k == 1:
         best = met.groupBy("lid").agg(F.min(F.struct("gap", "rid")).alias("b"))
         return best.select("lid", "b.rid", "b.gap", F.lit(1).alias("place"))
