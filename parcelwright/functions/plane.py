@@ -179,3 +179,49 @@ def fingerprint_rms(a: Column, b: Column) -> Column:
 def finite(c: Column) -> Column:
     """NaN and infinities as null."""
     return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+
+
+def area_check(area: Column, stated_ha: Column, tolerance: float) -> Column:
+    """struct(ratio, error, ok) of an area in square metres against a stated one in hectares; null where none is stated."""
+    ratio = area / F.when(stated_ha > 0, stated_ha * 10_000)
+    return F.when(ratio.isNotNull(), F.struct(ratio.alias("ratio"), F.abs(ratio - 1).alias("error"), (F.abs(ratio - 1) <= tolerance).alias("ok")))
+
+
+def clamped(c: Column, low: float, high: float) -> Column:
+    return F.least(F.greatest(c, F.lit(low)), F.lit(high))
+
+
+def beside_line(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column, offset: float) -> Column:
+    """struct(x, y): the foot of a point on a line, moved off the line by ``offset`` to the side of the point (left of ab on the line itself)."""
+    dx, dy = bx - ax, by - ay
+    length = F.hypot(dx, dy)
+    t = ((px - ax) * dx + (py - ay) * dy) / F.when(length > 0, length * length)
+    side = F.when(dx * (py - ay) - dy * (px - ax) >= 0, 1.0).otherwise(-1.0)
+    return F.struct((ax + t * dx - side * offset * dy / F.when(length > 0, length)).alias("x"), (ay + t * dy + side * offset * dx / F.when(length > 0, length)).alias("y"))
+
+
+def label_box(x: Column, y: Column, angle: Column, letters: Column, height: float, pad: float = 0.0) -> Column:
+    """struct(x0, y0, x1, y1) of a text of ``letters`` characters, turned by ``angle`` degrees about its middle."""
+    half_w, half_h = letters * height * 0.3 + pad, F.lit(height / 2 + pad)
+    c, s = F.abs(F.cos(F.radians(angle))), F.abs(F.sin(F.radians(angle)))
+    w, h = half_w * c + half_h * s, half_w * s + half_h * c
+    return F.struct((x - w).alias("x0"), (y - h).alias("y0"), (x + w).alias("x1"), (y + h).alias("y1"))
+
+
+def warped_along(px: Column, py: Column, a: tuple[Column, Column], b: tuple[Column, Column], to_a: tuple[Column, Column], to_b: tuple[Column, Column]) -> Column:
+    """struct(x, y): a point of edge ab carried along when its ends move, in proportion to where it lies between them."""
+    da, db = F.hypot(px - a[0], py - a[1]), F.hypot(px - b[0], py - b[1])
+    t = F.when(da + db > 0, da / (da + db)).otherwise(0.0)
+    return F.struct(*[(p + (1 - t) * (ta - fa) + t * (tb - fb)).alias(n) for n, p, fa, fb, ta, tb in zip("xy", (px, py), a, b, to_a, to_b)])
+
+
+def seed_error(ax: Column, ay: Column, bx: Column, by: Column, radius: Column, sigma: float) -> Column:
+    """How far two seed points that are each off by ``sigma`` can throw a point ``radius`` away; null without a baseline."""
+    length = F.hypot(bx - ax, by - ay)
+    return math.sqrt(2) * sigma / F.when(length > 0, length) * radius
+
+
+def colour_name(red: Column, green: Column, blue: Column, lead: float = 0.4) -> Column:
+    """blue, red, grey or black by which channel (0 to 1) leads; black where any is unknown."""
+    grey = (F.abs(red - green) < 0.1) & (F.abs(green - blue) < 0.1) & red.between(0.3, 0.9)
+    return F.when((blue - red > lead) & (blue - green > lead), "blue").when((red - green > lead) & (red - blue > lead), "red").when(grey, "grey").otherwise("black")

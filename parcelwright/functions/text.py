@@ -95,3 +95,8 @@ def lon_lat_list(c: Column) -> Column:
     """Points of a whitespace list of lon,lat[,alt]; short tokens are dropped."""
     tokens = F.filter(F.transform(F.split(F.trim(c), r"\s+"), lambda t: F.split(t, ",")), lambda t: F.size(t) >= 2)
     return F.transform(tokens, lambda t: F.struct(F.get(t, F.lit(0)).cast("double").alias("x"), F.get(t, F.lit(1)).cast("double").alias("y")))
+
+
+def json_in_text(c: Column, schema: str) -> Column:
+    """The first JSON array or object in a text, read by a schema; null where there is none or it doesn't parse."""
+    return F.from_json(first_match(c, r"(?s)(\[.*\]|\{.*\})"), schema, {"mode": "PERMISSIVE"})

@@ -96,3 +96,63 @@ def greedy_matching(pairs: DataFrame) -> DataFrame:
 def losers(pairs: DataFrame) -> DataFrame:
     """node: of every pair (a, b, rank_a, rank_b) the lower-ranked end (of equal ranks the smaller), whatever the other pairs say."""
     return pairs.select(F.when(F.col("rank_a") == F.col("rank_b"), F.least("a", "b")).when(F.col("rank_a") < F.col("rank_b"), F.col("a")).otherwise(F.col("b")).alias("node")).distinct()
+
+
+def worst_first(pairs: DataFrame) -> DataFrame:
+    """node: what is dropped when the worst pair is settled first, again and again, until none is left.
+
+    ``pairs``: a, b, cost (larger is worse), rank_a, rank_b. A pair is settled by dropping its lower-ranked end (of equal
+    ranks the smaller node). Each round settles every pair that is the worst of both its ends, as the one-by-one
+    procedure would.
+    """
+    left = materialise(pairs.where("cost IS NOT NULL AND a <> b").groupBy("a", "b").agg(F.max(F.struct("cost", "rank_a", "rank_b")).alias("m")).select("a", "b", "m.*"))
+    dropped = None
+    while True:
+        order = F.struct(F.col("cost"), -F.col("a"), -F.col("b"))
+        ends = left.select(F.explode(F.array("a", "b")).alias("node"), order.alias("o")).groupBy("node").agg(F.max("o").alias("o"))
+        worst = left.withColumn("o", order).join(ends.select(F.col("node").alias("a"), F.col("o").alias("oa")), "a").join(ends.select(F.col("node").alias("b"), F.col("o").alias("ob")), "b").where("o = oa AND o = ob")
+        gone = materialise(losers(worst))
+        if not gone.limit(1).count():
+            return dropped if dropped is not None else gone
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        left = materialise(left.join(gone.select(F.col("node").alias("a")), "a", "left_anti").join(gone.select(F.col("node").alias("b")), "b", "left_anti"))
+
+
+def propagated(seeds: DataFrame, links: DataFrame, rounds: int = 4) -> DataFrame:
+    """node, parent, round: what ``seeds`` (node) reach over ``links`` (a, b, cost) in up to ``rounds`` rounds.
+
+    A node is seated by the cheapest link (then the smallest neighbour) to a node seated before the round began; what is
+    seated within a round only seats others in the next.
+    """
+    both = materialise(links.select("a", "b", "cost").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "cost")))
+    seated = materialise(seeds.select("node").distinct().select("node", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("round")))
+    for number in range(1, rounds + 1):
+        offers = both.join(seated.select(F.col("node").alias("b")), "b").join(seated.select(F.col("node").alias("a")), "a", "left_anti")
+        fresh = materialise(offers.groupBy("a").agg(F.min(F.struct("cost", "b")).alias("m")).select(F.col("a").alias("node"), F.col("m.b").cast("long").alias("parent"), F.lit(number).alias("round")))
+        if not fresh.limit(1).count():
+            break
+        seated = seated.unionByName(fresh)
+    return seated
+
+
+def relaxed_offsets(nodes: DataFrame, gaps: DataFrame, rounds: int = 40, step: float = 0.5, settled: float = 0.05, cap: float = float("inf")) -> DataFrame:
+    """node, dx, dy: moves that close ``gaps`` (a, b, gx, gy: how far a must move for b to fit) between ``nodes`` (node, fixed).
+
+    All moves of a round are computed from the state before it and then made together: each free node goes ``step`` of
+    the mean of what its gaps ask for. It ends when no node moves by ``settled``; no node leaves its place by more than ``cap``.
+    """
+    ask = materialise(gaps.select("a", "b", "gx", "gy").unionByName(gaps.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("gx")).alias("gx"), (-F.col("gy")).alias("gy"))))
+    state = materialise(nodes.select("node", F.coalesce("fixed", F.lit(False)).alias("fixed"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy")))
+    for _ in range(rounds):
+        of = lambda s: state.select(F.col("node").alias(s), F.col("dx").alias(f"{s}x"), F.col("dy").alias(f"{s}y"))  # noqa: B023, E731
+        wish = ask.join(of("a"), "a").join(of("b"), "b").groupBy("a").agg(F.avg(F.col("gx") + F.col("bx") - F.col("ax")).alias("wx"), F.avg(F.col("gy") + F.col("by") - F.col("ay")).alias("wy"))
+        far = F.hypot(F.col("nx"), F.col("ny"))
+        moved = state.join(wish.withColumnRenamed("a", "node"), "node", "left").withColumns({"nx": F.col("dx") + step * F.coalesce("wx", F.lit(0.0)), "ny": F.col("dy") + step * F.coalesce("wy", F.lit(0.0))})
+        shrink = F.when(far > cap, cap / far).otherwise(1.0)
+        goal = moved.select("node", "fixed", "dx", "dy", F.when(F.col("fixed"), 0.0).otherwise(F.col("nx") * shrink).alias("tx"), F.when(F.col("fixed"), 0.0).otherwise(F.col("ny") * shrink).alias("ty"))
+        following = materialise(goal.select("node", "fixed", F.col("tx").alias("dx"), F.col("ty").alias("dy"), F.hypot(F.col("tx") - F.col("dx"), F.col("ty") - F.col("dy")).alias("s")))
+        most = following.agg(F.max("s").alias("s")).collect()[0].s
+        state = following.drop("s")
+        if most is None or most < settled:
+            break
+    return state.select("node", "dx", "dy")

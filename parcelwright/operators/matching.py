@@ -147,3 +147,43 @@ def classified_paths(paths: DataFrame, long: float, thick: float) -> DataFrame:
     out = p.join(known, "path", "left").join(repeats, "path", "left")
     kind = F.when(F.col("_first").isNotNull(), F.col("_first")).when((F.col("width") >= thick) & F.col("_all_met"), "boundary").when(F.col("width") >= thick, "separation").when(F.col("_repeats"), "doubled").otherwise("internal")
     return out.withColumn("kind", kind).drop("_length", "_a", "_b", "_first", "_all_met", "_repeats")
+
+
+def network_checks(segments: DataFrame, key: str, digits: int = 1) -> DataFrame:
+    """Soundness of each key's network of segments (x1, y1, x2, y2): segments, repeated (undirected, after rounding), nodes, odd_nodes, loose_ends, length."""
+    spot = lambda x, y: F.struct(F.bround(x, digits).alias("x"), F.bround(y, digits).alias("y"))
+    s = segments.select(key, spot("x1", "y1").alias("a"), spot("x2", "y2").alias("b"), F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("l")).where("a <> b")
+    sides = s.groupBy(key, F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.count("*").alias("n"), F.max("l").alias("l"))
+    total = sides.groupBy(key).agg(F.sum("n").alias("segments"), F.sum(F.col("n") - 1).alias("repeated"), F.sum("l").alias("length"))
+    degree = sides.select(key, F.explode(F.array("lo", "hi")).alias("p")).groupBy(key, "p").agg(F.count("*").alias("d"))
+    nodes = degree.groupBy(key).agg(F.count("*").alias("nodes"), F.count_if(F.col("d") % 2 == 1).alias("odd_nodes"), F.count_if(F.col("d") == 1).alias("loose_ends"))
+    return total.join(nodes, key)
+
+
+def carried(points: DataFrame, controls: DataFrame, reach: float, k: int = 2) -> DataFrame:
+    """pid, x, y: points (pid, x, y) moved like their ``k`` nearest controls (cid, x, y, to_x, to_y) within ``reach``, by inverse distance; others stay."""
+    a = points.select(F.col("pid").alias("lid"), F.col("x").alias("lx"), F.col("y").alias("ly"))
+    b = controls.select(F.col("cid").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    near = nearest(a, b, reach, k).join(controls.select(F.col("cid").alias("rid"), (F.col("to_x") - F.col("x")).alias("sx"), (F.col("to_y") - F.col("y")).alias("sy")), "rid")
+    weight = 1 / (F.col("gap") + 1e-9)
+    shift = near.groupBy(F.col("lid").alias("pid")).agg((F.sum(weight * F.col("sx")) / F.sum(weight)).alias("sx"), (F.sum(weight * F.col("sy")) / F.sum(weight)).alias("sy"))
+    return points.join(shift, "pid", "left").select("pid", (F.col("x") + F.coalesce("sx", F.lit(0.0))).alias("x"), (F.col("y") + F.coalesce("sy", F.lit(0.0))).alias("y"))
+
+
+def surveyed_stones(drawing: DataFrame, reach: float = 2.0) -> DataFrame:
+    """stone, x, y, code of the POINT entities of drawing rows (see sources.files.read_dxf), each with the nearest text within ``reach``."""
+    numbered = F.xxhash64("file", "ord")
+    points = drawing.where("entity = 'POINT'").select(numbered.alias("lid"), F.col("x").alias("lx"), F.col("y").alias("ly"))
+    labels = drawing.where("entity IN ('TEXT', 'MTEXT') AND text IS NOT NULL").select(numbered.alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("text").alias("code"))
+    named = nearest(points, labels.drop("code"), reach).join(labels.select("rid", "code"), "rid").select("lid", "code")
+    return points.join(named, "lid", "left").select(F.col("lid").alias("stone"), F.col("lx").alias("x"), F.col("ly").alias("y"), "code")
+
+
+def traced_edges(drawing: DataFrame, stones: DataFrame, reach: float) -> DataFrame:
+    """a < b, length: the undirected edges between stones that traced lines of a drawing follow, each vertex standing for its nearest stone within ``reach``."""
+    v = drawing.where("entity IN ('LWPOLYLINE', 'POLYLINE', 'LINE')").select(F.struct("file", "ord", "at").alias("lid"), F.col("x").alias("lx"), F.col("y").alias("ly"))
+    near = nearest(v, stones.select(F.col("stone").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry")), reach)
+    w = Window.partitionBy("lid.file", "lid.ord").orderBy("lid.at")
+    steps = near.select(F.col("rid").alias("p"), F.lag("rid").over(w).alias("q")).where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    place = lambda s: stones.select(F.col("stone").alias(s), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"))
+    return steps.join(place("a"), "a").join(place("b"), "b").select("a", "b", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")).alias("length"))

@@ -118,3 +118,13 @@ def placed_plots(spark: SparkSession, folder: str) -> DataFrame:
     sound = table(spark, folder, "stones").where("lgd_village_code IS NOT NULL").select("stone_id", F.col("lgd_village_code").alias("area"), plane.finite(F.col("x")).alias("x"), plane.finite(F.col("y")).alias("y")).where("x > 1000 AND y > 1000")
     stones = sound.groupBy("area", F.round("x", 0).alias("x"), F.round("y", 0).alias("y")).agg(F.min("stone_id").alias("stone"))
     return matching.best_poses(matching.poses(corners, stones, 0.5, 80.0))
+
+
+@query(_EDGE_SQL + """
+, s AS (SELECT plot, struct_pack(x := round_even(x1, 1), y := round_even(y1, 1)) AS a, struct_pack(x := round_even(x2, 1), y := round_even(y2, 1)) AS b FROM e),
+u AS (SELECT plot, least(a, b) AS lo, greatest(a, b) AS hi, count(*) AS n FROM s WHERE a <> b GROUP BY ALL), t AS (SELECT plot, sum(n) AS segments, sum(n - 1) AS repeated FROM u GROUP BY plot),
+d AS (SELECT plot, p, count(*) AS d FROM (SELECT plot, unnest([lo, hi]) AS p FROM u) GROUP BY ALL), o AS (SELECT plot, count(*) AS nodes, count(*) FILTER (d % 2 = 1) AS odd_nodes, count(*) FILTER (d = 1) AS loose_ends FROM d GROUP BY plot)
+SELECT plot AS parcel_id, CAST(segments AS BIGINT) AS segments, CAST(repeated AS BIGINT) AS repeated, nodes, odd_nodes, loose_ends FROM t JOIN o USING (plot)""")
+def ring_soundness(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated edges, odd corners and loose ends of each parcel ring."""
+    return matching.network_checks(_edges(spark, folder).withColumnRenamed("plot", "parcel_id"), "parcel_id").drop("length")

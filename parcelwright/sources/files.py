@@ -296,3 +296,44 @@ def dxf_rows(file: str, lines: Iterator[str]) -> Iterator[tuple]:
 def read_dxf(spark: SparkSession, path: str) -> DataFrame:
     spark.dataSource.register(DxfSource)
     return spark.read.format("dxf").load(path)
+
+
+def read_parcels(spark: SparkSession, path: str) -> DataFrame:
+    """survey, ring of a parcel file by its suffix: GeoJSON, KML, KMZ, CSV or LandXML."""
+    suffix = path.rsplit(".", 1)[-1].lower()
+    readers = {"geojson": read_geojson, "json": read_geojson, "kml": read_kml, "kmz": read_kmz, "csv": read_csv_parcels, "xml": read_landxml, "landxml": read_landxml}
+    if suffix not in readers:
+        raise ValueError(f"no reader for .{suffix}")
+    return readers[suffix](spark, path).select("survey", "ring")
+
+
+def primary_rings(parcels: DataFrame) -> DataFrame:
+    """Adds rank to rows of (survey, ring): 1 for the largest ring of each survey, ties by the ring itself."""
+    from pyspark.sql import Window
+
+    from parcelwright.functions.plane import ring_area
+
+    sized = parcels.withColumn("_a", ring_area(F.col("ring")))
+    return sized.withColumn("rank", F.row_number().over(Window.partitionBy("survey").orderBy(F.col("_a").desc(), F.xxhash64("ring")))).drop("_a")
+
+
+def utm_of(parcels: DataFrame) -> str | None:
+    """The UTM system of the first ring of a table in longitude and latitude, or None if it has none or isn't."""
+    from parcelwright.functions.plane import utm_crs
+
+    first = parcels.where(F.size("ring") > 0).select(F.get("ring", F.lit(0)).alias("p")).limit(1)
+    row = first.select(F.when(F.col("p.x").between(-180, 180) & F.col("p.y").between(-90, 90), F.when(F.col("p.y") >= 0, utm_crs(F.col("p.x"))).otherwise(utm_crs(F.col("p.x"), False))).alias("crs")).collect()
+    return row[0].crs if row else None
+
+
+def layer_surveys(drawing: DataFrame, layer: str = "SURVEY NUMBER") -> DataFrame:
+    """survey: the distinct base numbers of the texts on a layer, without their formatting codes."""
+    from parcelwright.functions.text import base_survey
+
+    plain = F.regexp_replace(F.regexp_replace("text", r"\\[A-Za-z][^;\\]*;", ""), r"[{}]", "")
+    return drawing.where((F.col("layer") == layer) & F.col("entity").isin("TEXT", "MTEXT")).select(base_survey(plain).alias("survey")).where("survey IS NOT NULL").distinct()
+
+
+def text_lines(pages: DataFrame) -> DataFrame:
+    """page, line, text: the lines of page texts (page, text) that aren't blank, with full confidence."""
+    return pages.select("page", F.posexplode(F.split("text", r"\r?\n")).alias("line", "t")).select("page", "line", F.trim("t").alias("text"), F.lit(1.0).alias("confidence")).where("text <> ''")

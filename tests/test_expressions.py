@@ -70,3 +70,17 @@ def test_fingerprints(spark):
 @pytest.mark.parametrize("value,want", [(float("nan"), None), (float("inf"), None), (1.5, 1.5), (None, None)])
 def test_finite(spark, value, want):
     assert values(spark, [(value,)], "v double", plane.finite(F.col("v"))) == [(want,)]
+
+
+def test_labels_checks_and_colours(spark):
+    f = lambda *v: [F.lit(float(x)) for x in v]
+    row = spark.range(1).select(
+        plane.area_check(F.lit(9000.0), F.lit(1.0), 0.08).alias("check"), plane.area_check(F.lit(1.0), F.lit(0.0), 0.1).alias("none"), plane.clamped(F.lit(9.0), 1.5, 6.0).alias("clamped"),
+        plane.beside_line(*f(5, 1, 0, 0, 10, 0), 2.0).alias("beside"), plane.label_box(*f(0, 0, 90), F.lit(4), 1.0).alias("box"),
+        plane.warped_along(*f(5, 0), tuple(f(0, 0)), tuple(f(10, 0)), tuple(f(0, 2)), tuple(f(10, 4))).alias("warped"), plane.seed_error(*f(0, 0, 10, 0, 100), 0.1).alias("seed"),
+        plane.colour_name(*f(0, 0, 1)).alias("blue"), plane.colour_name(*f(0.5, 0.5, 0.5)).alias("grey"), plane.colour_name(*f(0, 0, 0)).alias("black"), text.json_in_text(F.lit('ok: [{"id": 1}] end'), "array<struct<id: int>>").alias("json"),
+    ).collect()[0]
+    assert abs(row.check.error - 0.1) < 1e-9 and not row.check.ok and row.none is None and row.clamped == 6
+    assert (row.beside.x, row.beside.y) == (5, 2) and (round(row.box.x1, 6), round(row.box.y1, 6)) == (0.5, 1.2)
+    assert (row.warped.x, row.warped.y) == (5, 3) and abs(row.seed - 2**0.5) < 1e-9
+    assert (row.blue, row.grey, row.black) == ("blue", "grey", "black") and row.json[0].id == 1

@@ -104,3 +104,15 @@ def test_drawing_round_trip_and_reports(spark, tmp_path):
     assert total == {"v": 1, "w": 1, None: 2}
     sinks.write_geojson(df, str(tmp_path / "g"), ["layer"])
     assert spark.read.text(str(tmp_path / "g")).count() == 2
+
+
+def test_dispatch_ranks_and_systems(spark, tmp_path):
+    (tmp_path / "v.csv").write_text("survey,x,y,seq\n1,77.0,11.0,1\n1,77.4,11.3,3\n1,77.4,11.0,2\n")
+    parcels = files.read_parcels(spark, str(tmp_path / "v.csv"))
+    assert files.utm_of(parcels) == "EPSG:32643" and files.utm_of(parcels.limit(0)) is None
+    assert [r["rank"] for r in files.primary_rings(parcels.unionByName(parcels.selectExpr("survey", "slice(ring, 1, 2) AS ring"))).orderBy("rank").collect()] == [1, 2]
+    with pytest.raises(ValueError):
+        files.read_parcels(spark, "a.pdf")
+    drawing = spark.createDataFrame([("SURVEY NUMBER", "MTEXT", r"{\fArial|b0;82/1}"), ("SURVEY NUMBER", "TEXT", "82"), ("X", "TEXT", "9"), ("SURVEY NUMBER", "TEXT", "none")], "layer string, entity string, text string")
+    assert [r.survey for r in files.layer_surveys(drawing).collect()] == ["82"]
+    assert [(r.line, r.text) for r in files.text_lines(spark.createDataFrame([(1, "a\n \nb ")], "page int, text string")).collect()] == [(0, "a"), (2, "b")]
