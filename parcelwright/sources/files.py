@@ -299,9 +299,9 @@ def read_dxf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_parcels(spark: SparkSession, path: str) -> DataFrame:
-    """survey, ring of a parcel file by its suffix: GeoJSON, KML, KMZ, CSV or LandXML."""
+    """survey, ring of a parcel file by its suffix: GeoJSON, KML, KMZ, shapefile, CSV or LandXML."""
     suffix = path.rsplit(".", 1)[-1].lower()
-    readers = {"geojson": read_geojson, "json": read_geojson, "kml": read_kml, "kmz": read_kmz, "csv": read_csv_parcels, "xml": read_landxml, "landxml": read_landxml}
+    readers = {"geojson": read_geojson, "json": read_geojson, "kml": read_kml, "kmz": read_kmz, "shp": read_shapefile, "csv": read_csv_parcels, "xml": read_landxml, "landxml": read_landxml}
     if suffix not in readers:
         raise ValueError(f"no reader for .{suffix}")
     return readers[suffix](spark, path).select("survey", "ring")
@@ -337,3 +337,58 @@ def layer_surveys(drawing: DataFrame, layer: str = "SURVEY NUMBER") -> DataFrame
 def text_lines(pages: DataFrame) -> DataFrame:
     """page, line, text: the lines of page texts (page, text) that aren't blank, with full confidence."""
     return pages.select("page", F.posexplode(F.split("text", r"\r?\n")).alias("line", "t")).select("page", "line", F.trim("t").alias("text"), F.lit(1.0).alias("confidence")).where("text <> ''")
+
+
+def shape_rows(shp: bytes, dbf: bytes) -> list[tuple[dict[str, str], int, list[tuple[float, float]]]]:
+    """(attributes, part, ring) of each polygon part of a shapefile, holes left out; records without a polygon have none."""
+    (count, head, width), names, at = struct.unpack_from("<IHH", dbf, 4), [], 32
+    while dbf[at] != 0x0D:
+        names.append((dbf[at : at + 11].split(b"\0")[0].decode("ascii", "replace"), dbf[at + 16]))
+        at += 32
+    records = []
+    for i in range(count):
+        pos, row = head + i * width + 1, {}
+        for name, size in names:
+            row[name] = dbf[pos : pos + size].decode("utf-8", "replace").strip()
+            pos += size
+        records.append(row)
+    out, at, i = [], 100, 0
+    while at + 8 <= len(shp):
+        words = struct.unpack_from(">I", shp, at + 4)[0]
+        kind = struct.unpack_from("<I", shp, at + 8)[0]
+        if kind in (5, 15, 25) and i < len(records):
+            parts, points = struct.unpack_from("<II", shp, at + 44)
+            starts = [*struct.unpack_from(f"<{parts}I", shp, at + 52), points]
+            flat = struct.unpack_from(f"<{2 * points}d", shp, at + 52 + 4 * parts)
+            rings = [[(flat[2 * k], flat[2 * k + 1]) for k in range(a, b)] for a, b in zip(starts, starts[1:])]
+            # outer rings run clockwise
+            outer = [r for r in rings if sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(r, r[1:] + r[:1])) <= 0]
+            out += [(records[i], n, r) for n, r in enumerate(outer or rings)]
+        at += 8 + 2 * words
+        i += 1
+    return out
+
+
+def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
+    """survey, village, part, ring, crs of the polygons in shapefiles (``path``: a .shp file or a folder of them with their .dbf and .prj)."""
+    folder = path.rsplit("/", 1)[0] if path.lower().endswith(".shp") else path
+    only = path.rsplit("/", 1)[1][:-4] if path.lower().endswith(".shp") else None
+    stem, suffix = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    files = spark.read.format("binaryFile").load(folder).select(stem.alias("stem"), suffix.alias("suffix"), "content").where(F.col("suffix").isin("shp", "dbf", "prj"))
+    if only:
+        files = files.where(F.col("stem") == only)
+    sets = files.groupBy("stem").pivot("suffix", ["shp", "dbf", "prj"]).agg(F.first("content")).where("shp IS NOT NULL AND dbf IS NOT NULL")
+
+    def parse(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for frame in frames:
+            out = [(stem, row, part, [{"x": x, "y": y} for x, y in ring]) for stem, shp, dbf in zip(frame["stem"], frame["shp"], frame["dbf"]) for row, part, ring in shape_rows(bytes(shp), bytes(dbf))]
+            yield pd.DataFrame(out, columns=["stem", "members", "part", "ring"])
+
+    zone = F.regexp_extract(F.col("prj").cast("string"), r"UTM_[Zz]one_(\d+)N", 1)
+    named_crs = F.when(zone != "", F.concat(F.lit("EPSG:326"), F.lpad(zone, 2, "0"))).otherwise("EPSG:4326")
+    crs = sets.select("stem", named_crs.alias("crs"))
+
+    rows = sets.select("stem", "shp", "dbf").mapInPandas(parse, "stem string, members map<string,string>, part int, ring array<struct<x: double, y: double>>")
+    return rows.join(crs, "stem").select(_by_alias(F.col("members"), SURVEY_NAMES).alias("survey"), _by_alias(F.col("members"), VILLAGE_NAMES).alias("village"), "part", "ring", "crs")

@@ -116,3 +116,32 @@ def test_dispatch_ranks_and_systems(spark, tmp_path):
     drawing = spark.createDataFrame([("SURVEY NUMBER", "MTEXT", r"{\fArial|b0;82/1}"), ("SURVEY NUMBER", "TEXT", "82"), ("X", "TEXT", "9"), ("SURVEY NUMBER", "TEXT", "none")], "layer string, entity string, text string")
     assert [r.survey for r in files.layer_surveys(drawing).collect()] == ["82"]
     assert [(r.line, r.text) for r in files.text_lines(spark.createDataFrame([(1, "a\n \nb ")], "page int, text string")).collect()] == [(0, "a"), (2, "b")]
+
+
+def shapefile(rings, surveys):
+    parts, points = [], []
+    records = b""
+    for n, record in enumerate(rings, 1):
+        parts, points = [], []
+        for ring in record:
+            parts.append(len(points))
+            points += ring
+        body = struct.pack("<i", 5) + struct.pack("<4d", 0, 0, 0, 0) + struct.pack("<ii", len(parts), len(points)) + struct.pack(f"<{len(parts)}i", *parts) + b"".join(struct.pack("<dd", *p) for p in points)
+        records += struct.pack(">ii", n, len(body) // 2) + body
+    shp = struct.pack(">i", 9994) + b"\0" * 96 + records
+    field = b"SURVEY_NO\0\0" + b"C" + b"\0" * 4 + bytes([8, 0]) + b"\0" * 14
+    dbf = bytes([3, 1, 1, 1]) + struct.pack("<IHH", len(surveys), 32 + 32 + 1, 9) + b"\0" * 20 + field + b"\x0d" + b"".join(b" " + s.ljust(8).encode() for s in surveys)
+    return shp, dbf
+
+
+def test_shapefile(spark, tmp_path):
+    outer, hole, other = [(0.0, 0.0), (0.0, 9.0), (9.0, 9.0), (0.0, 0.0)], [(1.0, 2.0), (2.0, 3.0), (1.0, 3.0), (1.0, 2.0)], [(20.0, 0.0), (20.0, 5.0), (25.0, 5.0), (20.0, 0.0)]
+    shp, dbf = shapefile([[outer, hole], [other]], ["12/1", "13"])
+    (tmp_path / "a.shp").write_bytes(shp)
+    (tmp_path / "a.dbf").write_bytes(dbf)
+    (tmp_path / "a.prj").write_text('PROJCS["WGS_1984_UTM_Zone_43N"]')
+    (tmp_path / "b.shp").write_bytes(shp)
+    (tmp_path / "b.dbf").write_bytes(dbf)
+    rows = files.read_shapefile(spark, str(tmp_path / "a.shp")).orderBy("survey").collect()
+    assert [(r.survey, r.part, r.crs, len(r.ring)) for r in rows] == [("12/1", 0, "EPSG:32643", 4), ("13", 0, "EPSG:32643", 4)]
+    assert files.read_parcels(spark, str(tmp_path / "b.shp")).count() == 2 and files.read_shapefile(spark, str(tmp_path)).count() == 4
