@@ -11,11 +11,14 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 NESTED_WRAPS = 4  # times that a document may be wrapped in a JSON string
 PARTS = "record_id long, entity string, pos int, parent string, parent_pos int, child_pos int, members map<string,string>"
 
@@ -134,7 +137,7 @@ def json_parts(records: DataFrame, layout: Layout) -> DataFrame:
     """
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["record_id", "entity", "pos", "parent", "parent_pos", "child_pos", "members"]
+        names = ["record_id", "entity", "pos", "parent", "parent_pos", "child_pos", "members"]  # as in PARTS
         for frame in frames:
             out: list[tuple] = []
             for record, body in zip(frame["record_id"], frame["body"]):
@@ -149,6 +152,8 @@ def json_parts(records: DataFrame, layout: Layout) -> DataFrame:
                 yield _frame(out, names)
 
     def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+        import pandas as pd
+
         made = pd.DataFrame(rows, columns=names)
         for name in ("record_id", "pos", "parent_pos", "child_pos"):
             made[name] = made[name].astype("Int64")

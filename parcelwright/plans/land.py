@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelwright.operators.nested import Layout, json_parts, list_parts, pivot_part
-from parcelwright.operators.proximity import crs_key, near_and_inside
 from parcelwright.sources.tables import table
 
 NEAR_METRES = 0.60
@@ -20,11 +19,15 @@ CHILDREN = {"checks": "check", "requests": "request", "proposals": "proposal"}
 
 
 def _stones(spark: SparkSession, folder: str) -> DataFrame:
+    from parcelwright.operators.proximity import crs_key
+
     return table(spark, folder, "stones").select(F.col("stone_id").alias("id"), "x", "y", crs_key(F.col("crs")).alias("grp"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Stones within 0.60 of each other, and the parcels that enclose a stone."""
+    from parcelwright.operators.proximity import crs_key, near_and_inside
+
     parcels = table(spark, folder, "parcels").select(F.col("parcel_id").alias("id"), F.col("polygon").alias("ring"), crs_key(F.col("source_crs")).alias("grp"))
     return near_and_inside(_stones(spark, folder), parcels, NEAR_METRES)
 
