@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 
@@ -81,37 +82,67 @@ def convex_hull(points: np.ndarray) -> np.ndarray:
     return np.array(chain(pts) + chain(pts[::-1]))
 
 
+def _turn(a, b, p) -> float:
+    """Positive where p lies left of a to b, with the right sign even where rounding could decide."""
+    l, r = (a[0] - p[0]) * (b[1] - p[1]), (a[1] - p[1]) * (b[0] - p[0])
+    if abs(l - r) > 3.4e-16 * (abs(l) + abs(r)):
+        return l - r
+    (ax, ay), (bx, by), (px, py) = [map(Fraction, q) for q in (a, b, p)]
+    return (ax - px) * (by - py) - (ay - py) * (bx - px)
+
+
+def _in_circle(a, b, c, p) -> float:
+    """Positive where p lies within the circle of the counter-clockwise a, b, c; see _turn()."""
+
+    def terms(a, b, c, p):
+        ax, ay, bx, by, cx, cy = a[0] - p[0], a[1] - p[1], b[0] - p[0], b[1] - p[1], c[0] - p[0], c[1] - p[1]
+        return [(ax * ax + ay * ay, bx * cy, by * cx), (bx * bx + by * by, cx * ay, cy * ax), (cx * cx + cy * cy, ax * by, ay * bx)]
+
+    parts = terms(a, b, c, p)
+    total = sum(s * (u - v) for s, u, v in parts)
+    if abs(total) > 1.2e-15 * sum(s * (abs(u) + abs(v)) for s, u, v in parts):
+        return total
+    return sum(s * (u - v) for s, u, v in terms(*[tuple(map(Fraction, q)) for q in (a, b, c, p)]))
+
+
 def delaunay(points: np.ndarray) -> list[tuple[int, int, int]]:
-    """Triangles of the distinct points, by inserting them one by one and retriangulating the circles they break."""
+    """Triangles of the distinct points, by inserting them one by one and retriangulating the circles they break.
+
+    Points are taken in rows of a grid, each found by a walk from the last, so that the work grows about as their number.
+    """
     n = len(points)
     low, span = points.min(axis=0), float(np.ptp(points, axis=0).max()) or 1.0
     scaled = (points - low) / span
-    p = np.vstack([scaled, [[-20.0, -20.0], [20.0, -20.0], [0.0, 30.0]]])
-
-    def circle(t):
-        (ax, ay), (bx, by), (cx, cy) = p[list(t)]
-        d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
-        if abs(d) < 1e-14:
-            return (0.0, 0.0, math.inf)
-        a2, b2, c2 = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
-        x, y = (a2 * (by - cy) + b2 * (cy - ay) + c2 * (ay - by)) / d, (a2 * (cx - bx) + b2 * (ax - cx) + c2 * (bx - ax)) / d
-        return (x, y, (x - ax) ** 2 + (y - ay) ** 2)
-
-    first = (n, n + 1, n + 2)
-    live = {first: circle(first)}
-    for i in range(n):
-        x, y = p[i]
-        broken = [t for t, (cx, cy, r) in live.items() if (x - cx) ** 2 + (y - cy) ** 2 <= r * (1 + 1e-12)]
-        sides: dict[tuple[int, int], int] = defaultdict(int)
-        for t in broken:
-            for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-                sides[min(e), max(e)] += 1
-            del live[t]
-        for (a, b), uses in sides.items():
-            if uses == 1:
-                made = (a, b, i)
-                live[made] = circle(made)
-    return [t for t in live if max(t) < n]
+    p = [tuple(q) for q in np.vstack([scaled, [[-20.0, -20.0], [20.0, -20.0], [0.0, 30.0]]]).tolist()]
+    grid = np.floor(scaled * max(1.0, math.sqrt(n / 4))).astype(int)
+    order = np.lexsort((np.where(grid[:, 1] % 2, -scaled[:, 0], scaled[:, 0]), grid[:, 1]))
+    apex = {(n, n + 1): n + 2, (n + 1, n + 2): n, (n + 2, n): n + 1}  # the third corner left of each directed side
+    at = (n, n + 1)
+    for i in order.tolist():
+        q = p[i]
+        while True:
+            a, b = at
+            c = apex[at]
+            crossed = next(((u, v) for u, v in ((a, b), (b, c), (c, a)) if _turn(p[u], p[v], q) < 0), None)
+            if crossed is None:
+                break
+            at = crossed[1], crossed[0]
+        for side in ((a, b), (b, c), (c, a)):
+            del apex[side]
+        open_sides, rim = [(a, b), (b, c), (c, a)], []
+        while open_sides:
+            a, b = open_sides.pop()
+            c = apex.get((b, a))
+            if c is not None and _in_circle(p[b], p[a], p[c], q) > 0:
+                for side in ((b, a), (a, c), (c, b)):
+                    del apex[side]
+                open_sides += [(a, c), (c, b)]
+            else:
+                rim.append((a, b))
+        for a, b in rim:
+            apex[a, b], apex[b, i], apex[i, a] = i, a, b
+        at = rim[0]
+    return [(a, b, c) for (a, b), c in apex.items() if a < b and a < c and max(b, c) < n]
 
 
 def concave_hull(points: np.ndarray, factor: float = 2.5, least_share: float = 0.2) -> np.ndarray:

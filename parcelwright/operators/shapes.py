@@ -7,7 +7,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HULL_SAMPLE = 4_000  # points of one key that a concave hull is drawn around, at most; see hulls()
+from parcelwright.functions.plane import finite
+
+HULL_BUFFER = 100_000  # hull points that a task holds before it hands them on; see hulls()
 
 
 def overlaps(pairs: DataFrame, a: str = "ring_a", b: str = "ring_b") -> DataFrame:
@@ -32,17 +34,36 @@ def overlaps(pairs: DataFrame, a: str = "ring_a", b: str = "ring_b") -> DataFram
     return pairs.mapInPandas(run, ", ".join([*fields, "shared double, share double, iou double"]))
 
 
-def hulls(points: DataFrame, key: str, cell: float = 1.0, factor: float = 2.5) -> DataFrame:
+def hulls(points: DataFrame, key: str, factor: float = 2.5) -> DataFrame:
     """Convex and concave hull of the points (x, y) of each key: corners, area, concave_corners, concave_area.
 
-    Points are thinned to one for each cell of ``cell``, and of each row of cells only the ends reach the convex hull,
-    so a key of any size stays small there. A concave hull needs inner points: a key with more than HULL_SAMPLE cells has
-    null concave columns; choose a larger ``cell`` for it.
+    Each task draws the convex hulls of its own points, and the hull of those hulls is the whole one. A concave hull needs
+    inner points: all distinct points of a key meet in one task.
     """
-    thin = points.where("x IS NOT NULL AND y IS NOT NULL").groupBy(key, F.floor(F.col("y") / cell).alias("v"), F.floor(F.col("x") / cell).alias("u")).agg(F.min(F.struct("x", "y")).alias("lo"), F.max(F.struct("x", "y")).alias("hi"))
-    rows = thin.groupBy(key, "v").agg(F.array_distinct(F.array(F.min("lo"), F.max("hi"))).alias("ends"), F.count("*").alias("cells"))
-    total = rows.groupBy(key).agg(F.sum("cells").alias("cells"), F.flatten(F.collect_list("ends")).alias("rim"))
-    small = thin.join(total.where(F.col("cells") <= HULL_SAMPLE).select(key), key, "left_semi").groupBy(key).agg(F.collect_list("lo").alias("inner"))
+    kind = points.schema[key].dataType.simpleString()
+    placed = points.select(key, finite(F.col("x")).alias("x"), finite(F.col("y")).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+
+    def partial(frames: Iterator) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        from parcelwright.functions.kernels import convex_hull
+
+        held: dict = {}
+
+        def out():
+            keys = [k for k, r in held.items() for _ in r]
+            xy = np.vstack([*held.values(), np.zeros((0, 2))])
+            return pd.DataFrame({key: pd.Series(keys, dtype=object), "x": xy[:, 0], "y": xy[:, 1]})
+
+        for frame in frames:
+            for k, part in frame.groupby(key, dropna=False):
+                k = None if pd.isna(k) else k
+                held[k] = convex_hull(np.vstack([held.get(k, np.zeros((0, 2))), part[["x", "y"]].to_numpy(float)]))
+            if sum(map(len, held.values())) > HULL_BUFFER:
+                yield out()
+                held.clear()
+        yield out()
 
     def run(frames: Iterator) -> Iterator:
         import numpy as np
@@ -55,13 +76,14 @@ def hulls(points: DataFrame, key: str, cell: float = 1.0, factor: float = 2.5) -
         for frame in frames:
             out = []
             for k, rim, inner in zip(frame[key], frame["rim"], frame["inner"]):
-                hull = convex_hull(as_points(rim))
-                concave = concave_hull(as_points(inner), factor) if inner is not None else None
-                out.append((k, len(hull), area(hull), None if concave is None else len(concave), None if concave is None else area(concave)))
-            yield pd.DataFrame(out, columns=[key, "corners", "area", "concave_corners", "concave_area"]).astype({"concave_corners": "Int32"})
-
-    kind = points.schema[key].dataType.simpleString()
-    return total.join(small, key, "left").select(key, "rim", "inner").mapInPandas(run, f"{key} {kind}, corners int, area double, concave_corners int, concave_area double")
+                hull, concave = convex_hull(as_points(rim)), concave_hull(as_points(inner), factor)
+                out.append((k, len(hull), area(hull), len(concave), area(concave)))
+            yield pd.DataFrame(out, columns=[key, "corners", "area", "concave_corners", "concave_area"])
+
+    rims = placed.mapInPandas(partial, f"{key} {kind}, x double, y double").groupBy(key).agg(F.collect_list(F.struct("x", "y")).alias("rim"))
+    every = placed.groupBy(key).agg(F.collect_set(F.struct("x", "y")).alias("inner"))
+    both = rims.join(every.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")))
+    return both.select(key, "rim", "inner").mapInPandas(run, f"{key} {kind}, corners int, area double, concave_corners int, concave_area double")
 
 
 def skeletons(rings: DataFrame, key: str, most: int) -> DataFrame:

@@ -112,7 +112,7 @@ def parcel_overlaps(spark: SparkSession, folder: str) -> DataFrame:
 def village_hulls(spark: SparkSession, folder: str) -> DataFrame:
     """Convex and concave hulls of the parcel corners of each village."""
     p = table(spark, folder, "parcels").where("lgd_village_code IS NOT NULL").select(F.col("lgd_village_code").alias("code"), F.explode("polygon").alias("v")).where("v.x IS NOT NULL AND v.y IS NOT NULL AND v.x < v.y")
-    return shapes.hulls(p.select("code", "v.x", "v.y"), "code", cell=40.0)
+    return shapes.hulls(p.select("code", "v.x", "v.y"), "code")
 
 
 @query()
