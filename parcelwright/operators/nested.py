@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from json.decoder import scanstring
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 if TYPE_CHECKING:
     import pandas as pd
 
-NESTED_WRAPS = 4  # times that a document may be wrapped in a JSON string
 PARTS = "record_id long, entity string, pos int, parent string, parent_pos int, child_pos int, members map<string,string>"
 
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
@@ -30,6 +30,63 @@ class _Number(str):
     """A number as it was written."""
 
 
+_BLANK = re.compile(r"[ \t\n\r]*")
+_ATOM = re.compile(r"(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|-?Infinity|NaN)|(true|false|null)")
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def _read_deep(text: str):
+    """The first JSON value of ``text`` as _JSON reads it, for any depth; ValueError if it is none or breaks off."""
+    holders: list[list] = []  # open objects and arrays, each with the member that is being read
+    over = lambda i: _BLANK.match(text, i).end()
+
+    def member(i: int) -> tuple[str, int]:
+        if text[i : i + 1] != '"':
+            raise ValueError("no member")
+        name, i = scanstring(text, i + 1, False)
+        i = over(i)
+        if text[i : i + 1] != ":":
+            raise ValueError("no value")
+        return name, over(i + 1)
+
+    at = over(0)
+    while True:
+        sign = text[at : at + 1]
+        if sign in ("{", "["):
+            value, at = {} if sign == "{" else [], over(at + 1)
+            if text[at : at + 1] == ("}" if sign == "{" else "]"):
+                at += 1
+            else:
+                holders.append([value, None])
+                if sign == "{":
+                    holders[-1][1], at = member(at)
+                continue
+        elif sign == '"':
+            value, at = scanstring(text, at + 1, False)
+        elif found := _ATOM.match(text, at):
+            value, at = _Number(found[1]) if found[1] else _WORDS[found[2]], found.end()
+        else:
+            raise ValueError("no value")
+        while holders:
+            holder, name = holders[-1]
+            if isinstance(holder, dict):
+                holder[name] = value
+            else:
+                holder.append(value)
+            at = over(at)
+            sign, at = text[at : at + 1], at + 1
+            if sign == ",":
+                at = over(at)
+                if isinstance(holder, dict):
+                    holders[-1][1], at = member(at)
+                break
+            if sign != ("}" if isinstance(holder, dict) else "]"):
+                raise ValueError("not closed")
+            value = holders.pop()[0]
+        else:
+            return value
+
+
 @dataclass(frozen=True)
 class Layout:
     """What repeats in a family of records.
@@ -49,21 +106,26 @@ def canonical(key: str) -> str:
     return _CAMEL.sub("_", key).replace("-", "_").lower()
 
 
+def _read(text: str):
+    try:
+        return _JSON.raw_decode(text)[0]
+    except RecursionError:
+        return _read_deep(text)
+
+
 def read_document(body: str | None):
     """The whole JSON document of ``body``, or None.
 
     A document may be preceded by white space or a byte order mark, followed by other text, or wrapped in a JSON
-    string. A text that doesn't begin a document, or breaks off within it, holds none.
+    string, however often. A text that doesn't begin a document, or breaks off within it, holds none.
     """
-    for _ in range(NESTED_WRAPS):
-        if not isinstance(body, str) or isinstance(body, _Number):
-            break
+    while isinstance(body, str) and not isinstance(body, _Number):
         text = body.lstrip("﻿ \t\r\n")
         if text[:1] not in ("{", "[", '"'):
             return None
         try:
-            body, _ = _JSON.raw_decode(text)
-        except (ValueError, RecursionError):
+            body = _read(text)
+        except ValueError:
             return None
     return body if isinstance(body, (dict, list)) else None
 
@@ -191,3 +253,19 @@ def list_parts(records: DataFrame, lists: dict[str, str]) -> DataFrame:
 def pivot_part(parts: DataFrame, entity: str, members: list[str]) -> DataFrame:
     """The flat table of one entity: its keys, and a column for each of ``members`` (null where an object lacks it)."""
     return parts.where(F.col("entity") == entity).select("record_id", "pos", "parent", "parent_pos", "child_pos", *[F.col("members")[m].alias(m.replace(".", "_")) for m in members])
+
+
+def listed(members: Column, name: str) -> Column:
+    """The elements of a list member, in order, as array<string>; empty if there are none. A single value is one element."""
+    places = F.filter(F.map_keys(members), lambda k: k.rlike(rf"^{re.escape(name)}\.[0-9]+$"))
+    ordered = F.array_sort(F.transform(places, lambda k: F.struct(F.substring_index(k, ".", -1).cast("int").alias("at"), k.alias("k"))))
+    return F.when(members[name].isNotNull(), F.array(members[name])).otherwise(F.transform(ordered, lambda e: members[e["k"]]))
+
+
+def position(members: Column, name: str) -> Column:
+    """A position as array<double>, written as a list, as an object of x and y, or as a text like "1.0,2.0"; null if there is none."""
+    number = lambda c: F.trim(c).try_cast("double")
+    text = F.transform(F.split(F.trim(F.regexp_replace(members[name], r"[\[\]()]", "")), r"\s*[,;]\s*|\s+"), number)
+    both = F.array(number(members[f"{name}.x"]), number(members[f"{name}.y"]))
+    found = F.when(members[name].isNotNull(), text).when(members[f"{name}.x"].isNotNull() | members[f"{name}.y"].isNotNull(), both).otherwise(F.transform(listed(members, name), number))
+    return F.when(F.exists(found, lambda v: v.isNotNull()), found)

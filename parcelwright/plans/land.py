@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwright.operators.nested import Layout, json_parts, list_parts, pivot_part
+from parcelwright.operators.nested import Layout, json_parts, list_parts, listed, position
 from parcelwright.sources.tables import table
 
 NEAR_METRES = 0.60
@@ -48,10 +48,36 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_requests(spark: SparkSession, folder: str) -> DataFrame:
     """The flat table of requests, from nested columns and from payloads alike."""
     wanted = ["survey_number", "disposition", "reason", "input_type", "instruction", "resolves_via"]
-    return pivot_part(_parts(spark, folder), "request", wanted).select("record_id", F.col("parent_pos").alias("report_pos"), "child_pos", *wanted).distinct()
+    return _flat(spark, folder, "request", wanted, position(F.col("members"), "known_utm").alias("known_utm"))
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_requests": p5_requests}
+def _flat(spark: SparkSession, folder: str, entity: str, wanted: list[str], *more: Column) -> DataFrame:
+    part = _parts(spark, folder).where(F.col("entity") == entity)
+    return part.select("record_id", F.col("parent_pos").alias("report_pos"), "child_pos", *[F.col("members")[m].alias(m.replace(".", "_")) for m in wanted], *more).distinct()
+
+
+def p5_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """The flat table of checks; the evidence comes with payloads only."""
+    wanted = ["name", "severity", "detail", "evidence.metrics.gap_m", "evidence.metrics.iou"]
+    return _flat(spark, folder, "check", wanted, listed(F.col("members"), "evidence.surveys").alias("evidence_surveys"))
+
+
+def p5_proposals(spark: SparkSession, folder: str) -> DataFrame:
+    """The flat table of proposals."""
+    flags = [F.col("members")[f].try_cast("boolean").alias(f) for f in ("is_auto", "regated", "accepted_by_gate")]
+    return _flat(spark, folder, "proposal", ["survey_number", "hypothesis", "action", "rationale", "source", "note"], *flags)
+
+
+def p5_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """The flat table of reports: record_id, report_pos, agent, passed and notes (empty where a report has none)."""
+    payloads = table(spark, folder, "report_payloads").select(F.col("payload_id").alias("record_id"), "body")
+    m = F.col("members")
+    sent = json_parts(payloads, REPORTS).where("entity = 'report'").select("record_id", F.col("pos").alias("report_pos"), m["agent"].alias("agent"), m["passed"].try_cast("boolean").alias("passed"), listed(m, "notes").alias("notes"))
+    kept = table(spark, folder, "agent_reports").select(F.col("report_id").alias("record_id"), F.lit(0).alias("report_pos"), "agent", "passed", F.coalesce("notes", F.array().cast("array<string>")).alias("notes"))
+    return sent.unionByName(kept).distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_requests": p5_requests, "p5_reports": p5_reports, "p5_checks": p5_checks, "p5_proposals": p5_proposals}
 
 ORACLE = {
     "p1_found": """
