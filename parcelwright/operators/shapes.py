@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwright.functions.plane import finite
@@ -167,20 +167,35 @@ def rigid_placements(pairs: DataFrame, key: str) -> DataFrame:
 def covered_lengths(segments: DataFrame, lines: DataFrame, reach: float) -> DataFrame:
     """How much of each segment (sid, x1, y1, x2, y2) lies within ``reach`` of a line (lx1, ly1, lx2, ly2): sid, length, covered.
 
-    The part of a segment near one line is one interval, found on 64 steps of the segment; the union of the intervals of all
-    lines is what is covered. Segments and lines meet in cells, so only near ones are compared.
+    The part of a segment near one line is one interval, since the places within ``reach`` of a line are convex: it is
+    solved for the strip along the line and the discs about its ends. The union of the intervals of all lines is what is
+    covered. Segments and lines meet in cells, so only near ones are compared.
     """
-    from parcelwright.functions.plane import segment_distance
-
-    steps = 64
     span = F.greatest(F.lit(1.0), F.lit(4 * reach))
     cells = lambda df, x1, y1, x2, y2, pad: df.withColumn("_u", F.explode(F.sequence(F.floor((F.least(x1, x2) - pad) / span), F.floor((F.greatest(x1, x2) + pad) / span)))).withColumn("_v", F.explode(F.sequence(F.floor((F.least(y1, y2) - pad) / span), F.floor((F.greatest(y1, y2) + pad) / span))))
     a = cells(segments, "x1", "y1", "x2", "y2", reach)
     b = cells(lines, "lx1", "ly1", "lx2", "ly2", 0.0)
     met = a.join(b, ["_u", "_v"]).drop("_u", "_v").distinct()
-    k = F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))
-    t = (F.col("k") + 0.5) / steps
-    px, py = F.col("x1") + t * (F.col("x2") - F.col("x1")), F.col("y1") + t * (F.col("y2") - F.col("y1"))
-    near = met.withColumn("k", k).where(segment_distance(px, py, *[F.col(c) for c in ("lx1", "ly1", "lx2", "ly2")]) <= reach).select("sid", "k").distinct().groupBy("sid").agg(F.count("*").alias("n"))
-    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    return segments.join(near, "sid", "left").select("sid", length.alias("length"), (length * F.coalesce("n", F.lit(0)) / steps).alias("covered"))
+    c = F.col
+    met = met.select("sid", (c("x2") - c("x1")).alias("dx"), (c("y2") - c("y1")).alias("dy"), (c("lx2") - c("lx1")).alias("ex"), (c("ly2") - c("ly1")).alias("ey"), (c("x1") - c("lx1")).alias("px"), (c("y1") - c("ly1")).alias("py"), (c("x1") - c("lx2")).alias("qx"), (c("y1") - c("ly2")).alias("qy"))
+
+    def between(at: Column, slope: Column, low: Column, high: Column) -> tuple[Column, Column]:
+        inside = F.when(at.between(low, high), 0.0), F.when(at.between(low, high), 1.0)
+        return F.when(slope > 0, (low - at) / slope).when(slope < 0, (high - at) / slope).otherwise(inside[0]), F.when(slope > 0, (high - at) / slope).when(slope < 0, (low - at) / slope).otherwise(inside[1])
+
+    def disc(x: str, y: str) -> tuple[Column, Column]:
+        square, half = c("dx") * c("dx") + c("dy") * c("dy"), c("dx") * c(x) + c("dy") * c(y)
+        root = half * half - square * (c(x) * c(x) + c(y) * c(y) - reach * reach)
+        return F.when((root >= 0) & (square > 0), (-half - F.sqrt(root)) / square), F.when((root >= 0) & (square > 0), (-half + F.sqrt(root)) / square)
+
+    long = c("ex") * c("ex") + c("ey") * c("ey")
+    off = between(c("ex") * c("py") - c("ey") * c("px"), c("ex") * c("dy") - c("ey") * c("dx"), -reach * F.sqrt(long), reach * F.sqrt(long))
+    along = between(c("ex") * c("px") + c("ey") * c("py"), c("ex") * c("dx") + c("ey") * c("dy"), F.lit(0.0), long)
+    both = (long > 0) & off[0].isNotNull() & along[0].isNotNull() & (F.greatest(off[0], along[0]) <= F.least(off[1], along[1]))
+    strip = F.when(both, F.greatest(off[0], along[0])), F.when(both, F.least(off[1], along[1]))
+    parts = [strip, disc("px", "py"), disc("qx", "qy")]
+    near = met.select("sid", F.greatest(F.lit(0.0), F.least(*[p[0] for p in parts])).alias("low"), F.least(F.lit(1.0), F.greatest(*[p[1] for p in parts])).alias("high")).where(F.least(*[p[0] for p in parts]).isNotNull() & (c("low") < c("high")))
+    before = Window.partitionBy("sid").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
+    union = near.withColumn("from", F.greatest("low", F.coalesce(F.max("high").over(before), F.lit(0.0)))).groupBy("sid").agg(F.sum(F.greatest(F.lit(0.0), c("high") - c("from"))).alias("share"))
+    length = F.hypot(c("x2") - c("x1"), c("y2") - c("y1"))
+    return segments.join(union, "sid", "left").select("sid", length.alias("length"), (length * F.coalesce("share", F.lit(0.0))).alias("covered"))
