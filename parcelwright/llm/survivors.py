@@ -7,13 +7,14 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelwright.llm.cadastre import has_text, name_key, resolve_villages, survey_key, with_shape
+from parcelwright.llm.cadastre import has_text, name_key, resolve_villages, ring_points, survey_key, with_shape
 from parcelwright.operators.graph import components
 from parcelwright.plans.checkpoints import materialise
 
 SAME_PLACE = 0.25  # centroids of one parcel lie within this share of the square root of its area
 SAME_SIZE = 1.25  # and its areas within this ratio
-ROUNDS, CONVERGED = 20, 1e-4
+RING_PLACE, RING_SIZE = 0.05, 1.05  # the same for rings that claim one polygon, whose perimeters are within that ratio too
+ROUNDS, CONVERGED = 1_000, 1e-4  # rounds at most: an error follows
 
 
 def discover(claims: DataFrame, reliability: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -41,6 +42,8 @@ def discover(claims: DataFrame, reliability: DataFrame, rounds: int = ROUNDS) ->
         weights = following.select("source", "weight")
         if moved is None or moved < CONVERGED:
             break
+    else:
+        raise RuntimeError(f"weights still move by {moved} after {rounds} rounds")
     value = scored(weights)
     # the largest support first, then more sources, then the smallest value
     best = value.groupBy("object", "field").agg(F.min_by(F.struct("value", "support", "share"), F.struct(-F.col("support"), -F.col("sources"), F.col("value"))).alias("v"))
@@ -148,21 +151,66 @@ def same_parcel_pairs(parcels: DataFrame, villages: DataFrame, sources: DataFram
     return pairs.join(keepers(grouped, sources), "object").select("parcel_id_a", "parcel_id_b", "keeper_id")
 
 
+def ring_claims(grouped: DataFrame, rings: DataFrame) -> DataFrame:
+    """object, parcel_id, ring_class: the records with a ring, those of one object in classes that agree in place, size and shape.
+
+    ``rings``: parcel_id, polygon. Nearly equal rings of an object are one node before any are compared; classes are
+    the components of the nodes that agree.
+    """
+    points = ring_points(F.col("polygon"))
+    sides = F.zip_with(points, F.concat(F.slice(points, 2, F.greatest(F.size(points), F.lit(1))), F.slice(points, 1, 1)), lambda p, q: F.hypot(p["x"] - q["x"], p["y"] - q["y"]))
+    around = rings.select("parcel_id", F.aggregate(sides, F.lit(0.0), lambda s, d: s + d).alias("perimeter"))
+    fine = F.sqrt("shape_area") * RING_PLACE / 8
+    shaped = grouped.where("shape_area IS NOT NULL").select("object", "parcel_id", "cx", "cy", "shape_area").join(around, "parcel_id")
+    step = F.pow(F.lit(2.0), F.floor(F.log2(fine)))
+    cell = {"_s": step, "_u": F.floor(F.col("cx") / step), "_v": F.floor(F.col("cy") / step), "_a": F.floor(F.log("shape_area") * 100), "_p": F.floor(F.log("perimeter") * 100)}
+    celled = shaped.withColumns(cell)
+    nodes = celled.groupBy("object", *cell).agg(F.min("parcel_id").alias("node"), F.avg("cx").alias("cx"), F.avg("cy").alias("cy"), F.avg("shape_area").alias("area"), F.avg("perimeter").alias("perimeter"))
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            out = []
+            for found in frame["found"]:
+                left = sorted((r["node"], r["cx"], r["cy"], r["area"], r["perimeter"]) for r in found)
+                while left:
+                    first, *left = left
+                    open_nodes = [first]
+                    while open_nodes:
+                        node, x, y, area, length = open_nodes.pop()
+                        out.append((node, str(first[0])))
+                        near = [r for r in left if math.hypot(r[1] - x, r[2] - y) <= RING_PLACE * math.sqrt(max(area, r[3])) and max(area, r[3]) <= RING_SIZE * min(area, r[3]) and max(length, r[4]) <= RING_SIZE * min(length, r[4])]
+                        taken = {r[0] for r in near}
+                        left = [r for r in left if r[0] not in taken]
+                        open_nodes += near
+            yield pd.DataFrame(out, columns=["node", "ring_class"])
+
+    classes = nodes.groupBy("object").agg(F.collect_list(F.struct("node", "cx", "cy", "area", "perimeter")).alias("found")).select("found").mapInPandas(run, "node long, ring_class string")
+    return celled.join(nodes.select("object", *cell, "node"), ["object", *cell]).join(classes, "node").select("object", "parcel_id", "ring_class")
+
+
 def survivors(parcels: DataFrame, villages: DataFrame, sources: DataFrame) -> DataFrame:
     """The surviving record of each set: its keeper, and for each field the value that truth discovery supports most.
 
     Result: keeper_id, records, survey (key) and survey_support, lgd_village_code and village_support (share of the
-    weighted votes), village (its name in the reference list), ring_from (the record whose ring is kept: of the most
-    reliable source, then the latest, then the smallest id). Inputs as in same_parcel_pairs(); a set's fields are null where no record has them.
+    weighted votes), village (its name in the reference list), polygon (as delivered), polygon_support and ring_from
+    (the record whose ring is kept: of the records that claim the best supported ring, that of the most reliable source,
+    then the latest, then the smallest id). Inputs as in same_parcel_pairs(); a set's fields are null where no record has them.
     """
     single = parcels.where("parcel_id IS NOT NULL").dropDuplicates(["parcel_id"])
     grouped, _, weights = group_records(single, villages, sources)
     told = grouped.select("object", F.lit("survey").alias("field"), F.col("survey").alias("value"), "source").unionByName(grouped.select("object", F.lit("code").alias("field"), F.col("code").cast("string").alias("value"), "source"))
-    truth, _ = discover(told, weights, rounds=1)
-    fields = truth.groupBy("object").pivot("field", ["survey", "code"]).agg(F.first("value").alias("value"), F.first("share").alias("share"))
+    claimed = materialise(ring_claims(grouped, single.select("parcel_id", "polygon")))
+    rung = grouped.join(claimed.select("parcel_id", "ring_class"), "parcel_id")
+    told = told.unionByName(rung.select("object", F.lit("ring").alias("field"), F.col("ring_class").alias("value"), "source"))
+    truth, weights = discover(told, weights)
+    fields = truth.groupBy("object").pivot("field", ["survey", "code", "ring"]).agg(F.first("value").alias("value"), F.first("share").alias("share"))
     rank = F.struct(F.coalesce("weight", F.lit(0.0)).alias("w"), F.col("captured_at").alias("at"), (-F.col("parcel_id")).alias("id"))
-    rings = grouped.where("shape_area IS NOT NULL").join(weights, "source", "left").groupBy("object").agg(F.max_by("parcel_id", rank).alias("ring_from"))
+    best = truth.where("field = 'ring'").select("object", F.col("value").alias("ring_class"))
+    rings = rung.join(best, ["object", "ring_class"]).join(weights, "source", "left").groupBy("object").agg(F.max_by("parcel_id", rank).alias("ring_from"))
+    rings = rings.join(single.select(F.col("parcel_id").alias("ring_from"), "polygon"), "ring_from")
     size = grouped.groupBy("object").agg(F.count("*").alias("records"))
     out = keepers(grouped, sources).join(size, "object").join(fields, "object", "left").join(rings, "object", "left")
     names = villages.select(F.col("lgd_village_code").cast("string").alias("code_value"), "village").dropDuplicates(["code_value"])
-    return out.join(names, "code_value", "left").select("keeper_id", "records", F.col("survey_value").alias("survey"), F.round("survey_share", 6).alias("survey_support"), F.col("code_value").cast("long").alias("lgd_village_code"), F.round("code_share", 6).alias("village_support"), "village", "ring_from")
+    return out.join(names, "code_value", "left").select("keeper_id", "records", F.col("survey_value").alias("survey"), F.round("survey_share", 6).alias("survey_support"), F.col("code_value").cast("long").alias("lgd_village_code"), F.round("code_share", 6).alias("village_support"), "village", "ring_from", F.round("ring_share", 6).alias("polygon_support"), "polygon")
