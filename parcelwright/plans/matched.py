@@ -109,15 +109,19 @@ def true_corners(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def placed_plots(spark: SparkSession, folder: str) -> DataFrame:
-    """Parcel rings of four to six corners laid on the surveyed stones of their village by votes of their edges."""
-    ring = F.col("polygon")
-    p = table(spark, folder, "parcels").where((F.size(ring) >= 4) & (F.size(ring) <= 6) & (F.size(F.array_distinct(ring)) == F.size(ring)))
+    """Parcel rings laid on the surveyed stones of their village by votes of their edges."""
+    there = F.filter("polygon", lambda v: v.isNotNull() & plane.finite(v["x"]).isNotNull() & plane.finite(v["y"]).isNotNull())
+    closed = (F.size("whole") > 1) & (F.get("whole", F.lit(0)) == F.get("whole", F.size("whole") - 1))
+    ring = F.col("ring")
+    p = table(spark, folder, "parcels").withColumn("whole", there).withColumn("ring", F.when(closed, F.slice("whole", 1, F.size("whole") - 1)).otherwise(F.col("whole"))).where(F.size(F.array_distinct("ring")) >= 3)
     first = F.get(ring, F.lit(0))
     turned = F.transform(ring, lambda v: F.struct((v["x"] - first["x"]).alias("x"), (v["y"] - first["y"]).alias("y")))
     corners = p.where("lgd_village_code IS NOT NULL").select(F.col("parcel_id").alias("plot"), F.col("lgd_village_code").alias("area"), F.posexplode(turned).alias("at", "v")).select("plot", "area", "at", "v.x", "v.y")
     sound = table(spark, folder, "stones").where("lgd_village_code IS NOT NULL").select("stone_id", F.col("lgd_village_code").alias("area"), plane.finite(F.col("x")).alias("x"), plane.finite(F.col("y")).alias("y")).where("x > 1000 AND y > 1000")
-    stones = sound.groupBy("area", F.round("x", 0).alias("x"), F.round("y", 0).alias("y")).agg(F.min("stone_id").alias("stone"))
-    return matching.best_poses(matching.poses(corners, stones, 0.5, 80.0))
+    stones = sound.groupBy("area", "x", "y").agg(F.min("stone_id").alias("stone"))
+    sides = p.where("lgd_village_code IS NOT NULL").select(F.explode(plane.closed_pairs(ring)).alias("e"))
+    longest = sides.agg(F.max(F.hypot(F.col("e.x2") - F.col("e.x1"), F.col("e.y2") - F.col("e.y1")))).collect()[0][0]
+    return matching.best_poses(matching.poses(corners, stones, 0.5, longest or 1.0))
 
 
 @query(_EDGE_SQL + """
