@@ -78,8 +78,12 @@ def with_shape(df: DataFrame, ring: str = "polygon") -> DataFrame:
 
 
 def deletions(name: Column) -> Column:
-    """A name and all its spellings without one character; two names that share one are at most two edits apart."""
-    return F.array_distinct(F.concat(F.array(name), F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.length(name))))))
+    """A name and all its spellings without one or two characters; names at most two edits apart share one."""
+
+    def shorter(s: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+
+    return F.array_distinct(F.concat(F.array(name), shorter(name), F.flatten(F.transform(shorter(name), shorter))))
 
 
 def resolve_villages(spellings: DataFrame, villages: DataFrame, shortest: int = 5) -> DataFrame:
@@ -87,7 +91,7 @@ def resolve_villages(spellings: DataFrame, villages: DataFrame, shortest: int =
 
     ``spellings``: name (a name_key()); ``villages``: lgd_village_code, village, local_name. Result: name, codes (sorted
     array). A name's candidates are the villages it equals in either script; else those whose name it abbreviates (at
-    least ``shortest`` characters); else the closest within two edits, found by shared spellings without one character.
+    least ``shortest`` characters); else the closest within two edits, found by shared spellings without up to two characters.
     Names without a candidate have no row; each name has one row; nulls are left out.
     """
     known = villages.select("lgd_village_code", F.explode(F.array(name_key(F.col("village")), name_key(F.col("local_name")))).alias("known")).where("known IS NOT NULL AND lgd_village_code IS NOT NULL").distinct()
