@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwright.operators.nested import Layout, json_parts, list_parts, listed, position
+from parcelwright.operators.nested import Layout, as_bodies, json_parts, listed, position
 from parcelwright.sources.tables import table
 
 NEAR_METRES = 0.60
@@ -34,8 +34,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def _parts(spark: SparkSession, folder: str) -> DataFrame:
     payloads = table(spark, folder, "report_payloads").select(F.col("payload_id").alias("record_id"), "body")
-    reports = table(spark, folder, "agent_reports").select(F.col("report_id").alias("record_id"), *CHILDREN)
-    return json_parts(payloads, REPORTS).unionByName(list_parts(reports, CHILDREN))
+    return json_parts(payloads.unionByName(_report_bodies(spark, folder)), REPORTS)
+
+
+def _report_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    return as_bodies(table(spark, folder, "agent_reports"), "report_id", ["agent", "passed", *CHILDREN, "notes"], "reports")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,16 +73,30 @@ def p5_proposals(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_reports(spark: SparkSession, folder: str) -> DataFrame:
     """The flat table of reports: record_id, report_pos, agent, passed and notes (empty where a report has none)."""
-    payloads = table(spark, folder, "report_payloads").select(F.col("payload_id").alias("record_id"), "body")
     m = F.col("members")
-    sent = json_parts(payloads, REPORTS).where("entity = 'report'").select("record_id", F.col("pos").alias("report_pos"), m["agent"].alias("agent"), m["passed"].try_cast("boolean").alias("passed"), listed(m, "notes").alias("notes"))
-    kept = table(spark, folder, "agent_reports").select(F.col("report_id").alias("record_id"), F.lit(0).alias("report_pos"), "agent", "passed", F.coalesce("notes", F.array().cast("array<string>")).alias("notes"))
-    return sent.unionByName(kept).distinct()
+    sent = _parts(spark, folder).where("entity = 'report'")
+    return sent.select("record_id", F.col("pos").alias("report_pos"), m["agent"].alias("agent"), m["passed"].try_cast("boolean").alias("passed"), listed(m, "notes").alias("notes")).distinct()
+
+
+def p5_agent_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Every check, request and proposal of agent_reports by the same operator, with fields that SQL can take from the nested columns."""
+    part = json_parts(_report_bodies(spark, folder), REPORTS).where(F.col("entity").isin(*CHILDREN.values()))
+    m = F.col("members")
+    shown = F.when(F.col("entity") == "check", m["severity"]).when(F.col("entity") == "request", m["disposition"]).otherwise(m["action"])
+    item = F.when(F.col("entity") == "check", m["name"]).otherwise(m["survey_number"])
+    return part.select("record_id", F.col("entity").alias("child_kind"), "child_pos", item.alias("item"), shown.alias("detail"), m["is_auto"].alias("is_auto"), position(m, "known_utm").alias("known_utm")).select("*", F.get("known_utm", F.lit(0)).alias("east"), F.get("known_utm", F.lit(1)).alias("north")).drop("known_utm").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_requests": p5_requests, "p5_reports": p5_reports, "p5_checks": p5_checks, "p5_proposals": p5_proposals}
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_requests": p5_requests, "p5_reports": p5_reports, "p5_checks": p5_checks, "p5_proposals": p5_proposals, "p5_agent_items": p5_agent_items}
 
 ORACLE = {
+    "p5_agent_items": """
+WITH c AS (SELECT report_id, unnest(checks) AS e, unnest(range(len(checks))) AS i FROM agent_reports),
+r AS (SELECT report_id, unnest(requests) AS e, unnest(range(len(requests))) AS i FROM agent_reports),
+p AS (SELECT report_id, unnest(proposals) AS e, unnest(range(len(proposals))) AS i FROM agent_reports)
+SELECT DISTINCT report_id AS record_id, 'check' AS child_kind, CAST(i AS INTEGER) AS child_pos, e.name AS item, e.severity AS detail, CAST(NULL AS VARCHAR) AS is_auto, CAST(NULL AS DOUBLE) AS east, CAST(NULL AS DOUBLE) AS north FROM c WHERE e IS NOT NULL
+UNION ALL SELECT DISTINCT report_id, 'request', CAST(i AS INTEGER), e.survey_number, e.disposition, NULL, e.known_utm[1], e.known_utm[2] FROM r WHERE e IS NOT NULL
+UNION ALL SELECT DISTINCT report_id, 'proposal', CAST(i AS INTEGER), e.survey_number, e.action, CAST(e.is_auto AS VARCHAR), NULL, NULL FROM p WHERE e IS NOT NULL""",
     "p1_found": """
 WITH stone AS (
   SELECT DISTINCT stone_id AS id, x, y, upper(regexp_replace(coalesce(crs, 'EPSG:32643'), '\\s', '', 'g')) AS grp

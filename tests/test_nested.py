@@ -1,6 +1,7 @@
 import json
 
-from parcelwright.operators.nested import canonical, instances, json_parts, list_parts, pivot_part, read_document
+from parcelwright.operators import nested
+from parcelwright.operators.nested import as_bodies, canonical, document_text, json_parts, paths, pivot_part
 from parcelwright.plans.land import REPORTS
 
 BODY = {
@@ -9,8 +10,12 @@ BODY = {
 }
 
 
+def instances(document):
+    return nested.instances(document if document is None or isinstance(document, str) else json.dumps(document), paths(REPORTS))
+
+
 def test_instances_keep_places_and_parents():
-    rows = list(instances(read_document(json.dumps(BODY)), REPORTS))
+    rows = list(instances(BODY))
     short = [(e, pos, parent, at, child) for e, pos, parent, at, child, _ in rows]
     assert ("stage", 2, None, None, 2) in short
     assert [r for r in short if r[0] == "report"] == [("report", 0, "stage", 1, 0), ("report", 1, "stage", 1, 1), ("report", 2, "stage", 2, 0), ("report", 3, "stage", 2, 1)]
@@ -24,24 +29,41 @@ def test_instances_keep_places_and_parents():
 
 def test_single_report_and_keyed_reports():
     single = {"reports": {"agent": "g", "checks": [{"name": "n"}]}}
-    assert [(r[0], r[3]) for r in instances(single, REPORTS)] == [("report", None), ("check", 0)]
-    assert [r[5].get("agent") for r in instances({"reports": {"g": {}, "h": {"notes": []}}}, REPORTS)] == ["g", "h"]
-    assert list(instances({"reports": {}}, REPORTS)) == list(instances({"reports": None}, REPORTS)) == []
+    assert [(r[0], r[3]) for r in instances(single)] == [("report", None), ("check", 0)]
+    assert [r[5].get("agent") for r in instances({"reports": {"g": {}, "h": {"notes": []}}})] == ["g", "h"]
+    assert list(instances({"reports": {}})) == list(instances({"reports": None})) == []
 
 
 def test_bodies_without_a_whole_document():
     whole = json.dumps(BODY)
-    assert all(read_document(b) is None for b in (None, "", "  ", "null", "12", "ERR timeout", whole[:-1], whole[:40], json.dumps(whole)[:-9], '"text"'))
-    assert read_document("\n ﻿" + whole) == read_document(json.dumps(json.dumps(whole))) == read_document(whole + " trailing")
-    assert read_document('{"a": 1.50}') == {"a": "1.50"}
+    damaged = (None, "", "  ", "null", "12", "ERR timeout", whole[:-1], whole[:40], json.dumps(whole)[:-9], '"text"', whole.replace(": true", ": tru"), whole.replace("], ", ",], ", 1), '{"checks": [{"name": "a",}]}', '{"checks": [{"name": 01}]}', '{"checks": [{"name": "a"}}')
+    assert [instances(b) for b in damaged] == [[]] * len(damaged)
+    assert instances("\n \ufeff" + whole) == instances(json.dumps(json.dumps(whole))) == instances(whole + " trailing") == instances(json.dumps(BODY, indent=2)) != []
+
+
+def test_every_cut_body_and_every_wrapping():
+    whole = json.dumps({"checks": [{"name": "a\\u00e9\\n", "n": [1, [2.5, {"x": None}]], "t": True}, {"name": "b"}], "x": "}"}, ensure_ascii=False)
+    assert not any(instances(whole[:n]) for n in range(len(whole)))
+    assert instances(whole)[0][5] == {"name": "a\\u00e9\\n", "n.0": "1", "n.1.0": "2.5", "n.1.1.x": None, "t": "true"}
+    wrapped = whole
+    for _ in range(10):
+        wrapped = json.dumps(wrapped)
+    assert instances(wrapped) == instances(whole) and document_text(wrapped) == whole
+
+
+def test_members_given_twice():
+    assert [r[5] for r in instances('{"checks": [{"name": "a"}, {"name": "b"}], "checks": [{"name": "c", "name": "d"}]}')] == [{"name": "d"}]
+    assert instances('{"checks": [{"name": "a"}], "checks": null}') == []
 
 
 def test_deep_and_long_records():
-    deep = "[" * 500 + '{"checks": [{"name": "n"}]}' + "]" * 500
-    assert [r[5] for r in instances(read_document(deep), REPORTS)] == [{"name": "n"}]
-    assert read_document("[" * 100_000) is None
+    for depth in (500, 20_000, 100_000):
+        assert [r[5] for r in instances("[" * depth + '{"checks": [{"name": "n"}]}' + "]" * depth)] == [{"name": "n"}]
+    deep = '{"checks": [' + '{"m": ' * 30_000 + "1" + "}" * 30_000 + "]}"
+    assert [len(next(iter(r[5]))) for r in instances(deep)] == [2 * 30_000 - 1]
+    assert instances("[" * 100_000) == []
     many = {"reports": [{"checks": [{"name": str(i)} for i in range(30_000)]}]}
-    assert sum(r[0] == "check" for r in instances(many, REPORTS)) == 30_000
+    assert sum(r[0] == "check" for r in instances(many)) == 30_000
 
 
 def test_canonical_names():
@@ -57,8 +79,8 @@ def test_json_parts_and_pivot(spark):
     assert json_parts(records.limit(0), REPORTS).collect() == []
 
 
-def test_list_parts(spark):
-    schema = "record_id long, checks array<struct<name string, severity string>>, requests array<struct<survey_number string, known_utm array<double>>>"
+def test_nested_columns_go_through_the_same_operator(spark):
+    schema = "id long, checks array<struct<name string, severity string>>, requests array<struct<survey_number string, known_utm array<double>>>"
     rows = [(1, [("a", "ok"), None, ("a", "ok")], None), (2, [], [("5", [1.0, 2.0])]), (3, None, None)]
-    got = list_parts(spark.createDataFrame(rows, schema), {"checks": "check", "requests": "request"}).collect()
+    got = json_parts(as_bodies(spark.createDataFrame(rows, schema), "id", ["checks", "requests"], "reports"), REPORTS).where("entity <> 'report'").collect()
     assert sorted((r.record_id, r.entity, r.parent_pos, r.child_pos, r.members.get("name") or r.members.get("survey_number")) for r in got) == [(1, "check", 0, 0, "a"), (1, "check", 0, 2, "a"), (2, "request", 0, 0, "5")]
