@@ -17,16 +17,19 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelwright.llm.tokens import slices
 from parcelwright.plans.checkpoints import materialise
 
 ORDERS = 6  # words of context, at most
 BITMAP_BITS = 1 << 26  # of the filter for contexts that occur as endings; its size is fixed
 TERSE_WORDS = 4  # up to so many words a text may be a note without a full stop
 LENGTH_MARGIN = 6.0  # standard deviations by which a candidate limit exceeds its expected number of texts
-LEAST_AT_LIMIT = 6  # texts that a candidate limit has at least
+UNFINISHED_SHARE = 0.35  # of the texts at a candidate limit, those whose ending speaks for a cut, at least
+PRIOR_TEXTS, PRIOR_DEVIATION = 2.0, 0.5  # a prior of the length fit, in texts, so that few texts give a wide distribution
 EM_ROUNDS = 12
 HIGHEST_PRIOR = 0.97  # no length makes a cut surer than that
 
@@ -36,7 +39,7 @@ FULL_STOP = math.log(0.015 / 0.85)
 MARKED, BROKEN_JSON, WHOLE_JSON, TRAILING_BLANK, TERSE, REPEATED = 8.0, 12.0, -12.0, 3.0, -3.0, -8.0
 REPEATED_SHARE = 0.02  # a note that is repeated must be this share of the sentences that begin like it, or they may be cut
 
-_STOP = re.compile(r"[.!?।…]+[\"'»”’)\]]*$")
+_STOPS, _CLOSERS = ".!?।…", "\"'»”’)]"
 _DECORATION = re.compile(r"(?:\s*(?:[:;]-?[)(DP]|[☀-➿\U0001F300-\U0001FAFF️‍])+)+$")
 _MARK = re.compile(r"\s*(?:[\[(]\s*(?:\.{3}|…|more|cut|truncated|continued|clipped)\s*[\])])$", re.IGNORECASE)
 _ELLIPSIS = re.compile(r"\s*(?:\.{3,}|…)$")
@@ -53,13 +56,24 @@ def core(token: str) -> str:
     return _DIGITS.sub("0", token.strip(_EDGE))
 
 
+def stops(token: str) -> bool:
+    """Whether a token ends with a full stop or the like, perhaps within quotes or brackets."""
+    return token.rstrip(_CLOSERS)[-1:] in _STOPS if token.rstrip(_CLOSERS) else False
+
+
+def beginning_hashes(text: str) -> list[int]:
+    """The 64-bit hash of each beginning of a text and last of itself; the same in every process."""
+    value, out = 0xCBF29CE484222325, []
+    for sign in text:
+        for byte in sign.encode("utf-8", "replace"):
+            value = ((value ^ byte) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
+        out.append(value)
+    return out or [value]
+
+
 @lru_cache(maxsize=1 << 18)
 def token_hash(text: str) -> int:
-    """A 64-bit hash that is the same in every process."""
-    value = 0xCBF29CE484222325
-    for byte in text.encode("utf-8", "replace"):
-        value = ((value ^ byte) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return value
+    return beginning_hashes(text)[-1]
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -68,29 +82,42 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _mix_one(a: int, b: int) -> int:
+    """_mix() of two numbers."""
+    x = ((a ^ (b + int(_MIX) + (a << 6) + (a >> 2))) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
+    return x ^ (x >> 29)
+
+
 def _contexts(hashes: list[int], kind: int) -> list[int]:
     """Hashes of the last one, two, ... of these (up to ORDERS), the first of them standing after a sentence start."""
-    h = np.array(hashes, np.uint64)
-    value = _mix(h[-1:], np.array([kind], np.uint64))
+    value = _mix_one(hashes[-1], kind)
     out = [value]
-    for k in range(1, ORDERS):
-        if k > len(h):
-            break
-        value = _mix(value, h[-1 - k : len(h) - k] if k < len(h) else np.array([_START]))
+    for k in range(1, min(ORDERS, len(hashes) + 1)):
+        value = _mix_one(value, hashes[-1 - k] if k < len(hashes) else int(_START))
         out.append(value)
-    return [int(v[0].astype(np.int64)) for v in out]
+    return [v - (1 << 64) if v >> 63 else v for v in out]
 
 
 def last_sentence(text: str) -> list[str]:
     """The tokens after the last one that ends a sentence or line."""
-    line = text.rstrip()[-4000:].rsplit("\n", 1)[-1]
-    tokens = line.split()
+    tokens = text.rstrip().rsplit("\n", 1)[-1].split()
     for i in range(len(tokens) - 2, -1, -1):
-        if _STOP.search(tokens[i]) and core(tokens[i]):
+        if stops(tokens[i]) and core(tokens[i]):
             return tokens[i + 1 :]
     return tokens
 
 
+def json_form(bare: str) -> float | None:
+    """Evidence of a text that is JSON, whole or broken off; None for other texts, also for those that begin with a bracket."""
+    if bare[:1] not in ("{", "[") or bare[:2] in ("[.", "[…"):
+        return None
+    try:
+        json.loads(bare)
+        return WHOLE_JSON
+    except (ValueError, RecursionError):
+        return BROKEN_JSON if bare[:1] == "{" or bare[:2] in ('["', "[{", "[[") else None
+
+
 def ending(text: str) -> tuple[float, bool, list[int], list[int], int | None]:
     """(evidence of the form, whether the text is prose, contexts of the last words, contexts of the last word as a beginning, note).
 
@@ -98,47 +125,39 @@ def ending(text: str) -> tuple[float, bool, list[int], list[int], int | None]:
     note is a hash of a terse text with numbers as 0, and None for others.
     """
     bare = text.rstrip()
-    if bare[:1] in "{[" and bare[:2] not in ("[.", "[…"):
-        try:
-            json.loads(bare)
-            return WHOLE_JSON, False, [], [], None
-        except (ValueError, RecursionError):
-            if bare[:1] == "{" or bare[:2] in ('["', "[{", "[["):
-                return BROKEN_JSON, False, [], [], None
+    form = json_form(bare)
+    if form is not None:
+        return form, False, [], [], None
     words = bare.count(" ") + bare.count("\n") + 1
+    prose = words > TERSE_WORDS
     evidence = 0.0
-    if _MARK.search(bare):
-        return MARKED, words > TERSE_WORDS, [], [], None
-    plain = _DECORATION.sub("", bare)
+    if bare[-1:] in ("]", ")") and _MARK.search(bare):
+        return MARKED, prose, [], [], None
+    # patterns are only asked where the last character allows them
+    plain = _DECORATION.sub("", bare) if bare[-1:] in tuple(")(DP]") or bare[-1:] >= "\u200d" else bare
     decorated = len(plain) < len(bare) and bool(plain)
-    cut_off = _ELLIPSIS.sub("", plain)
-    trailing = len(cut_off) < len(plain)
-    if trailing:
-        plain = cut_off.rstrip()
-    stop = _STOP.search(plain)
-    numeric = bool(re.search(r"\d[.,]$", plain))
-    if stop and not numeric:
-        return FULL_STOP, words > TERSE_WORDS, [], [], None
-    if _SIGNED.search(plain) or _LISTED.search(plain):
-        return FULL_STOP, words > TERSE_WORDS, [], [], None
-    if decorated:
-        return FULL_STOP, words > TERSE_WORDS, [], [], None
+    if plain.endswith(("...", "…")):
+        plain = _ELLIPSIS.sub("", plain).rstrip()
+    stop = stops(plain)
+    numeric = plain[-1:] in (".", ",") and plain[-2:-1].isdigit()
+    if (stop and not numeric) or decorated or ("\n" in plain and (_SIGNED.search(plain) or _LISTED.search(plain))):
+        return FULL_STOP, prose, [], [], None
     if numeric and stop:
         evidence += FULL_STOP / 2
     else:
         evidence += NO_STOP
     if text[-1:].isspace() and not text.endswith("\n"):
         evidence += TRAILING_BLANK
-    if plain[-1:] in ",;:(-[«“\"" and not stop:
+    if plain[-1:] in tuple(",;:(-[«“\"") and not stop:
         evidence += 2.0
-    if words <= TERSE_WORDS:
+    if not prose:
         evidence += TERSE
     tokens = [core(t) for t in last_sentence(plain)]
     hashes = [token_hash(t) for t in tokens]
     if not tokens:
-        return evidence, words > TERSE_WORDS, [], [], None
-    note = _contexts(hashes[::-1], 3)[-1] if words <= TERSE_WORDS else None
-    return evidence, words > TERSE_WORDS, _contexts(hashes, 1), _contexts(hashes, 2)[:2], note
+        return evidence, prose, [], [], None
+    note = None if prose else _contexts(hashes[::-1], 3)[-1]
+    return evidence, prose, _contexts(hashes, 1), _contexts(hashes, 2)[:2], note
 
 
 FEATURES = "turn_id long, source string, field_name string, length int, text_hash long, form double, prose boolean, contexts array<long>, beginnings array<long>, note long"
@@ -161,39 +180,40 @@ def corpus_counts(texts: list[str], wanted=None) -> tuple[np.ndarray, np.ndarray
     Beginnings count under the contexts of ``_contexts(..., 2)``: how often a longer word begins like that.
     ``wanted`` keeps the contexts that may occur as an ending.
     """
+    chars = sum(map(len, texts))
+    texts = [t for t in texts if t[:1] not in ("{", "[") or json_form(t.rstrip()) is None]
+    lines = pc.split_pattern(pa.array(texts, pa.large_string()), "\n")
+    words = pc.utf8_split_whitespace(pc.list_flatten(lines))
+    line = pc.list_parent_indices(words).to_numpy()
+    coded = pc.list_flatten(words).dictionary_encode()
+    spelled, kind = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    there = np.array([w != "" for w in spelled], bool)[kind] if len(kind) else np.zeros(0, bool)
+    line, kind = line[there], kind[there]
+    if not len(kind):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0, chars
+    text_of = pc.list_parent_indices(lines).to_numpy()[line]
+    final = np.r_[line[1:] != line[:-1], True]
+    last_line = np.zeros(len(texts), np.int64)
+    last_line[text_of] = line  # in order, so the last stays
     ids: dict[str, int] = {}
-    seq: list[int] = []
-    place: list[int] = []
-    ends: list[int] = []
-    counted: list[bool] = []
-    chars = 0
-    for text in texts:
-        chars += len(text)
-        if text[:1] in "{[":
-            continue
-        at = 0
-        lines = text.rstrip().split("\n")
-        for n, line in enumerate(lines):
-            tokens = line.split()
-            at = 0
-            for i, token in enumerate(tokens):
-                c = core(token)
-                if not c:
-                    continue
-                seq.append(ids.setdefault(c, len(ids)))
-                place.append(at)
-                final = i == len(tokens) - 1
-                stop = _STOP.search(token) is not None
-                ends.append(1 if stop or (final and n < len(lines) - 1) else 0)
-                counted.append(stop or not (final and n == len(lines) - 1))
-                at = 0 if stop else at + 1
-    if not seq:
+    cores = [core(w) for w in spelled]
+    core_id = np.array([ids.setdefault(c, len(ids)) if c else -1 for c in cores])
+    stop_of = np.array([c != "" and stops(w) for w, c in zip(spelled, cores)])
+    ends_text = final & (line == last_line[text_of])
+    kept = core_id[kind] >= 0
+    kind, line, final, ends_text = kind[kept], line[kept], final[kept], ends_text[kept]
+    if not len(kind):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0, chars
+    which, stop = core_id[kind], stop_of[kind]
+    end, use = (stop | (final & ~ends_text)).astype(np.int64), stop | ~ends_text
+    begins = np.r_[True, (line[1:] != line[:-1]) | stop[:-1]]
+    place = np.arange(len(kind))
+    pos = place - np.maximum.accumulate(np.where(begins, place, 0))
     names = list(ids)
-    hashes = np.array([token_hash(c) for c in names], np.uint64)
-    which, pos, end, use = np.array(seq), np.array(place), np.array(ends, np.int64), np.array(counted)
+    heads = [beginning_hashes(c) for c in names]
+    hashes = np.array([v[-1] for v in heads], np.uint64)
     h = hashes[which]
-    keys, stops, goes = [], [], []
+    keys, stopped, goes = [], [], []
 
     def add(key: np.ndarray, stop: np.ndarray, go: np.ndarray) -> None:
         key = key.astype(np.int64)
@@ -201,7 +221,7 @@ def corpus_counts(texts: list[str], wanted=None) -> tuple[np.ndarray, np.ndarray
             keep = wanted(key)
             key, stop, go = key[keep], stop[keep], go[keep]
         keys.append(key)
-        stops.append(stop)
+        stopped.append(stop)
         goes.append(go)
 
     value = _mix(h, np.full(len(h), 1, np.uint64))
@@ -214,27 +234,24 @@ def corpus_counts(texts: list[str], wanted=None) -> tuple[np.ndarray, np.ndarray
         add(value[fits], end[fits], 1 - end[fits])
     # words as beginnings of longer ones, alone and after the word before
     previous = np.where(pos >= 1, np.r_[np.zeros(1, np.uint64), h[:-1]], _START)
-    pair, number = np.unique(np.column_stack([which.astype(np.uint64), previous])[use], axis=0, return_counts=True)
-    heads, owners = [], []
-    for i in np.unique(pair[:, 0]).astype(int).tolist():
-        word = names[i]
-        for n in range(1, min(len(word), 40)):
-            heads.append(token_hash(word[:n]))
-            owners.append(i)
-    if heads:
-        head, owner = np.array(heads, np.uint64), np.array(owners)
-        order = np.argsort(owner, kind="stable")
-        head, owner = head[order], owner[order]
-        first, last = np.searchsorted(owner, pair[:, 0], "left"), np.searchsorted(owner, pair[:, 0], "right")
-        size = last - first
-        row = np.repeat(np.arange(len(pair)), size)
-        picked = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - first, size)
-        alone = _mix(head[picked], np.full(len(picked), 2, np.uint64))
-        zero = np.zeros(len(picked), np.int64)
-        add(alone, zero, number[row])
-        add(_mix(alone, pair[row, 1]), zero, number[row])
+    _, first, number = np.unique(_mix(h[use], previous[use]), return_index=True, return_counts=True)
+    owned, before = which[use][first], previous[use][first]
+    size = np.array([len(v) - 1 for v in heads])
+    head = np.array([v for many in heads for v in many[:-1]], np.uint64)
+    if len(head):
+        alone = _mix(head, np.full(len(head), 2, np.uint64))
+        # an ending's last word is asked for alone and with the word before it, so a beginning nobody asks for alone isn't asked for at all
+        asked = np.ones(len(head), bool) if wanted is None else wanted(alone.astype(np.int64))
+        owner = np.repeat(np.arange(len(names)), size)[asked]
+        alone = alone[asked]
+        low, high = np.searchsorted(owner, owned, "left"), np.searchsorted(owner, owned, "right")
+        row = np.repeat(np.arange(len(owned)), high - low)
+        picked = np.arange(len(row)) - np.repeat(np.cumsum(high - low) - (high - low) - low, high - low)
+        zero = np.zeros(len(row), np.int64)
+        add(alone[picked], zero, number[row])
+        add(_mix(alone[picked], before[row]), zero, number[row])
     key, where = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(where, np.concatenate(stops), len(key)).astype(np.int64), np.bincount(where, np.concatenate(goes), len(key)).astype(np.int64), int(end.sum()), chars
+    return key, np.bincount(where, np.concatenate(stopped), len(key)).astype(np.int64), np.bincount(where, np.concatenate(goes), len(key)).astype(np.int64), int(end.sum()), chars
 
 
 def evidence_of(contexts: list[tuple[int, int]], beginnings: list[tuple[int, int]], per_char: float) -> float:
@@ -260,17 +277,17 @@ def evidence_of(contexts: list[tuple[int, int]], beginnings: list[tuple[int, int
 def _censored_fit(length: np.ndarray, whole: np.ndarray, cut: np.ndarray) -> tuple[float, float]:
     """Mean and deviation of log-length by maximum likelihood, the ``cut`` counts being right-censored at their length (EM)."""
     z = np.log(length)
-    mu = float((z * (whole + cut)).sum() / (whole + cut).sum())
-    sd = max(0.1, math.sqrt(float(((z - mu) ** 2 * (whole + cut)).sum() / (whole + cut).sum())))
+    total = float((whole + cut).sum())
+    mu = float((z * (whole + cut)).sum() / total)
+    spread = lambda squares: math.sqrt(max(0.01, (squares + PRIOR_TEXTS * PRIOR_DEVIATION**2) / (total + PRIOR_TEXTS)))
+    sd = spread(float(((z - mu) ** 2 * (whole + cut)).sum()))
     for _ in range(20):
         a = (z - mu) / sd
         tail = np.array([0.5 * math.erfc(v / math.sqrt(2)) for v in a])
         hazard = np.where(tail > 1e-12, np.exp(-a * a / 2) / math.sqrt(2 * math.pi) / np.maximum(tail, 1e-12), a)
         first, second = mu + sd * hazard, mu * mu + sd * sd + sd * (mu + z) * hazard
-        total = (whole + cut).sum()
-        mean = float((whole * z + cut * first).sum() / total)
-        sd = math.sqrt(max(0.01, float((whole * z * z + cut * second).sum() / total) - mean * mean))
-        mu = mean
+        mu = float((whole * z + cut * first).sum() / total)
+        sd = spread(float((whole * z * z + cut * second).sum()) - total * mu * mu)
     return mu, sd
 
 
@@ -292,13 +309,13 @@ def fit_limits(cells: pd.DataFrame) -> pd.DataFrame:
         outside = ~limit[at]
         base = float(np.clip((n * post)[outside].sum() / max(1.0, n[outside].sum()), 0.002, 0.5))
         prior = np.full(len(lengths), base)
-        if prose.any() and whole.sum() >= 20:
+        if prose.any():
             usable = lengths > 0
             mu, sd = _censored_fit(np.where(usable, lengths, 1.0), whole * usable, cut * usable)
             z = (np.log(np.maximum(lengths, 1.0)) - mu) / sd
             expected = (whole.sum() + cut.sum()) * np.exp(-z * z / 2) / (sd * math.sqrt(2 * math.pi) * np.maximum(lengths, 1.0))
             unfinished = np.bincount(at, n * (llr > 0) * prose, len(lengths))
-            limit = (seen >= LEAST_AT_LIMIT) & (seen > expected + LENGTH_MARGIN * np.sqrt(expected + 1)) & (unfinished > 0.35 * seen)
+            limit = (seen > expected + LENGTH_MARGIN * np.sqrt(expected + 1)) & (unfinished > UNFINISHED_SHARE * seen)
             prior[limit] = np.clip(1 - expected[limit] / seen[limit], base, HIGHEST_PRIOR)
     rows = [(-1, base), *zip(lengths[limit].astype(int).tolist(), prior[limit].tolist())]
     return pd.DataFrame(rows, columns=["limit_length", "prior"])
@@ -343,13 +360,13 @@ def judge(turns: DataFrame, fields: tuple[str, ...] = ("message", "reply")) -> D
         held = shared.value
 
         def wanted(key: np.ndarray) -> np.ndarray:
-            spot = np.mod(key, BITMAP_BITS)
+            spot = key & (BITMAP_BITS - 1)
             return (held[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
 
         for batch in batches:
             texts = batch["text"].to_pylist()
-            for begin in range(0, len(texts), 4000):
-                key, stop, go, sentences, chars = corpus_counts(texts[begin : begin + 4000], wanted)
+            for begin, end in slices(texts):
+                key, stop, go, sentences, chars = corpus_counts(texts[begin:end], wanted)
                 yield pa.RecordBatch.from_arrays([pa.array(np.r_[key, 0]), pa.array(np.r_[stop, sentences]), pa.array(np.r_[go, chars])], names=["k", "stopped", "went"])
 
     counts = materialise(values.select("text").mapInArrow(count, "k long, stopped long, went long").groupBy("k").agg(F.sum("stopped").alias("stopped"), F.sum("went").alias("went")))

@@ -87,3 +87,29 @@ def test_copies_make_no_limit():
 
 def test_empty_table(spark):
     assert T.judge(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_limits_behave_alike_at_every_size():
+    def prior(whole):
+        cells = pd.DataFrame({"length": [100, *range(40, 40 + whole)], "prose": True, "llr": [3.0] + [-4.0] * whole, "n": [40] + [1] * whole})
+        return dict(zip(*T.fit_limits(cells)[["limit_length", "prior"]].to_numpy().T)).get(100, 0.0)
+
+    assert all(prior(n) > 0.9 for n in (1, 5, 19, 20, 21, 60))
+
+
+def test_long_words_and_bracketed_prose_are_read_whole():
+    long = "x" * 5_000
+    assert T.last_sentence(f"All of it.\n{long} end") == [long, "end"]
+    key, stopped, went, sentences, _ = T.corpus_counts([f"[note] It ends here. Then {long}y came. So"])
+    counts = dict(zip(key.tolist(), zip(stopped.tolist(), went.tolist())))
+    assert sentences == 2
+    assert counts[T._contexts([T.token_hash("Then"), T.token_hash(long)], 2)[1]] == (0, 1)
+    assert T.corpus_counts(['[{"a": "It ends. Here."}]'])[3] == 0 and T.corpus_counts(["[... it goes on. Here. "])[3] == 2
+
+
+def test_lines_blanks_and_signs_in_the_counts():
+    texts = ["  One two.\n\n - three\tfour \n", "", " \n", "- -", "five\n-"]
+    key, stopped, went, sentences, _ = T.corpus_counts(texts)
+    counts = dict(zip(key.tolist(), zip(stopped.tolist(), went.tolist())))
+    word = lambda w: counts.get(T._contexts([T.token_hash(w)], 1)[0])
+    assert (word("One"), word("two"), word("three"), word("four"), word("five"), sentences) == ((0, 1), (1, 0), (0, 1), None, (1, 0), 2)
