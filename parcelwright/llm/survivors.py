@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelwright.llm.cadastre import has_text, name_key, resolve_villages, ring_points, survey_key, with_shape
+from parcelwright.llm.cadastre import has_text, name_key, perimeter, resolve_villages, survey_key, with_shape
 from parcelwright.operators.graph import components
 from parcelwright.plans.checkpoints import materialise
 
@@ -15,6 +15,8 @@ SAME_PLACE = 0.25  # centroids of one parcel lie within this share of the square
 SAME_SIZE = 1.25  # and its areas within this ratio
 RING_PLACE, RING_SIZE = 0.05, 1.05  # the same for rings that claim one polygon, whose perimeters are within that ratio too
 ROUNDS, CONVERGED = 1_000, 1e-4  # rounds at most: an error follows
+MOST_SOURCES = 10_000  # an error follows beyond it
+COMPARED = ["survey_number", "village", "lgd_village_code", "polygon", "source_crs", "area_ha", "land_use", "source", "captured_at"]
 
 
 def discover(claims: DataFrame, reliability: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -24,40 +26,57 @@ def discover(claims: DataFrame, reliability: DataFrame, rounds: int = ROUNDS) ->
     ``reliability``: source, weight (the start; sources that lack there begin at 0.5). In turn each value's votes are
     weighed by its sources' reliability, and each source's reliability is the mean share of votes that its values
     won, until no weight moves by CONVERGED. Ties go to the value with more sources, then the smallest. Null objects,
-    values and sources make no claims.
+    values and sources make no claims. Objects whose values have the same sets of sources vote alike, so the rounds work
+    on the different patterns of sets with their numbers of objects; the weights, one for each of at most MOST_SOURCES
+    sources (more are an error), are part of a round's expression.
     """
-    votes = materialise(claims.where("object IS NOT NULL AND value IS NOT NULL AND source IS NOT NULL").select("object", "field", "value", "source").distinct())
-    weights = votes.select("source").distinct().join(reliability.groupBy("source").agg(F.max("weight").alias("weight")), "source", "left").select("source", F.coalesce("weight", F.lit(0.5)).alias("weight"))
-    weights = materialise(weights)
-    about = Window.partitionBy("object", "field")
-
-    def scored(now: DataFrame) -> DataFrame:
-        value = votes.join(now, "source").groupBy("object", "field", "value").agg(F.sum("weight").alias("support"), F.count("*").alias("sources"))
-        return value.withColumn("share", F.col("support") / F.sum("support").over(about))
-
-    for _ in range(rounds):
-        won = votes.join(scored(weights).select("object", "field", "value", "share"), ["object", "field", "value"]).groupBy("source").agg(((F.sum("share") + 1.0) / (F.count("*") + 2.0)).alias("now"))
-        following = materialise(weights.join(won, "source", "left").select("source", F.coalesce("now", "weight").alias("weight"), F.abs(F.coalesce("now", "weight") - F.col("weight")).alias("moved")))
-        moved = following.agg(F.max("moved").alias("m")).collect()[0].m
-        weights = following.select("source", "weight")
-        if moved is None or moved < CONVERGED:
+    known = claims.where("object IS NOT NULL AND value IS NOT NULL AND source IS NOT NULL")
+    votes = materialise(known.groupBy("object", "field", "value").agg(F.array_sort(F.collect_set("source")).alias("sources")))
+    sets = votes.groupBy("object", "field", "sources").agg(F.count("*").alias("values"))
+    patterns = materialise(sets.groupBy("object", "field").agg(F.array_sort(F.collect_list(F.struct("sources", "values"))).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("times")))
+    sources = patterns.select(F.explode("pattern.sources").alias("s")).select(F.explode("s").alias("source")).distinct()
+    start = sources.join(reliability.groupBy("source").agg(F.max("weight").alias("weight")), "source", "left").select("source", F.coalesce("weight", F.lit(0.5)).alias("weight")).limit(MOST_SOURCES + 1).collect()
+    if len(start) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    weights = {r.source: r.weight for r in start}
+    spark = claims.sparkSession
+
+    def support(named: Column) -> Column:
+        table = F.create_map(*[F.lit(v) for pair in sorted(weights.items()) for v in pair]) if weights else F.create_map().cast("map<string,double>")
+        return F.aggregate(named, F.lit(0.0), lambda total, s: total + table[s])
+
+    moved = 0.0
+    for _ in range(rounds if weights else 0):
+        weighed = patterns.select("times", F.transform("pattern", lambda v: F.struct(v["sources"].alias("sources"), v["values"].alias("values"), support(v["sources"]).alias("support"))).alias("pattern"))
+        votes_in_all = F.aggregate("pattern", F.lit(0.0), lambda total, v: total + v["values"] * v["support"])
+        each = weighed.select("times", votes_in_all.alias("all"), F.explode("pattern").alias("v")).select((F.col("times") * F.col("v.values")).alias("n"), (F.col("v.support") / F.col("all")).alias("share"), F.explode("v.sources").alias("source"))
+        now = {r.source: (r.won + 1.0) / (r.n + 2.0) for r in each.groupBy("source").agg(F.sum(F.col("n") * F.col("share")).alias("won"), F.sum("n").alias("n")).collect()}
+        moved = max(abs(now[s] - weights[s]) for s in now)
+        weights = now
+        if moved < CONVERGED:
             break
     else:
-        raise RuntimeError(f"weights still move by {moved} after {rounds} rounds")
-    value = scored(weights)
+        if weights:
+            raise RuntimeError(f"weights still move by {moved} after {rounds} rounds")
+    value = votes.select("object", "field", "value", support(F.col("sources")).alias("support"), F.size("sources").alias("sources"))
     # the largest support first, then more sources, then the smallest value
-    best = value.groupBy("object", "field").agg(F.min_by(F.struct("value", "support", "share"), F.struct(-F.col("support"), -F.col("sources"), F.col("value"))).alias("v"))
-    return best.select("object", "field", "v.value", "v.support", "v.share"), weights
+    best = value.groupBy("object", "field").agg(F.min_by(F.struct("value", "support"), F.struct(-F.col("support"), -F.col("sources"), F.col("value"))).alias("v"), F.sum("support").alias("all"))
+    return best.select("object", "field", "v.value", "v.support", (F.col("v.support") / F.col("all")).alias("share")), spark.createDataFrame(sorted(weights.items()), "source string, weight double")
 
 
 def clean(parcels: DataFrame, villages: DataFrame) -> DataFrame:
-    """parcel_id, survey (key), code (the village, where it is certain), codes (candidates), place, size, and the fields of ``parcels`` that are compared."""
-    shaped = with_shape(parcels.select("parcel_id", "survey_number", "village", "lgd_village_code", "polygon", "source_crs", "area_ha", "land_use", "source", "captured_at"))
-    keyed = shaped.select(
-        "parcel_id", survey_key(F.col("survey_number")).alias("survey"), name_key(F.col("village")).alias("name"), F.col("lgd_village_code").cast("long").alias("lgd"),
-        F.upper(F.regexp_replace("source_crs", r"\s", "")).alias("crs"), "cx", "cy", "shape_area", "source", "captured_at", "area_ha",
-        (has_text(F.col("survey_number")).cast("int") + has_text(F.col("village")).cast("int") + (F.col("corners") >= 3).cast("int") + F.col("area_ha").isNotNull().cast("int") + has_text(F.col("land_use")).cast("int") + F.col("lgd_village_code").isNotNull().cast("int")).alias("present"),
-    ).fillna({"present": 0})
+    """parcel_id, survey (key), code (the village, where it is certain), codes (candidates), place, size, and the fields of ``parcels`` that are compared.
+
+    Of rows with one parcel_id that with the latest captured_at counts, then that with the largest hash of all these
+    columns (row_key); null ids are left out.
+    """
+    shaped = with_shape(parcels.where("parcel_id IS NOT NULL").select("parcel_id", *COMPARED, F.xxhash64(*COMPARED).alias("row_key")))
+    fields = {
+        "survey": survey_key(F.col("survey_number")), "name": name_key(F.col("village")), "lgd": F.col("lgd_village_code").cast("long"),
+        "crs": F.upper(F.regexp_replace("source_crs", r"\s", "")), "cx": F.col("cx"), "cy": F.col("cy"), "shape_area": F.col("shape_area"), "length": perimeter(F.col("polygon")), "corners": F.col("corners"), "source": F.col("source"), "captured_at": F.col("captured_at"), "area_ha": F.col("area_ha"), "row_key": F.col("row_key"),
+        "present": F.coalesce(has_text(F.col("survey_number")).cast("int") + has_text(F.col("village")).cast("int") + (F.col("corners") >= 3).cast("int") + F.col("area_ha").isNotNull().cast("int") + has_text(F.col("land_use")).cast("int") + F.col("lgd_village_code").isNotNull().cast("int"), F.lit(0)),
+    }
+    keyed = shaped.select("parcel_id", F.struct(*[c.alias(n) for n, c in fields.items()]).alias("row")).groupBy("parcel_id").agg(F.max_by("row", F.struct("row.captured_at", "row.row_key")).alias("row")).select("parcel_id", "row.*")
     named = resolve_villages(keyed.select("name"), villages)
     return keyed.join(named, "name", "left").withColumn("codes", F.when(F.col("lgd").isNotNull(), F.array("lgd")).otherwise(F.col("codes"))).withColumn("code", F.when(F.size("codes") == 1, F.get("codes", F.lit(0)))).drop("lgd", "name")
 
@@ -66,7 +85,8 @@ def place_groups(records: DataFrame) -> DataFrame:
     """parcel_id, object: the records (parcel_id, cx, cy, shape_area, crs) that lie at one place with one size.
 
     Records are first gathered into small cells of place and size, so that any number of copies or near copies of a
-    parcel is one node; only cells are compared, with those in neighbouring blocks of the scale of their size.
+    parcel is one node; only cells are compared, with those in neighbouring blocks of the scale of their size. A record
+    without a coordinate system has that of the records around it if they agree on one, so it never joins two zones.
     """
     level = F.ceil(F.log2(F.sqrt(F.col("shape_area") * SAME_SIZE) * SAME_PLACE)).cast("int")
     fine = F.pow(F.lit(2.0), F.col("level") - 3)
@@ -80,8 +100,14 @@ def place_groups(records: DataFrame) -> DataFrame:
     probe = probe.withColumns({"bu": F.floor(F.col("bx") / block), "bv": F.floor(F.col("by") / block)}).withColumn("d", F.explode(near)).withColumn("bu", F.col("bu") + F.col("d")).withColumn("d", F.explode(near)).withColumn("bv", F.col("bv") + F.col("d")).drop("d")
     larger = F.greatest("aa", "ba")
     met = home.join(probe, ["at", "bu", "bv"]).where(F.col("a") != F.col("b"))
-    met = met.where((F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) <= SAME_PLACE * F.sqrt(larger)) & (larger / F.least("aa", "ba") <= SAME_SIZE) & F.coalesce(F.col("ac") == F.col("bc"), F.lit(True)))
-    label = components(nodes.select("node"), met.select("a", "b"))
+    met = met.where((F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) <= SAME_PLACE * F.sqrt(larger)) & (larger / F.least("aa", "ba") <= SAME_SIZE))
+    met = materialise(met.select("a", "b", "ac", "bc"))
+    told = met.where("ac IS NULL AND bc IS NOT NULL").groupBy("a").agg(F.min("bc").alias("low"), F.max("bc").alias("high")).where("low = high")
+    zone = lambda s: told.select(F.col("a").alias(s), F.col("low").alias(f"{s}_zone"))
+    agreed = met.where("ac = bc").select("a", "b").unionByName(
+        met.where("ac IS NULL OR bc IS NULL").join(zone("a"), "a", "left").join(zone("b"), "b", "left").where(F.coalesce("ac", "a_zone").eqNullSafe(F.coalesce("bc", "b_zone"))).select("a", "b")
+    )
+    label = components(nodes.select("node"), agreed)
     of = nodes.select(*cell, "node").join(label, "node").select(*cell, F.col("label").alias("object"))
     same = [celled[c].eqNullSafe(of[c]) for c in cell]
     return celled.join(of, same).select("parcel_id", "object")
@@ -141,27 +167,22 @@ def same_parcel_pairs(parcels: DataFrame, villages: DataFrame, sources: DataFram
 
     ``parcels``: parcel_id, survey_number, village, lgd_village_code, polygon, source_crs, area_ha, land_use, source,
     captured_at. Each pair has one row, whatever the order of rows; a parcel_id that is delivered again counts once
-    (any of its rows); rows with a null id are left out. Nulls in other columns are values that are not present; null
-    coordinate systems agree with any. Ties of a keeper are broken by its rule. Other columns are ignored; empty tables give no rows.
+    (its latest row, see clean()); rows with a null id are left out. Nulls in other columns are values that are not
+    present; a null coordinate system is that of the surroundings. Ties of a keeper are broken by its rule. Other columns are ignored; empty tables give no rows.
     """
-    single = parcels.where("parcel_id IS NOT NULL").dropDuplicates(["parcel_id"])
-    grouped, _, _ = group_records(single, villages, sources)
+    grouped, _, _ = group_records(parcels, villages, sources)
     member = grouped.select("object", "parcel_id")
     pairs = member.withColumnRenamed("parcel_id", "parcel_id_a").join(member.withColumnRenamed("parcel_id", "parcel_id_b"), "object").where("parcel_id_a < parcel_id_b")
     return pairs.join(keepers(grouped, sources), "object").select("parcel_id_a", "parcel_id_b", "keeper_id")
 
 
-def ring_claims(grouped: DataFrame, rings: DataFrame) -> DataFrame:
+def ring_claims(grouped: DataFrame) -> DataFrame:
     """object, parcel_id, ring_class: the records with a ring, those of one object in classes that agree in place, size and shape.
 
-    ``rings``: parcel_id, polygon. Nearly equal rings of an object are one node before any are compared; classes are
-    the components of the nodes that agree.
+    Nearly equal rings of an object are one node before any are compared; classes are the components of the nodes that agree.
     """
-    points = ring_points(F.col("polygon"))
-    sides = F.zip_with(points, F.concat(F.slice(points, 2, F.greatest(F.size(points), F.lit(1))), F.slice(points, 1, 1)), lambda p, q: F.hypot(p["x"] - q["x"], p["y"] - q["y"]))
-    around = rings.select("parcel_id", F.aggregate(sides, F.lit(0.0), lambda s, d: s + d).alias("perimeter"))
     fine = F.sqrt("shape_area") * RING_PLACE / 8
-    shaped = grouped.where("shape_area IS NOT NULL").select("object", "parcel_id", "cx", "cy", "shape_area").join(around, "parcel_id")
+    shaped = grouped.where("shape_area IS NOT NULL").select("object", "parcel_id", "cx", "cy", "shape_area", F.col("length").alias("perimeter"))
     step = F.pow(F.lit(2.0), F.floor(F.log2(fine)))
     cell = {"_s": step, "_u": F.floor(F.col("cx") / step), "_v": F.floor(F.col("cy") / step), "_a": F.floor(F.log("shape_area") * 100), "_p": F.floor(F.log("perimeter") * 100)}
     celled = shaped.withColumns(cell)
@@ -198,19 +219,19 @@ def survivors(parcels: DataFrame, villages: DataFrame, sources: DataFrame) -> Da
     (the record whose ring is kept: of the records that claim the best supported ring, that of the most reliable source,
     then the latest, then the smallest id). Inputs as in same_parcel_pairs(); a set's fields are null where no record has them.
     """
-    single = parcels.where("parcel_id IS NOT NULL").dropDuplicates(["parcel_id"])
-    grouped, _, weights = group_records(single, villages, sources)
+    grouped, _, weights = group_records(parcels, villages, sources)
     told = grouped.select("object", F.lit("survey").alias("field"), F.col("survey").alias("value"), "source").unionByName(grouped.select("object", F.lit("code").alias("field"), F.col("code").cast("string").alias("value"), "source"))
-    claimed = materialise(ring_claims(grouped, single.select("parcel_id", "polygon")))
+    claimed = materialise(ring_claims(grouped))
     rung = grouped.join(claimed.select("parcel_id", "ring_class"), "parcel_id")
     told = told.unionByName(rung.select("object", F.lit("ring").alias("field"), F.col("ring_class").alias("value"), "source"))
     truth, weights = discover(told, weights)
     fields = truth.groupBy("object").pivot("field", ["survey", "code", "ring"]).agg(F.first("value").alias("value"), F.first("share").alias("share"))
     rank = F.struct(F.coalesce("weight", F.lit(0.0)).alias("w"), F.col("captured_at").alias("at"), (-F.col("parcel_id")).alias("id"))
     best = truth.where("field = 'ring'").select("object", F.col("value").alias("ring_class"))
-    rings = rung.join(best, ["object", "ring_class"]).join(weights, "source", "left").groupBy("object").agg(F.max_by("parcel_id", rank).alias("ring_from"))
-    rings = rings.join(single.select(F.col("parcel_id").alias("ring_from"), "polygon"), "ring_from")
+    rings = rung.join(best, ["object", "ring_class"]).join(weights, "source", "left").groupBy("object").agg(F.max_by(F.struct(F.col("parcel_id").alias("ring_from"), "row_key"), rank).alias("r")).select("object", "r.*")
+    drawn = parcels.select(F.col("parcel_id").alias("ring_from"), F.xxhash64(*COMPARED).alias("row_key"), "polygon").groupBy("ring_from", "row_key").agg(F.any_value("polygon").alias("polygon"))  # equal rows
+    rings = rings.join(drawn, ["ring_from", "row_key"]).drop("row_key")
     size = grouped.groupBy("object").agg(F.count("*").alias("records"))
     out = keepers(grouped, sources).join(size, "object").join(fields, "object", "left").join(rings, "object", "left")
-    names = villages.select(F.col("lgd_village_code").cast("string").alias("code_value"), "village").dropDuplicates(["code_value"])
+    names = villages.select(F.col("lgd_village_code").cast("string").alias("code_value"), "village").groupBy("code_value").agg(F.min("village").alias("village"))
     return out.join(names, "code_value", "left").select("keeper_id", "records", F.col("survey_value").alias("survey"), F.round("survey_share", 6).alias("survey_support"), F.col("code_value").cast("long").alias("lgd_village_code"), F.round("code_share", 6).alias("village_support"), "village", "ring_from", F.round("ring_share", 6).alias("polygon_support"), "polygon")

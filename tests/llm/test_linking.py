@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 from test_survivors import PARCELS, SOURCES, VILLAGES, square
 
-from parcelwright.llm.linking import link, perimeter, prepare_sketches, wildcards
+from parcelwright.llm.cadastre import perimeter
+from parcelwright.llm.linking import link, prepare_sketches, wildcards
 
 SKETCHES = "fmb_id long, survey string, header_village string, m1_file string, n_corners int, stated_area_ha double, perimeter_m double, placed_x double, placed_y double, parcel_id string, rule int"
 NAN = float("nan")
