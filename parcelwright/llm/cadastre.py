@@ -84,13 +84,26 @@ def perimeter(ring: Column) -> Column:
     return F.aggregate(F.zip_with(pts, following, lambda p, n: F.hypot(p["x"] - n["x"], p["y"] - n["y"])), F.lit(0.0), lambda s, d: s + d)
 
 
-def deletions(name: Column) -> Column:
-    """A name and all its spellings without one or two characters; names at most two edits apart share one."""
+EDITS = 2  # letters by which a misspelled name may differ
 
-    def shorter(s: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
 
-    return F.array_distinct(F.concat(F.array(name), shorter(name), F.flatten(F.transform(shorter(name), shorter))))
+def _piece(name: Column, length: Column, i: Column, shift: Column) -> Column:
+    """The ``i``-th of EDITS + 1 even pieces of names of ``length``, cut out of ``name`` at its place moved by ``shift``; null where that isn't within it."""
+    begin, end = F.floor(i * length / (EDITS + 1)), F.floor((i + 1) * length / (EDITS + 1))
+    cut = F.substring(name, (begin + 1 + shift).cast("int"), (end - begin).cast("int"))
+    return F.when((begin + shift >= 0) & (end + shift <= F.length(name)), F.xxhash64(length, i, cut))
+
+
+def pieces(name: Column) -> Column:
+    """Hashes of a name's even pieces. Of two names within EDITS, one piece of the first stands untouched in the second, moved by EDITS at most."""
+    return F.transform(F.sequence(F.lit(0), F.lit(EDITS)), lambda i: _piece(name, F.length(name), i, F.lit(0)))
+
+
+def possible_pieces(name: Column) -> Column:
+    """Hashes of all pieces() that a name within EDITS of this one may have in common with it."""
+    moves = F.sequence(F.lit(-EDITS), F.lit(EDITS))
+    of = lambda length: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(EDITS)), lambda i: F.transform(moves, lambda m: _piece(name, length, i, m))))
+    return F.array_compact(F.array_distinct(F.flatten(F.transform(moves, lambda d: of(F.length(name) + d)))))
 
 
 def resolve_villages(spellings: DataFrame, villages: DataFrame, shortest: int = 5) -> DataFrame:
@@ -98,17 +111,19 @@ def resolve_villages(spellings: DataFrame, villages: DataFrame, shortest: int =
 
     ``spellings``: name (a name_key()); ``villages``: lgd_village_code, village, local_name. Result: name, codes (sorted
     array). A name's candidates are the villages it equals in either script; else those whose name it abbreviates (at
-    least ``shortest`` characters); else the closest within two edits, found by shared spellings without up to two characters.
+    least ``shortest`` characters); else the closest within two edits, found by the pieces they must share.
     Names without a candidate have no row; each name has one row; nulls are left out.
     """
     known = villages.select("lgd_village_code", F.explode(F.array(name_key(F.col("village")), name_key(F.col("local_name")))).alias("known")).where("known IS NOT NULL AND lgd_village_code IS NOT NULL").distinct()
-    names = spellings.select("name").where("name IS NOT NULL").distinct()
+    # a fixed number of partitions: names are few bytes, but comparing them is work
+    names = spellings.select("name").where("name IS NOT NULL").distinct().repartition(spellings.sparkSession.sparkContext.defaultParallelism, "name")
     equal = names.join(known, F.col("name") == F.col("known")).select("name", "lgd_village_code", F.lit(0).alias("far"))
     heads = known.select("lgd_village_code", "known", F.explode(F.transform(F.sequence(F.lit(shortest), F.greatest(F.length("known"), F.lit(shortest))), lambda n: F.substring(F.col("known"), F.lit(1), n))).alias("head"))
     begun = names.where(F.length("name") >= shortest).join(heads, F.col("name") == F.col("head")).where(F.length("name") < F.length("known")).select("name", "lgd_village_code", F.lit(1).alias("far"))
-    left = names.where(F.length("name") >= shortest).select("name", F.explode(deletions(F.col("name"))).alias("k"))
-    right = known.where(F.length("known") >= shortest).select("lgd_village_code", "known", F.explode(deletions(F.col("known"))).alias("k"))
-    close = left.join(right, "k").select("name", "lgd_village_code", "known").distinct().withColumn("edits", F.levenshtein("name", "known")).where("edits BETWEEN 1 AND 2").select("name", "lgd_village_code", (F.col("edits") + 1).alias("far"))
-    every = equal.unionByName(begun).unionByName(close)
-    best = every.groupBy("name").agg(F.min("far").alias("best"))
-    return every.join(best, "name").where("far = best").groupBy("name").agg(F.sort_array(F.collect_set("lgd_village_code")).alias("codes"))
+    told = equal.unionByName(begun)
+    # only names that are neither listed nor short for a listed one are compared letter by letter
+    left = names.where(F.length("name") >= shortest).join(told.select("name").distinct(), "name", "left_anti").select("name", F.explode(possible_pieces(F.col("name"))).alias("k"))
+    right = known.where(F.length("known") >= shortest).select("lgd_village_code", "known", F.explode(pieces(F.col("known"))).alias("k"))
+    close = left.join(right, "k").withColumn("edits", F.levenshtein("name", "known", EDITS)).where("edits > 0").select("name", "lgd_village_code", (F.col("edits") + 1).alias("far"))
+    every = told.unionByName(close).groupBy("name", "far").agg(F.sort_array(F.collect_set("lgd_village_code")).alias("codes"))
+    return every.groupBy("name").agg(F.min_by("codes", "far").alias("codes"))

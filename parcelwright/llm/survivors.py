@@ -19,7 +19,7 @@ MOST_SOURCES = 10_000  # an error follows beyond it
 COMPARED = ["survey_number", "village", "lgd_village_code", "polygon", "source_crs", "area_ha", "land_use", "source", "captured_at"]
 
 
-def discover(claims: DataFrame, reliability: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def discover(claims: DataFrame, reliability: DataFrame, rounds: int = ROUNDS, most_patterns: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """Truth discovery: (object, field, value, support, share of the votes) of the best value, and (source, weight).
 
     ``claims``: object, field, value, source; a source's claim of a value counts once, however often it is repeated.
@@ -27,8 +27,9 @@ def discover(claims: DataFrame, reliability: DataFrame, rounds: int = ROUNDS) ->
     weighed by its sources' reliability, and each source's reliability is the mean share of votes that its values
     won, until no weight moves by CONVERGED. Ties go to the value with more sources, then the smallest. Null objects,
     values and sources make no claims. Objects whose values have the same sets of sources vote alike, so the rounds work
-    on the different patterns of sets with their numbers of objects; the weights, one for each of at most MOST_SOURCES
-    sources (more are an error), are part of a round's expression.
+    on the different patterns of sets with their numbers of objects. Up to ``most_patterns`` of them the driver goes through
+    the rounds itself; more stay in their table and each round is a job, with the same result. Weights are one number for
+    each of at most MOST_SOURCES sources (more are an error).
     """
     known = claims.where("object IS NOT NULL AND value IS NOT NULL AND source IS NOT NULL")
     votes = materialise(known.groupBy("object", "field", "value").agg(F.array_sort(F.collect_set("source")).alias("sources")))
@@ -45,12 +46,28 @@ def discover(claims: DataFrame, reliability: DataFrame, rounds: int = ROUNDS) ->
         table = F.create_map(*[F.lit(v) for pair in sorted(weights.items()) for v in pair]) if weights else F.create_map().cast("map<string,double>")
         return F.aggregate(named, F.lit(0.0), lambda total, s: total + table[s])
 
-    moved = 0.0
-    for _ in range(rounds if weights else 0):
+    def by_job() -> dict[str, float]:
         weighed = patterns.select("times", F.transform("pattern", lambda v: F.struct(v["sources"].alias("sources"), v["values"].alias("values"), support(v["sources"]).alias("support"))).alias("pattern"))
         votes_in_all = F.aggregate("pattern", F.lit(0.0), lambda total, v: total + v["values"] * v["support"])
         each = weighed.select("times", votes_in_all.alias("all"), F.explode("pattern").alias("v")).select((F.col("times") * F.col("v.values")).alias("n"), (F.col("v.support") / F.col("all")).alias("share"), F.explode("v.sources").alias("source"))
-        now = {r.source: (r.won + 1.0) / (r.n + 2.0) for r in each.groupBy("source").agg(F.sum(F.col("n") * F.col("share")).alias("won"), F.sum("n").alias("n")).collect()}
+        return {r.source: (r.won + 1.0) / (r.n + 2.0) for r in each.groupBy("source").agg(F.sum(F.col("n") * F.col("share")).alias("won"), F.sum("n").alias("n")).collect()}
+
+    def here() -> dict[str, float]:
+        won, votes_of = dict.fromkeys(weights, 0.0), dict.fromkeys(weights, 0)
+        for times, pattern in few:
+            supported = [sum(weights[s] for s in named) for named, _ in pattern]
+            total = sum(n * v for (_, n), v in zip(pattern, supported))
+            for (named, n), v in zip(pattern, supported):
+                for s in named:
+                    won[s] += times * n * v / total
+                    votes_of[s] += times * n
+        return {s: (won[s] + 1.0) / (votes_of[s] + 2.0) for s in weights}
+
+    taken = patterns.limit(most_patterns + 1).collect() if most_patterns else []
+    few = [(r.times, [(v.sources, v["values"]) for v in r.pattern]) for r in taken] if 0 < len(taken) <= most_patterns else None
+    moved = 0.0
+    for _ in range(rounds if weights else 0):
+        now = by_job() if few is None else here()
         moved = max(abs(now[s] - weights[s]) for s in now)
         weights = now
         if moved < CONVERGED:
@@ -77,7 +94,7 @@ def clean(parcels: DataFrame, villages: DataFrame) -> DataFrame:
         "present": F.coalesce(has_text(F.col("survey_number")).cast("int") + has_text(F.col("village")).cast("int") + (F.col("corners") >= 3).cast("int") + F.col("area_ha").isNotNull().cast("int") + has_text(F.col("land_use")).cast("int") + F.col("lgd_village_code").isNotNull().cast("int"), F.lit(0)),
     }
     keyed = shaped.select("parcel_id", F.struct(*[c.alias(n) for n, c in fields.items()]).alias("row")).groupBy("parcel_id").agg(F.max_by("row", F.struct("row.captured_at", "row.row_key")).alias("row")).select("parcel_id", "row.*")
-    named = resolve_villages(keyed.select("name"), villages)
+    named = resolve_villages(parcels.select(name_key(F.col("village")).alias("name")), villages)
     return keyed.join(named, "name", "left").withColumn("codes", F.when(F.col("lgd").isNotNull(), F.array("lgd")).otherwise(F.col("codes"))).withColumn("code", F.when(F.size("codes") == 1, F.get("codes", F.lit(0)))).drop("lgd", "name")
 
 

@@ -63,3 +63,26 @@ def test_cascade(spark):
 def test_empty_tables(spark):
     empty = [spark.createDataFrame([], s) for s in (SKETCHES, PARCELS, VILLAGES, SOURCES)]
     assert link(*empty).collect() == []
+
+
+def test_confidence_is_measured_and_a_bad_rule_has_little(spark):
+    """A village of plots that differ in size; a rule that takes any plot of the village is tried on labelled sketches and fails."""
+    import random
+
+    from parcelwright.llm.linking import Pass, Rule, passes
+
+    rng = random.Random(3)
+    parcels, sketches = [], []
+    for i in range(120):
+        x, y, side = 250_000.0 + 200 * (i % 12), 905_000.0 + 200 * (i // 12), 40.0 + rng.random() * 60
+        parcels.append((i, str(100 + i), "Oradam", 7, square(x, y, side=side), "EPSG:32643", side * side / 1e4, "wet", "good", None, "o", 1))
+        known = i % 3
+        sketches.append((i, str(100 + i) if known != 2 else None, "Oradam", None, 4, side * side / 1e4, 4 * side, x + side / 2 if known else None, y + side / 2 if known else None, None, None))
+    sketches.append((999, "777", "Oradam", None, 4, 0.9, 500.0, None, None, None, None))
+    anything = Pass(lambda: F.transform("codes", lambda c: c.cast("string")), lambda: F.array(F.col("code").cast("string")), (Rule("village only", lambda: F.lit(True), ("place", "size", "number")),))
+    args = [spark.createDataFrame(sketches, SKETCHES), spark.createDataFrame(parcels, PARCELS), spark.createDataFrame([(7, "Oradam", None, "Palvadi", "Nilavur")], VILLAGES), spark.createDataFrame([("good", "x", 5)], SOURCES)]
+    rows = {r.fmb_id: r for r in link(*args, cascade=[*passes(), anything]).collect()}
+    assert rows[999].rule == "village only" and rows[999].confidence < 0.2
+    good = [r for r in rows.values() if r.rule != "village only"]
+    assert len(good) == 120 and all(r.parcel_id == r.fmb_id for r in good)
+    assert all(r.confidence > 0.9 for r in good if r.rule == "village, number, size")

@@ -62,6 +62,15 @@ def test_truth_discovery_learns_sources(spark):
     assert weight["a"] > weight["x"]
 
 
+def test_rounds_on_the_driver_and_as_jobs_agree(spark):
+    rng = random.Random(4)
+    claims = spark.createDataFrame([(rng.randint(0, 40), rng.choice("fg"), rng.choice("uvw"), rng.choice("abcde")) for _ in range(300)], "object long, field string, value string, source string")
+    start = spark.createDataFrame([("a", 0.9), ("b", 0.2)], "source string, weight double")
+    runs = [discover(claims, start, most_patterns=n) for n in (20_000, 1)]
+    shown = [([(r.object, r.field, r.value, round(r.share, 9)) for r in truth.orderBy("object", "field").collect()], [(r.source, round(r.weight, 9)) for r in weights.orderBy("source").collect()]) for truth, weights in runs]
+    assert shown[0] == shown[1] and len(shown[0][1]) == 5
+
+
 def square(x, y, side=60.0, jitter=0.0, swap=False):
     ring = [(x + jitter, y), (x + side, y + jitter), (x + side, y + side), (x, y + side - jitter)]
     return [(b, a) for a, b in ring] if swap else ring
@@ -109,3 +118,10 @@ def test_near_copies_are_few_nodes_and_empty_tables(spark):
     assert got.count() == 60 * 59 // 2 and got.select("keeper_id").distinct().collect()[0][0] == 0
     empty = [spark.createDataFrame([], s) for s in (PARCELS, VILLAGES, SOURCES)]
     assert same_parcel_pairs(*empty).collect() == []
+
+
+def test_records_without_a_zone_join_no_two_zones(spark):
+    rows = [(i, "5", "Oradam", 7, square(250_000.0, 905_000.0), crs, None, None, "good", None, "o", 1) for i, crs in ((1, "EPSG:32643"), (2, "EPSG:32644"), (3, None), (4, "EPSG:32643"))]
+    rows += [(i, "6", "Oradam", 7, square(260_000.0, 905_000.0), crs, None, None, "good", None, "o", 1) for i, crs in ((11, "EPSG:32643"), (12, None), (13, None))]
+    got = same_parcel_pairs(spark.createDataFrame(rows, PARCELS), spark.createDataFrame([(7, "Oradam", None, "t", "d")], VILLAGES), spark.createDataFrame([("good", "x", 5)], SOURCES))
+    assert {(r.parcel_id_a, r.parcel_id_b) for r in got.collect()} == {(1, 4), (11, 12), (11, 13), (12, 13)}
