@@ -59,6 +59,62 @@ def overlap_area(a: np.ndarray, b: np.ndarray) -> float:
     return abs(total)
 
 
+def _cut(corners: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Many polygons (n, k, 2), of which the first ``size`` corners count, each cut to the left of its line from a to b."""
+    n, k = corners.shape[:2]
+    place = np.arange(k)
+    live = place[None, :] < size[:, None]
+    following = np.take_along_axis(corners, np.where(place[None, :] + 1 < size[:, None], place[None, :] + 1, 0)[:, :, None].repeat(2, 2), axis=1)
+    side = lambda p: (b - a)[:, None, 0] * (p[:, :, 1] - a[:, None, 1]) - (b - a)[:, None, 1] * (p[:, :, 0] - a[:, None, 0])
+    here, there = side(corners), side(following)
+    keeps, crosses = live & (here >= 0), live & (((here > 0) & (there < 0)) | ((here < 0) & (there > 0)))
+    t = here / np.where(crosses, here - there, 1.0)
+    made = np.stack([corners, corners + t[:, :, None] * (following - corners)], axis=2).reshape(n, 2 * k, 2)
+    kept = np.stack([keeps, crosses], axis=2).reshape(n, 2 * k)
+    count = kept.sum(axis=1)
+    order = np.argsort(~kept, axis=1, kind="stable")[:, : int(count.max(initial=0)) or 1]
+    return np.take_along_axis(made, order[:, :, None].repeat(2, 2), axis=1), count
+
+
+def overlap_areas(lefts: list[np.ndarray], rights: list[np.ndarray], batch: int = 200_000) -> np.ndarray:
+    """overlap_area() of many pairs of rings at once: all triangles of all pairs are clipped together, ``batch`` of them at a time."""
+    out = np.zeros(len(lefts))
+    fans = []
+    for rings in (lefts, rights):
+        made = []
+        for ring, origin in zip(rings, lefts):
+            r = ring - origin[0] if len(ring) >= 3 and len(origin) else np.zeros((0, 2))
+            tri = np.stack([np.repeat(r[:1], len(r) - 2, axis=0), r[1:-1], r[2:]], axis=1) if len(r) >= 3 else np.zeros((0, 3, 2))
+            twice = (tri[:, 1, 0] - tri[:, 0, 0]) * (tri[:, 2, 1] - tri[:, 0, 1]) - (tri[:, 1, 1] - tri[:, 0, 1]) * (tri[:, 2, 0] - tri[:, 0, 0])
+            tri, twice = tri[twice != 0], twice[twice != 0]
+            tri[twice < 0] = tri[twice < 0][:, ::-1]
+            made.append((tri, np.sign(twice)))
+        fans.append(made)
+    sizes = np.array([len(a[0]) * len(b[0]) for a, b in zip(*fans)], np.int64)
+    begin = 0
+    while begin < len(sizes):
+        end = begin + 1
+        while end < len(sizes) and sizes[begin : end + 1].sum() <= batch:
+            end += 1
+        pairs = [(i, *fans[0][i], *fans[1][i]) for i in range(begin, end) if sizes[i]]
+        if pairs:
+            which = np.repeat([p[0] for p in pairs], [len(p[1]) * len(p[3]) for p in pairs])
+            sign = np.concatenate([np.outer(p[2], p[4]).ravel() for p in pairs])
+            subject = np.concatenate([np.repeat(p[1], len(p[3]), axis=0) for p in pairs])
+            clip = np.concatenate([np.tile(p[3], (len(p[1]), 1, 1)) for p in pairs])
+            meet = (subject.min(axis=1) <= clip.max(axis=1)).all(axis=1) & (clip.min(axis=1) <= subject.max(axis=1)).all(axis=1)
+            which, sign, subject, clip = which[meet], sign[meet], subject[meet], clip[meet]
+            size = np.full(len(subject), 3)
+            for i in range(3):
+                subject, size = _cut(subject, size, clip[:, i], clip[:, (i + 1) % 3])
+            live = np.arange(subject.shape[1])[None, :] < size[:, None]
+            rest = np.where(live[:, :, None], subject - subject[:, :1], 0.0)  # corners that don't count lie on the first
+            area = np.abs((rest[:, :-1, 0] * rest[:, 1:, 1] - rest[:, 1:, 0] * rest[:, :-1, 1]).sum(axis=1)) / 2 if subject.shape[1] > 2 else np.zeros(len(subject))
+            out += np.bincount(which, sign * area, len(out))
+        begin = end
+    return np.abs(out)
+
+
 def overlap_measures(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
     """(shared area, share of the smaller ring, intersection over union)."""
     shared, x, y = overlap_area(a, b), abs(signed_area(a)), abs(signed_area(b))
@@ -145,7 +201,11 @@ def delaunay(points: np.ndarray) -> list[tuple[int, int, int]]:
     return [(a, b, c) for (a, b), c in apex.items() if a < b and a < c and max(b, c) < n]
 
 
-def concave_hull(points: np.ndarray, factor: float = 2.5, least_share: float = 0.2) -> np.ndarray:
+# How many median edges a triangle's circumradius may be in a concave hull, and the share of the convex hull it covers at least.
+HULL_FACTOR, HULL_SHARE = 2.5, 0.2
+
+
+def concave_hull(points: np.ndarray, factor: float = HULL_FACTOR, least_share: float = HULL_SHARE) -> np.ndarray:
     """Outer ring of the triangles whose circumradius is at most ``factor`` times the median edge.
 
     The convex hull where there are fewer than four points, or the triangles cover less than ``least_share`` of it.
@@ -226,7 +286,11 @@ def simplify(points: np.ndarray, tolerance: float) -> np.ndarray:
     return points[keep]
 
 
-def skeleton(ring: np.ndarray, most: int, ladder: tuple[float, ...] = (1, 2, 3, 5, 8, 12, 18, 25)) -> np.ndarray:
+# Tolerances in metres that a skeleton is tried with.
+SKELETON_LADDER = (1, 2, 3, 5, 8, 12, 18, 25)
+
+
+def skeleton(ring: np.ndarray, most: int, ladder: tuple[float, ...] = SKELETON_LADDER) -> np.ndarray:
     """A ring with at most ``most`` corners: the first tolerance of the ladder that gets there, else the last."""
     far = int(np.hypot(*(ring - ring[0]).T).argmax())
     turned = np.vstack([ring, ring[:1]])
@@ -266,7 +330,11 @@ def moved(points: np.ndarray, pose: tuple[float, float, float, float]) -> np.nda
     return scale * (points @ np.array([[math.cos(angle), math.sin(angle)], [-math.sin(angle), math.cos(angle)]])) + (tx, ty)
 
 
-def icp(src: np.ndarray, dst: np.ndarray, pose: tuple[float, float, float, float], rounds: int = 12) -> tuple[tuple[float, float, float, float], float]:
+# Rounds of nearest corners; weight of fixed positions against edge lengths in an adjustment.
+ICP_ROUNDS, POSITION_WEIGHT = 12, 1000.0
+
+
+def icp(src: np.ndarray, dst: np.ndarray, pose: tuple[float, float, float, float], rounds: int = ICP_ROUNDS) -> tuple[tuple[float, float, float, float], float]:
     """A rigid pose refined by matching each point with its nearest target; and its mean distance."""
     mean = math.inf
     for _ in range(rounds):
@@ -278,7 +346,7 @@ def icp(src: np.ndarray, dst: np.ndarray, pose: tuple[float, float, float, float
     return pose, mean
 
 
-def adjust(start: np.ndarray, fixed: dict[int, np.ndarray], lengths: list[tuple[int, int, float]], position_weight: float = 1000.0, length_weight: float = 1.0, rounds: int = 30) -> np.ndarray:
+def adjust(start: np.ndarray, fixed: dict[int, np.ndarray], lengths: list[tuple[int, int, float]], position_weight: float = POSITION_WEIGHT, length_weight: float = 1.0, rounds: int = 30) -> np.ndarray:
     """Positions that hold ``fixed`` points and edge ``lengths`` in the sense of least squares, by Gauss-Newton steps."""
     p = start.astype(float).copy()
     n = len(p)

@@ -225,3 +225,51 @@ def colour_name(red: Column, green: Column, blue: Column, lead: float = 0.4) ->
     """blue, red, grey or black by which channel (0 to 1) leads; black where any is unknown."""
     grey = (F.abs(red - green) < 0.1) & (F.abs(green - blue) < 0.1) & red.between(0.3, 0.9)
     return F.when((blue - red > lead) & (blue - green > lead), "blue").when((red - green > lead) & (red - blue > lead), "red").when(grey, "grey").otherwise("black")
+
+
+def page_metres(points: Column, denominator: Column) -> Column:
+    """Metres on the ground of a length in points (1/72 inch) on a page drawn at 1 : ``denominator``."""
+    return points / 72 * 0.0254 * denominator
+
+
+def page_place(px: Column, py: Column, height: Column, denominator: Column) -> Column:
+    """struct(x, y) in metres of a place on a page whose y runs down from its top, ``height`` points high."""
+    return F.struct(page_metres(px, denominator).alias("x"), page_metres(height - py, denominator).alias("y"))
+
+
+def readable_angle(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Direction of a line in degrees within (-90, 90], so that a text along it isn't upside down."""
+    a = orientation(x1, y1, x2, y2)
+    return F.when(a > 90, a - 180).otherwise(a)
+
+
+def square_metres_per_pixel(lat: Column, zoom: int, size: int = 256) -> Column:
+    """Ground area of a pixel of a zoom level at a latitude."""
+    side = 2 * math.pi * SEMI_MAJOR * F.cos(F.radians(lat)) / float(size * 2**zoom)
+    return side * side
+
+
+def placed(ring: Column, angle: Column, scale: Column, tx: Column, ty: Column) -> Column:
+    """The vertices of a ring under a similarity transform."""
+
+    def point(p: Column) -> Column:
+        x, y = similarity(angle, scale, tx, ty, p["x"], p["y"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return F.transform(ring, point)
+
+
+def inner_point(ring: Column) -> Column:
+    """struct(x, y): the centroid of a ring, where a label goes; the mean of its vertices where it has no area."""
+    o, n = F.get(ring, F.lit(0)), F.size(ring)
+    start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def add(s: Column, e: Column) -> Column:
+        x1, y1, x2, y2 = e["x1"] - o["x"], e["y1"] - o["y"], e["x2"] - o["x"], e["y2"] - o["y"]
+        cross = x1 * y2 - x2 * y1
+        return F.struct((s["a"] + cross).alias("a"), (s["x"] + (x1 + x2) * cross).alias("x"), (s["y"] + (y1 + y2) * cross).alias("y"))
+
+    total = F.aggregate(closed_pairs(ring), start, add)
+    mean = lambda k: F.aggregate(ring, F.lit(0.0), lambda s, p: s + p[k]) / n
+    flat = F.abs(total["a"]) <= 1e-9
+    return F.when(n > 0, F.struct(*[F.when(flat, mean(k)).otherwise(o[k] + total[k] / (3 * F.when(flat, 1.0).otherwise(total["a"]))).alias(k) for k in "xy"]))

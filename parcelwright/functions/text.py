@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Cyrillic letters and the Latin letters or digits they look like; digits that read as digits upside down.
-LOOKALIKES, MEANT = "АВСЕНКМОРТХЗб", "ABCEHKMOPTX36"
+# Cyrillic letters and the Latin letters or digits they look like; codes of boundary stones; digits that read as digits upside down.
+LOOKALIKES = "ЗзАаВвСсЕеНнКкМмОоРрТтХхУу"
+MEANT = "33AaBbCcEeHhKkMmOoPpTtXxYy"
+BOUNDARY_CODES = ("B", "BS", "RBS", "VBS", "RB", "RS")
 UPSIDE_DOWN, RIGHT_WAY_UP = "69", "96"
 
 NUMBER = r"^-?\d+(\.\d+)?$"
@@ -63,7 +65,7 @@ def stone_label(c: Column) -> Column:
 
 def boundary_code(c: Column) -> Column:
     """Whether one of a code's parts (split at hyphens and blanks) names a boundary stone."""
-    return F.coalesce(F.exists(F.split(F.upper(c), r"[-\s]+"), lambda t: t.isin("B", "BS", "RBS", "VBS", "RB", "RS")), F.lit(False))
+    return F.coalesce(F.exists(F.split(F.upper(c), r"[-\s]+"), lambda t: t.isin(*BOUNDARY_CODES)), F.lit(False))
 
 
 def known_survey(reading: Column, known: Column) -> Column:
@@ -100,3 +102,25 @@ def lon_lat_list(c: Column) -> Column:
 def json_in_text(c: Column, schema: str) -> Column:
     """The first JSON array or object in a text, read by a schema; null where there is none or it doesn't parse."""
     return F.from_json(first_match(c, r"(?s)(\[.*\]|\{.*\})"), schema, {"mode": "PERMISSIVE"})
+
+
+def kind_of_text(c: Column) -> Column:
+    """What a text on a drawing is by its form: 'chain' (a length in parentheses), 'length', 'part' (digit, letter, perhaps a digit), 'stone', 'survey' (other whole numbers) or 'other'; null stays null."""
+    t = F.trim(latin_label(c))
+    return (
+        F.when(t.rlike(r"^\(\d{1,4}[.,]\d{1,2}\)$"), "chain").when(t.rlike(r"^\d{1,4}[.,]\d{1,2}$"), "length").when(t.rlike(r"^\d[A-Za-z]\d?$"), "part")
+        .when(stone_label(t), "stone").when(t.rlike(r"^\d{1,5}$"), "survey").when(t.isNotNull(), "other")
+    )
+
+
+def stated_scale(c: Column) -> Column:
+    """The denominator of the first scale like 1:2000 in a text, as an int; null if there is none."""
+    return F.replace(first_match(c, r"1\s*:\s*(\d{1,3}(?:,\d{3})+|\d{2,6})"), F.lit(","), F.lit("")).cast("int")
+
+
+def listed_text(issues: Column, most: int = 5) -> Column:
+    """The first ``most`` strings of an array on one line, and how many more there are; an empty text for none."""
+    known = F.array_compact(issues)
+    more = F.size(known) - most
+    shown = F.array_join(F.slice(known, 1, most), "; ")
+    return F.when(more > 0, F.concat(shown, F.lit(" (+"), more.cast("string"), F.lit(")"))).otherwise(F.coalesce(shown, F.lit("")))

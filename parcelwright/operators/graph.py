@@ -1,7 +1,10 @@
-"""Connected components by labels that spread along edges."""
+"""Graphs by rounds: connected components, clusters by distance, greedy choices, spreading and relaxation."""
 
 from __future__ import annotations
 
+import warnings
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,23 +35,55 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return labels.unionByName(alone)
 
 
+FINER = 8  # parts of a side from one level of linked_cells() to the next
+
+
+def linked_cells(celled: DataFrame, pairs: DataFrame, gap: float, side: float) -> DataFrame:
+    """a, b of those ``pairs`` of cells (u, v, pu, pv, a, b) that hold two points (u, v, x, y) at most ``gap`` apart.
+
+    Cells are judged by the boxes around their points: boxes that lie within the gap altogether are linked, boxes farther
+    apart are not. Where that doesn't tell, the boxes of smaller cells are compared in the same way, and so on; a cell
+    with one place is its own box, so it ends. Points are never paired, however many a cell holds.
+    """
+    box = [F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")]
+    done, open_pairs, level = None, pairs.withColumns({c: F.lit(0) for c in ("fu", "fv", "gu", "gv")}), 0
+    while True:
+        fine = side / FINER**level
+        within_cell = [(F.floor(F.col(c) / fine) if level else F.lit(0)).alias(f) for c, f in (("x", "fu"), ("y", "fv"))]
+        boxes = celled.select("u", "v", "x", "y", *within_cell).groupBy("u", "v", "fu", "fv").agg(*box)
+        left = boxes.select("u", "v", "fu", "fv", *[F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")])
+        right = boxes.select(F.col("u").alias("pu"), F.col("v").alias("pv"), F.col("fu").alias("gu"), F.col("fv").alias("gv"), *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")])
+        met = open_pairs.join(left, ["u", "v", "fu", "fv"]).join(right, ["pu", "pv", "gu", "gv"])
+        apart = lambda c: F.greatest(F.lit(0.0), F.col(f"b{c}0") - F.col(f"a{c}1"), F.col(f"a{c}0") - F.col(f"b{c}1"))
+        across = lambda c: F.greatest(F.col(f"b{c}1") - F.col(f"a{c}0"), F.col(f"a{c}1") - F.col(f"b{c}0"))
+        judged = met.withColumns({"sure": F.hypot(across("x"), across("y")) <= gap, "may": F.hypot(apart("x"), apart("y")) <= gap}).where("may")
+        judged = materialise(judged.select("u", "v", "pu", "pv", "a", "b", "fu", "fv", "gu", "gv", "sure"))
+        linked = judged.where("sure").select("a", "b").distinct()
+        done = linked if done is None else done.unionByName(linked)
+        waiting = judged.where("NOT sure").join(linked, ["a", "b"], "left_anti")
+        if not waiting.limit(1).count():
+            return done
+        level += 1
+        finer = celled.select("u", "v", (F.floor(F.col("x") / (side / FINER ** (level - 1))) if level > 1 else F.lit(0)).alias("fu"), (F.floor(F.col("y") / (side / FINER ** (level - 1))) if level > 1 else F.lit(0)).alias("fv"), F.floor(F.col("x") / (side / FINER**level)).alias("su"), F.floor(F.col("y") / (side / FINER**level)).alias("sv")).distinct()
+        other = finer.select(F.col("u").alias("pu"), F.col("v").alias("pv"), F.col("fu").alias("gu"), F.col("fv").alias("gv"), F.col("su").alias("tu"), F.col("sv").alias("tv"))
+        open_pairs = waiting.drop("sure").join(finer, ["u", "v", "fu", "fv"]).join(other, ["pu", "pv", "gu", "gv"]).select("u", "v", "pu", "pv", "a", "b", F.col("su").alias("fu"), F.col("sv").alias("fv"), F.col("tu").alias("gu"), F.col("tv").alias("gv"))
+
+
 def distance_clusters(points: DataFrame, gap: float) -> DataFrame:
     """node, label: single-linkage clusters of ``points`` (node, x, y): chains of steps of at most ``gap``.
 
     Points are first gathered into cells whose diagonal is ``gap``, all of one cluster, so a dense spot is one node;
-    only cells are linked, by the nearest points they hold. Points without coordinates are clusters of their own.
+    only cells are linked, see linked_cells(). Points without coordinates are clusters of their own.
     """
     side = gap / 2**0.5
     celled = points.select("node", "x", "y").where("x IS NOT NULL AND y IS NOT NULL").withColumns({"u": F.floor(F.col("x") / side), "v": F.floor(F.col("y") / side)})
     cells = materialise(celled.groupBy("u", "v").agg(F.min("node").alias("head")))
     steps = [(du, dv) for du in range(-2, 3) for dv in range(-2, 3) if (du, dv) > (0, 0)]
     offset = F.explode(F.array(*[F.struct(F.lit(a).alias("du"), F.lit(b).alias("dv")) for a, b in steps]))
-    near = cells.withColumn("s", offset).select("head", F.col("u").alias("u"), F.col("v").alias("v"), (F.col("u") + F.col("s.du")).alias("pu"), (F.col("v") + F.col("s.dv")).alias("pv"))
-    linked = near.join(cells.select(F.col("u").alias("pu"), F.col("v").alias("pv"), F.col("head").alias("other")), ["pu", "pv"])
-    a = celled.select("u", "v", F.col("x").alias("ax"), F.col("y").alias("ay")).distinct()
-    b = celled.select(F.col("u").alias("pu"), F.col("v").alias("pv"), F.col("x").alias("bx"), F.col("y").alias("by")).distinct()
-    met = linked.join(a, ["u", "v"]).join(b, ["pu", "pv"]).where(F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) <= gap)
-    label = components(cells.select(F.col("head").alias("node")), met.select(F.col("head").alias("a"), F.col("other").alias("b")).distinct())
+    near = cells.withColumn("s", offset).select(F.col("head").alias("a"), "u", "v", (F.col("u") + F.col("s.du")).alias("pu"), (F.col("v") + F.col("s.dv")).alias("pv"))
+    pairs = near.join(cells.select(F.col("u").alias("pu"), F.col("v").alias("pv"), F.col("head").alias("b")), ["pu", "pv"])
+    places = materialise(celled.select("u", "v", "x", "y").distinct())
+    label = components(cells.select(F.col("head").alias("node")), linked_cells(places, pairs, gap, side))
     inside = celled.join(cells, ["u", "v"]).select("node", "head").join(label.withColumnRenamed("node", "head"), "head").select("node", "label")
     lone = points.where("x IS NULL OR y IS NULL").select("node", F.col("node").alias("label"))
     return inside.unionByName(lone)
@@ -118,15 +153,15 @@ def worst_first(pairs: DataFrame) -> DataFrame:
         left = materialise(left.join(gone.select(F.col("node").alias("a")), "a", "left_anti").join(gone.select(F.col("node").alias("b")), "b", "left_anti"))
 
 
-def propagated(seeds: DataFrame, links: DataFrame, rounds: int = 4) -> DataFrame:
-    """node, parent, round: what ``seeds`` (node) reach over ``links`` (a, b, cost) in up to ``rounds`` rounds.
+def propagated(seeds: DataFrame, links: DataFrame, rounds: int | None = 4) -> DataFrame:
+    """node, parent, round: what ``seeds`` (node) reach over ``links`` (a, b, cost) in up to ``rounds`` rounds, with None in as many as it takes.
 
     A node is seated by the cheapest link (then the smallest neighbour) to a node seated before the round began; what is
     seated within a round only seats others in the next.
     """
     both = materialise(links.select("a", "b", "cost").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "cost")))
     seated = materialise(seeds.select("node").distinct().select("node", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("round")))
-    for number in range(1, rounds + 1):
+    for number in count(1) if rounds is None else range(1, rounds + 1):
         offers = both.join(seated.select(F.col("node").alias("b")), "b").join(seated.select(F.col("node").alias("a")), "a", "left_anti")
         fresh = materialise(offers.groupBy("a").agg(F.min(F.struct("cost", "b")).alias("m")).select(F.col("a").alias("node"), F.col("m.b").cast("long").alias("parent"), F.lit(number).alias("round")))
         if not fresh.limit(1).count():
@@ -135,11 +170,12 @@ def propagated(seeds: DataFrame, links: DataFrame, rounds: int = 4) -> DataFrame
     return seated
 
 
-def relaxed_offsets(nodes: DataFrame, gaps: DataFrame, rounds: int = 40, step: float = 0.5, settled: float = 0.05, cap: float = float("inf")) -> DataFrame:
+def relaxed_offsets(nodes: DataFrame, gaps: DataFrame, rounds: int = 1_000, step: float = 0.5, settled: float = 0.05, cap: float = float("inf")) -> DataFrame:
     """node, dx, dy: moves that close ``gaps`` (a, b, gx, gy: how far a must move for b to fit) between ``nodes`` (node, fixed).
 
     All moves of a round are computed from the state before it and then made together: each free node goes ``step`` of
-    the mean of what its gaps ask for. It ends when no node moves by ``settled``; no node leaves its place by more than ``cap``.
+    the mean of what its gaps ask for. It ends when no node moves by ``settled``; if that takes more than ``rounds`` the state
+    reached comes with a warning. No node leaves its place by more than ``cap``.
     """
     ask = materialise(gaps.select("a", "b", "gx", "gy").unionByName(gaps.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("gx")).alias("gx"), (-F.col("gy")).alias("gy"))))
     state = materialise(nodes.select("node", F.coalesce("fixed", F.lit(False)).alias("fixed"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy")))
@@ -154,5 +190,6 @@ def relaxed_offsets(nodes: DataFrame, gaps: DataFrame, rounds: int = 40, step: f
         most = following.agg(F.max("s").alias("s")).collect()[0].s
         state = following.drop("s")
         if most is None or most < settled:
-            break
+            return state.select("node", "dx", "dy")
+    warnings.warn(f"nodes still move by {most} after {rounds} rounds", stacklevel=2)
     return state.select("node", "dx", "dy")

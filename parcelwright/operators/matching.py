@@ -10,8 +10,8 @@ from parcelwright.operators.graph import distance_clusters, greedy_keep
 from parcelwright.operators.joins import around, band, cell, nearest, within
 
 
-def nearest_segments(points: DataFrame, segments: DataFrame, reach: float, shortest: float = 0.0) -> DataFrame:
-    """pid, sid, gap: the segment (sid, x1, y1, x2, y2) nearest to each point (pid, x, y) within ``reach``; ties go to the smaller sid.
+def nearest_segments(points: DataFrame, segments: DataFrame, reach: float, shortest: float = 0.0, digits: int | None = None) -> DataFrame:
+    """pid, sid, gap: the segment (sid, x1, y1, x2, y2) nearest to each point (pid, x, y) within ``reach``; ties go to the smaller sid. ``digits``: gaps are rounded before they are compared.
 
     A segment goes to the cells its box touches, a point to its nine neighbours' cells, so long segments cost a row for each cell.
     """
@@ -19,7 +19,8 @@ def nearest_segments(points: DataFrame, segments: DataFrame, reach: float, short
     long = segments.where(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) >= shortest)
     spread = long.withColumn("_u", F.explode(F.sequence(cell(F.least("x1", "x2"), side), cell(F.greatest("x1", "x2"), side)))).withColumn("_v", F.explode(F.sequence(cell(F.least("y1", "y2"), side), cell(F.greatest("y1", "y2"), side))))
     placed = around(points.where("x IS NOT NULL AND y IS NOT NULL").withColumns({"_u": cell(F.col("x"), side), "_v": cell(F.col("y"), side)}), "_u", "_v")
-    met = placed.join(spread, ["_u", "_v"]).withColumn("gap", segment_distance(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])).where(F.col("gap") <= reach)
+    met = placed.join(spread, ["_u", "_v"]).withColumn("gap", segment_distance(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")]))
+    met = (met if digits is None else met.withColumn("gap", F.round("gap", digits))).where(F.col("gap") <= reach)
     return met.groupBy("pid").agg(F.min(F.struct("gap", "sid")).alias("b")).select("pid", "b.sid", "b.gap")
 
 
@@ -187,3 +188,25 @@ def traced_edges(drawing: DataFrame, stones: DataFrame, reach: float) -> DataFra
     steps = near.select(F.col("rid").alias("p"), F.lag("rid").over(w).alias("q")).where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
     place = lambda s: stones.select(F.col("stone").alias(s), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"))
     return steps.join(place("a"), "a").join(place("b"), "b").select("a", "b", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")).alias("length"))
+
+
+def by_fingerprint(left: DataFrame, right: DataFrame, worst: float, apart: float) -> DataFrame:
+    """lid, rid, rms: for each ring of ``left`` (lid, lengths) the ring of ``right`` (rid, lengths) whose sorted edge lengths fit best, up to an rms of ``worst``; ties go to the smaller rid.
+
+    Only rings with equal numbers of edges whose lengths sum to within ``apart`` meet, in bands of that sum. Equal
+    fingerprints of the right side are one candidate, the smallest rid, so that copies make no pairs.
+    """
+    from parcelwright.functions.plane import fingerprint, fingerprint_rms
+
+    made = lambda df, k: df.select(F.col(k), fingerprint(F.col("lengths")).alias(f"{k}_print")).withColumns({"edges": F.col(f"{k}_print.n"), f"{k}_sum": F.aggregate(f"{k}_print.bins", F.lit(0.0), lambda s, v: s + v)})
+    once = made(right, "rid").groupBy("rid_print", "edges", "rid_sum").agg(F.min("rid").alias("rid"))
+    met = band(made(left, "lid"), once, "lid_sum", "rid_sum", apart, ["edges"]).where("lid <> rid")
+    fit = met.withColumn("rms", F.round(fingerprint_rms(F.col("lid_print"), F.col("rid_print")), 9)).where(F.col("rms") <= worst)
+    return fit.groupBy("lid").agg(F.min(F.struct("rms", "rid")).alias("m")).select("lid", "m.rid", "m.rms")
+
+
+def ranked_candidates(left: DataFrame, right: DataFrame, key: list[str], score: Column, most: int) -> DataFrame:
+    """lid, rid, score, place: the ``most`` best rows of ``right`` (rid) for each of ``left`` (lid) with the same key; larger scores first, ties to the smaller rid, null scores out."""
+    met = left.join(right, key).withColumn("score", score).where("score IS NOT NULL")
+    ranked = met.withColumn("place", F.row_number().over(Window.partitionBy("lid").orderBy(F.col("score").desc(), "rid")))
+    return ranked.where(F.col("place") <= most).select("lid", "rid", "score", "place")

@@ -21,14 +21,17 @@ def overlaps(pairs: DataFrame, a: str = "ring_a", b: str = "ring_b") -> DataFram
     def run(frames: Iterator) -> Iterator:
         import numpy as np
 
-        from parcelwright.functions.kernels import overlap_measures
+        from parcelwright.functions.kernels import overlap_areas, signed_area
 
+        as_ring = lambda r: np.array([(v["x"], v["y"]) for v in r], float).reshape(-1, 2) if r is not None else np.zeros((0, 2))
         for frame in frames:
-            rows = []
-            for p, q in zip(frame[a], frame[b]):
-                rings = [np.array([(v["x"], v["y"]) for v in r], float).reshape(-1, 2) if r is not None else np.zeros((0, 2)) for r in (p, q)]
-                rows.append(overlap_measures(*rings) if min(map(len, rings)) >= 3 else (0.0, 0.0, 0.0))
-            yield frame.drop(columns=[a, b]).assign(shared=[r[0] for r in rows], share=[r[1] for r in rows], iou=[r[2] for r in rows])
+            left, right = [as_ring(r) for r in frame[a]], [as_ring(r) for r in frame[b]]
+            shared = overlap_areas(left, right)
+            size = lambda rings: np.array([abs(signed_area(r)) if len(r) >= 3 else 0.0 for r in rings])
+            x, y = size(left), size(right)
+            smaller, union = np.minimum(x, y), x + y - shared
+            part = lambda whole: np.where(whole > 0, shared / np.where(whole > 0, whole, 1.0), 0.0)
+            yield frame.drop(columns=[a, b]).assign(shared=shared, share=part(smaller), iou=part(union))
 
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema if f.name not in (a, b)]
     return pairs.mapInPandas(run, ", ".join([*fields, "shared double, share double, iou double"]))
@@ -194,7 +197,9 @@ def covered_lengths(segments: DataFrame, lines: DataFrame, reach: float) -> Data
     both = (long > 0) & off[0].isNotNull() & along[0].isNotNull() & (F.greatest(off[0], along[0]) <= F.least(off[1], along[1]))
     strip = F.when(both, F.greatest(off[0], along[0])), F.when(both, F.least(off[1], along[1]))
     parts = [strip, disc("px", "py"), disc("qx", "qy")]
-    near = met.select("sid", F.greatest(F.lit(0.0), F.least(*[p[0] for p in parts])).alias("low"), F.least(F.lit(1.0), F.greatest(*[p[1] for p in parts])).alias("high")).where(F.least(*[p[0] for p in parts]).isNotNull() & (c("low") < c("high")))
+    # each part is a row of its own; where they meet, the union below joins them
+    each = met.select("sid", F.explode(F.array(*[F.struct(low.alias("low"), high.alias("high")) for low, high in parts])).alias("p")).where("p.low IS NOT NULL")
+    near = each.select("sid", F.greatest(F.lit(0.0), F.col("p.low")).alias("low"), F.least(F.lit(1.0), F.col("p.high")).alias("high")).where("low < high")
     before = Window.partitionBy("sid").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
     union = near.withColumn("from", F.greatest("low", F.coalesce(F.max("high").over(before), F.lit(0.0)))).groupBy("sid").agg(F.sum(F.greatest(F.lit(0.0), c("high") - c("from"))).alias("share"))
     length = F.hypot(c("x2") - c("x1"), c("y2") - c("y1"))

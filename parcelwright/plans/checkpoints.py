@@ -31,3 +31,9 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it from there, so that lost executors cost no recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -24,12 +24,12 @@ def query(sql: str | None = None):
 
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
     p = table(spark, folder, "parcels").where(F.size("polygon") >= 3).select("parcel_id", F.posexplode(plane.closed_pairs(F.col("polygon"))).alias("at", "e"))
-    return p.select(F.col("parcel_id").alias("plot"), (F.col("parcel_id") * 1000 + F.col("at")).alias("eid"), "e.x1", "e.y1", "e.x2", "e.y2").where("x1 IS NOT NULL AND x2 IS NOT NULL")
+    return p.select(F.col("parcel_id").alias("plot"), F.struct("parcel_id", "at").alias("eid"), "e.x1", "e.y1", "e.x2", "e.y2").where("x1 IS NOT NULL AND x2 IS NOT NULL")
 
 
 _EDGE_SQL = """
 WITH r AS (SELECT parcel_id, polygon AS g, len(polygon) AS n FROM parcels WHERE len(polygon) >= 3),
-e AS (SELECT parcel_id AS plot, parcel_id * 1000 + i - 1 AS eid, g[i].x AS x1, g[i].y AS y1, g[i % n + 1].x AS x2, g[i % n + 1].y AS y2 FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM r))
+e AS (SELECT parcel_id AS plot, i - 1 AS eid, g[i].x AS x1, g[i].y AS y1, g[i % n + 1].x AS x2, g[i % n + 1].y AS y2 FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM r))
 """
 
 
@@ -37,13 +37,13 @@ e AS (SELECT parcel_id AS plot, parcel_id * 1000 + i - 1 AS eid, g[i].x AS x1, g
 , f AS (SELECT fmb_id, placed_x AS x, placed_y AS y FROM fmb_errors WHERE isfinite(placed_x) AND isfinite(placed_y)),
 c AS (SELECT f.*, e.*, (x2 - x1) ** 2 + (y2 - y1) ** 2 AS l FROM f JOIN e ON least(x1, x2) <= x + 30 AND greatest(x1, x2) >= x - 30 AND least(y1, y2) <= y + 30 AND greatest(y1, y2) >= y - 30),
 t AS (SELECT *, CASE WHEN l = 0 THEN 0 ELSE least(1, greatest(0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / CASE WHEN l = 0 THEN 1 ELSE l END)) END AS t FROM c WHERE l >= 64),
-d AS (SELECT fmb_id, eid, sqrt((x - (x1 + t * (x2 - x1))) ** 2 + (y - (y1 + t * (y2 - y1))) ** 2) AS gap FROM t)
-SELECT fmb_id, min(round(gap, 4)) AS gap, count(*) AS lines FROM d WHERE gap <= 30 AND (fmb_id, gap) IN (SELECT fmb_id, min(gap) FROM d WHERE gap <= 30 GROUP BY fmb_id) GROUP BY fmb_id""".replace("count(*) AS lines", "CAST(1 AS INTEGER) AS lines"))
+d AS (SELECT fmb_id, plot, eid, round(sqrt((x - (x1 + t * (x2 - x1))) ** 2 + (y - (y1 + t * (y2 - y1))) ** 2), 6) AS gap FROM t)
+SELECT fmb_id, m.gap AS gap, m.plot AS parcel_id, CAST(m.eid AS INTEGER) AS edge FROM (SELECT fmb_id, min({'gap': gap, 'plot': plot, 'eid': eid}) AS m FROM d WHERE gap <= 30 GROUP BY fmb_id)""")
 def nearest_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """The nearest parcel edge of at least eight metres within thirty metres of each sketch."""
+    """The nearest parcel edge of at least eight metres within thirty metres of each sketch; ties (of copies) go to the smaller parcel and edge."""
     f = table(spark, folder, "fmb_errors").select(F.col("fmb_id").alias("pid"), plane.finite(F.col("placed_x")).alias("x"), plane.finite(F.col("placed_y")).alias("y"))
     s = _edges(spark, folder).withColumnRenamed("eid", "sid").drop("plot")
-    return matching.nearest_segments(f, s, 30.0, 8.0).select(F.col("pid").alias("fmb_id"), F.round("gap", 4).alias("gap"), F.lit(1).alias("lines"))
+    return matching.nearest_segments(f, s, 30.0, 8.0, digits=6).select(F.col("pid").alias("fmb_id"), "gap", "sid.parcel_id", F.col("sid.at").alias("edge"))
 
 
 @query(_EDGE_SQL + """
@@ -76,7 +76,7 @@ def sketch_blocks(spark: SparkSession, folder: str) -> DataFrame:
 def snapped_parcels(spark: SparkSession, folder: str) -> DataFrame:
     """Corners of different parcel records within half a metre, brought together."""
     p = table(spark, folder, "parcels").select(F.col("parcel_id").alias("plot"), F.posexplode("polygon").alias("at", "p")).where("p.x IS NOT NULL AND p.y IS NOT NULL")
-    return matching.snapped_corners(p.select((F.col("plot") * 1000 + F.col("at")).alias("node"), "plot", "at", "p.x", "p.y"), 0.5, 2.0)
+    return matching.snapped_corners(p.select(F.struct("plot", "at").alias("node"), "plot", "at", "p.x", "p.y"), 0.5, 2.0)
 
 
 @query(r"""
@@ -125,10 +125,10 @@ def placed_plots(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(_EDGE_SQL + """
-, s AS (SELECT plot, struct_pack(x := round_even(x1, 1), y := round_even(y1, 1)) AS a, struct_pack(x := round_even(x2, 1), y := round_even(y2, 1)) AS b FROM e),
-u AS (SELECT plot, least(a, b) AS lo, greatest(a, b) AS hi, count(*) AS n FROM s WHERE a <> b GROUP BY ALL), t AS (SELECT plot, sum(n) AS segments, sum(n - 1) AS repeated FROM u GROUP BY plot),
+, s AS (SELECT plot, struct_pack(x := round_even(x1, 1), y := round_even(y1, 1)) AS a, struct_pack(x := round_even(x2, 1), y := round_even(y2, 1)) AS b, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS l FROM e),
+u AS (SELECT plot, least(a, b) AS lo, greatest(a, b) AS hi, count(*) AS n, max(l) AS l FROM s WHERE a <> b GROUP BY plot, least(a, b), greatest(a, b)), t AS (SELECT plot, sum(n) AS segments, sum(n - 1) AS repeated, sum(l) AS length FROM u GROUP BY plot),
 d AS (SELECT plot, p, count(*) AS d FROM (SELECT plot, unnest([lo, hi]) AS p FROM u) GROUP BY ALL), o AS (SELECT plot, count(*) AS nodes, count(*) FILTER (d % 2 = 1) AS odd_nodes, count(*) FILTER (d = 1) AS loose_ends FROM d GROUP BY plot)
-SELECT plot AS parcel_id, CAST(segments AS BIGINT) AS segments, CAST(repeated AS BIGINT) AS repeated, nodes, odd_nodes, loose_ends FROM t JOIN o USING (plot)""")
+SELECT plot AS parcel_id, CAST(segments AS BIGINT) AS segments, CAST(repeated AS BIGINT) AS repeated, round(length, 4) AS length, nodes, odd_nodes, loose_ends FROM t JOIN o USING (plot)""")
 def ring_soundness(spark: SparkSession, folder: str) -> DataFrame:
     """Repeated edges, odd corners and loose ends of each parcel ring."""
-    return matching.network_checks(_edges(spark, folder).withColumnRenamed("plot", "parcel_id"), "parcel_id").drop("length")
+    return matching.network_checks(_edges(spark, folder).withColumnRenamed("plot", "parcel_id"), "parcel_id").withColumn("length", F.round("length", 4))

@@ -359,13 +359,13 @@ def first_deliveries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey, n, round(atan2(sin(a), cos(a)), 6) AS angle, round(1 + l_orderkey % 5 / 10.0, 6) AS scale, CAST(783000 + l_orderkey % 97 AS DOUBLE) AS shift_x, CAST(1241000 - l_orderkey % 89 AS DOUBLE) AS shift_y
+SELECT l_orderkey, n, round(atan2(sin(a), cos(a)), 6) AS angle, round(1 + l_orderkey % 5 / 10.0, 6) AS scale, CAST(641000 + l_orderkey % 97 AS DOUBLE) AS shift_x, CAST(987000 - l_orderkey % 89 AS DOUBLE) AS shift_y
 FROM (SELECT l_orderkey, count(*) AS n, l_orderkey % 628 / 100.0 AS a FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 3)""")
 def planted_transforms(spark: SparkSession, folder: str) -> DataFrame:
     """Transforms that are applied to the points of each order and found again; the oracle has the transforms themselves."""
     li = table(spark, folder, "lineitem").select("l_orderkey", (F.col("l_extendedprice") / 100).alias("x"), (F.col("l_quantity") * 7 + F.col("l_linenumber")).alias("y"))
     k = F.col("l_orderkey")
-    tx, ty = plane.similarity(k % 628 / 100.0, 1 + k % 5 / 10.0, (783000 + k % 97).cast("double"), (1241000 - k % 89).cast("double"), F.col("x"), F.col("y"))
+    tx, ty = plane.similarity(k % 628 / 100.0, 1 + k % 5 / 10.0, (641000 + k % 97).cast("double"), (987000 - k % 89).cast("double"), F.col("x"), F.col("y"))
     fit = fits.transform_fit(li.withColumns({"tx": tx, "ty": ty}), "l_orderkey").where("n >= 3")
     return fit.select("l_orderkey", "n", F.round("angle", 6).alias("angle"), F.round("scale", 6).alias("scale"), F.round("shift_x", 3).alias("shift_x"), F.round("shift_y", 3).alias("shift_y"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parcelwright.functions import plane
 from parcelwright.operators import graph, joins, shapes
-from parcelwright.plans.checkpoints import shared_folder
+from parcelwright.plans.checkpoints import materialise, remove_folder, shared_folder
 from parcelwright.sources.tables import table
 from parcelwright.streaming import events
 
@@ -97,14 +97,32 @@ def plot_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("customer", "supplier", *[F.round(c, 4).alias(c) for c in ("shared", "share", "iou")])
 
 
+def _rings(spark: SparkSession, folder: str) -> DataFrame:
+    """parcel_id, ring (unknown vertices left out), and shape: the smallest parcel_id with the same ring."""
+    sound = F.filter("polygon", lambda v: v.isNotNull() & v["x"].isNotNull() & v["y"].isNotNull())
+    p = table(spark, folder, "parcels").select("parcel_id", sound.alias("ring")).where(F.size("ring") >= 3).withColumn("hash", F.xxhash64("ring"))
+    first = p.groupBy("hash").agg(F.min("parcel_id").alias("shape"))
+    return p.join(first, "hash").drop("hash")
+
+
+@query("""
+WITH r AS (SELECT parcel_id, list_filter(polygon, lambda v: v IS NOT NULL AND v.x IS NOT NULL AND v.y IS NOT NULL) AS ring FROM parcels)
+SELECT parcel_id, min(parcel_id) OVER (PARTITION BY ring) AS shape FROM r WHERE len(ring) >= 3""")
+def parcel_shapes(spark: SparkSession, folder: str) -> DataFrame:
+    """The parcel record that stands for all with exactly the same ring."""
+    return _rings(spark, folder).select("parcel_id", "shape")
+
+
 @query()
 def parcel_overlaps(spark: SparkSession, folder: str) -> DataFrame:
-    """Exact overlaps of parcel records that lie on each other."""
-    p = table(spark, folder, "parcels").where(F.size("polygon") >= 3).select("parcel_id", F.filter("polygon", lambda v: v.isNotNull() & v["x"].isNotNull() & v["y"].isNotNull()).alias("ring"))
+    """Exact overlaps of different parcel rings; parcel_shapes says which records have a ring."""
+    p = _rings(spark, folder).where("parcel_id = shape").select("shape", "ring")
     bound = lambda f, c: f(F.transform("ring", lambda v: v[c]))
-    side = lambda s: p.select(F.col("parcel_id").alias(f"{s}id"), bound(F.array_min, "x").alias(f"{s}x0"), bound(F.array_min, "y").alias(f"{s}y0"), bound(F.array_max, "x").alias(f"{s}x1"), bound(F.array_max, "y").alias(f"{s}y1"), F.col("ring").alias(f"ring_{s}"))
-    met = joins.boxes_meeting(side("l"), side("r"), 100.0).where("lid < rid")
-    found = shapes.overlaps(met.select(F.col("lid").alias("parcel_a"), F.col("rid").alias("parcel_b"), "ring_l", "ring_r"), "ring_l", "ring_r")
+    side = lambda s: p.select(F.col("shape").alias(f"{s}id"), bound(F.array_min, "x").alias(f"{s}x0"), bound(F.array_min, "y").alias(f"{s}y0"), bound(F.array_max, "x").alias(f"{s}x1"), bound(F.array_max, "y").alias(f"{s}y1"))
+    met = joins.boxes_meeting(side("l"), side("r"), 100.0).where("lid < rid").select("lid", "rid")
+    # boxes meet first; rings are fetched for the pairs that remain
+    drawn = met.join(p.select(F.col("shape").alias("lid"), F.col("ring").alias("ring_l")), "lid").join(p.select(F.col("shape").alias("rid"), F.col("ring").alias("ring_r")), "rid")
+    found = shapes.overlaps(drawn.select(F.col("lid").alias("parcel_a"), F.col("rid").alias("parcel_b"), "ring_l", "ring_r"), "ring_l", "ring_r")
     return found.where("share > 0.05").select("parcel_a", "parcel_b", *[F.round(c, 3).alias(c) for c in ("shared", "share", "iou")])
 
 
@@ -149,4 +167,6 @@ def streamed_windows(spark: SparkSession, folder: str) -> DataFrame:
 
     counted = events.windowed_counts(stream.select("ts", "event_type", "value"))
     counted.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/result").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "events", F.round("value", 4).alias("value"))
+    found = materialise(spark.read.parquet(f"{out}/result"))
+    remove_folder(spark, out)
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "events", F.round("value", 4).alias("value"))

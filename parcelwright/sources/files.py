@@ -7,14 +7,16 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from parcelwright.functions.text import first_match, lon_lat_list, northing_easting
 
-# Names under which sources give a survey number, a village, a shape or a coordinate.
-SURVEY_NAMES = ("survey_no", "survey_number", "surveyno", "survey", "sf_no", "kide")
-VILLAGE_NAMES = ("village", "village_name", "vill_name", "lgd_village_code")
-SHAPE_NAMES, X_NAMES, Y_NAMES, ORDER_NAMES = ("wkt", "geometry", "geom"), ("x", "lon", "longitude", "easting"), ("y", "lat", "latitude", "northing"), ("seq", "sequence", "vertex", "ord")
+# Names under which sources give a survey number, a village, a shape, a coordinate or an order, the first that occurs counting.
+SURVEY_NAMES = ("survey_no", "surveyno", "survey_number", "sno", "s_no", "sy_no", "syno", "fmb_no", "fmbno", "survey", "lgd_survey", "kide", "field_no", "fieldno")
+VILLAGE_NAMES = ("village", "village_na", "vil_name", "villname", "revenue_vi")
+X_NAMES = ("easting", "east", "utm_e", "x", "e", "lon", "long", "longitude")
+Y_NAMES = ("northing", "north", "utm_n", "y", "n", "lat", "latitude")
+ORDER_NAMES = ("seq", "order", "vertex", "vno", "pno", "point_no", "idx", "sort")
+SHAPE_NAMES = ("wkt", "geometry", "geom", "the_geom", "wkt_geom")
 
 
 def named(columns: list[str], aliases: tuple[str, ...]) -> str | None:
@@ -33,7 +35,12 @@ def _points(coordinates: Column) -> Column:
     return F.transform(coordinates, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
+    """As read_geojson(), for files with one Feature on each line; such files are split among tasks."""
+    return read_geojson(spark, path, whole_file=False)
+
+
+def read_geojson(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
     """survey, village, part, ring, crs of the polygons in GeoJSON files: outer rings, one row for each part.
 
     A file is a FeatureCollection or a single Feature. Features that aren't polygons have no rows; crs is WGS84 unless named.
@@ -41,7 +48,7 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     feature = "properties map<string,string>, geometry struct<type: string, coordinates: string>"
     schema = f"type string, crs struct<properties: struct<name: string>>, features array<struct<{feature}>>, {feature}"
     schema = schema.replace("properties map<string,string>, geometry", "properties: map<string,string>, geometry:", 1)
-    raw = spark.read.option("multiLine", True).schema(schema).json(path)
+    raw = spark.read.option("multiLine", whole_file).schema(schema).json(path)
     every = F.when(F.col("features").isNotNull(), F.col("features")).otherwise(F.array(F.struct("properties", "geometry")))
     rows = raw.select(F.coalesce(first_match(F.col("crs.properties.name"), r"EPSG:+(?:\d*:)?(\d+)$"), F.lit("4326")).alias("epsg"), F.explode(every).alias("f"))
     one = F.when(F.col("f.geometry.type") == "Polygon", F.array(F.from_json("f.geometry.coordinates", "array<array<array<double>>>"))).when(F.col("f.geometry.type") == "MultiPolygon", F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>"))
@@ -95,7 +102,11 @@ def read_kmz(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv_parcels(spark: SparkSession, path: str) -> DataFrame:
-    """survey, village, ring of a CSV file that holds a WKT polygon in each row, or one vertex in each row."""
+    """survey, village, ring of CSV files that hold a WKT polygon in each row, or one vertex in each row.
+
+    A MULTIPOLYGON has a row for the outer ring of each part. Vertices without an order column are taken in the order of
+    their file: by file, block and place in the block.
+    """
     raw = spark.read.option("header", True).csv(path)
     survey, village = named(raw.columns, SURVEY_NAMES), named(raw.columns, VILLAGE_NAMES)
     if survey is None:
@@ -103,20 +114,23 @@ def read_csv_parcels(spark: SparkSession, path: str) -> DataFrame:
     place = F.col(village) if village else F.lit(None).cast("string")
     shape = named(raw.columns, SHAPE_NAMES)
     if shape:
-        outer = F.regexp_extract(F.upper(F.col(shape)), r"^\s*POLYGON\s*\(\(([^)]*)\)", 1)
-        ring = F.transform(F.split(outer, ","), lambda p: F.split(F.trim(p), r"\s+"))
-        return raw.where(outer != "").select(F.col(survey).alias("survey"), place.alias("village"), F.transform(ring, lambda p: F.struct(F.get(p, F.lit(0)).cast("double").alias("x"), F.get(p, F.lit(1)).cast("double").alias("y"))).alias("ring"))
+        # an outer ring follows two or three opening brackets, a hole only one
+        outer = F.explode(F.regexp_extract_all(F.upper(F.col(shape)), F.lit(r"\(\s*\(\s*([^()]+)\)"), F.lit(1)))
+        rows = raw.where(F.upper(F.trim(F.col(shape))).rlike(r"^(?:MULTI)?POLYGON")).select(F.col(survey).alias("survey"), place.alias("village"), outer.alias("text"))
+        ring = F.transform(F.split("text", ","), lambda p: F.split(F.trim(p), r"\s+"))
+        return rows.select("survey", "village", F.transform(ring, lambda p: F.struct(F.get(p, F.lit(0)).cast("double").alias("x"), F.get(p, F.lit(1)).cast("double").alias("y"))).alias("ring"))
     x, y, order = named(raw.columns, X_NAMES), named(raw.columns, Y_NAMES), named(raw.columns, ORDER_NAMES)
     if x is None or y is None:
         raise ValueError("neither a shape nor coordinates")
-    at = F.col(order).cast("double") if order else F.monotonically_increasing_id().cast("double")
+    in_file = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    at = F.col(order).cast("double") if order else in_file
     vertex = raw.select(F.col(survey).alias("survey"), place.alias("village"), F.struct(at.alias("at"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).alias("v")).where("v.x IS NOT NULL AND v.y IS NOT NULL")
     rings = vertex.groupBy("survey").agg(F.min("village").alias("village"), F.array_sort(F.collect_list("v")).alias("vs"))
     return rings.where(F.size("vs") >= 3).select("survey", "village", F.transform("vs", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("ring"))
 
 
 def read_landxml(spark: SparkSession, path: str) -> DataFrame:
-    """survey and ring of the parcels in LandXML files: line ends, given directly or as references to survey points."""
+    """survey, ring and crs (null if none is named) of the parcels in LandXML files: line ends, given directly or as references to survey points."""
     return _landxml_rings(_landxml_rows(spark, path))
 
 
@@ -130,6 +144,7 @@ def _landxml_rows(spark: SparkSession, path: str) -> DataFrame:
 
     def parse(frames: Iterator) -> Iterator:
         import io
+        import re
         import xml.etree.ElementTree as ET
 
         import pandas as pd
@@ -139,7 +154,11 @@ def _landxml_rows(spark: SparkSession, path: str) -> DataFrame:
             out = []
             for file, content in zip(frame["path"], frame["content"]):
                 for _, e in ET.iterparse(io.BytesIO(content)):
-                    if local(e) == "cgpoint" and e.get("name"):
+                    if local(e) == "coordinatesystem":
+                        named_by = e.get("epsgCode") or next((m for v in e.attrib.values() for m in re.findall(r"(?:EPSG\D*)(\d{4,5})", v)), None)
+                        if named_by:
+                            out.append((file, "crs", named_by, 0, None, ""))
+                    elif local(e) == "cgpoint" and e.get("name"):
                         out.append((file, "point", e.get("name"), 0, None, e.text or ""))
                     elif local(e) == "parcel":
                         ends = [end for line in e.iter() if local(line) in ("line", "curve", "irregularline") for end in line if local(end) in ("start", "end")]
@@ -155,10 +174,11 @@ def _landxml_rings(rows: DataFrame) -> DataFrame:
     points = rows.where("kind = 'point'").select("file", F.col("name").alias("ref"), F.col("place").alias("known")).dropDuplicates(["file", "ref"])
     ends = rows.where("kind = 'end'").join(points, ["file", "ref"], "left").select("file", "name", "at", F.coalesce("known", "place").alias("p")).where("p IS NOT NULL")
     rings = ends.groupBy("file", "name").agg(F.array_sort(F.collect_list(F.struct("at", "p"))).alias("ps"))
-    flat = rings.select("name", F.transform("ps", lambda e: e["p"]).alias("ps"))
+    systems = rows.where("kind = 'crs'").groupBy("file").agg(F.concat(F.lit("EPSG:"), F.min("name")).alias("crs"))
+    flat = rings.join(systems, "file", "left").select("name", "crs", F.transform("ps", lambda e: e["p"]).alias("ps"))
     # an end that repeats the one before is no corner
     kept = F.filter("ps", lambda p, i: (i == 0) | (F.abs(p["x"] - F.get("ps", i - 1)["x"]) + F.abs(p["y"] - F.get("ps", i - 1)["y"]) > 1e-6))
-    return flat.select(F.col("name").alias("survey"), kept.alias("ring")).where(F.size("ring") >= 3)
+    return flat.select(F.col("name").alias("survey"), kept.alias("ring"), "crs").where(F.size("ring") >= 3)
 
 
 def wkb_ring(content: bytes | None) -> list[dict[str, float]] | None:
@@ -216,36 +236,7 @@ def read_parcel_window(spark: SparkSession, path: str, lon: float, lat: float, p
     return near.select("survey_number", "lgd_village_code", decode(F.col("geometry").cast("binary")).alias("ring")).where("ring IS NOT NULL")
 
 
-class DxfSource(DataSource):
-    """Entities of DXF drawings: file, ord, entity, layer, at, x, y, text, rotation; a row for each vertex or placed text."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "dxf"
-
-    def schema(self) -> str:
-        return "file string, ord int, entity string, layer string, at int, x double, y double, text string, rotation double"
-
-    def reader(self, schema):
-        return DxfReader(self.options)
-
-
-class DxfReader(DataSourceReader):
-    """One partition for each file of the option ``path``, a file, a folder or a pattern."""
-
-    def __init__(self, options):
-        self.path = options["path"]
-
-    def partitions(self):
-        import glob
-        import os
-
-        path = os.path.join(self.path, "*.[dD][xX][fF]") if os.path.isdir(self.path) else self.path
-        return [InputPartition(p) for p in sorted(glob.glob(path))]
-
-    def read(self, partition):
-        with open(partition.value, encoding="utf-8", errors="replace") as f:
-            yield from dxf_rows(partition.value, f)
+DXF_ROWS = "file string, ord int, entity string, layer string, at int, x double, y double, text string, rotation double"
 
 
 def dxf_rows(file: str, lines: Iterator[str]) -> Iterator[tuple]:
@@ -293,18 +284,78 @@ def dxf_rows(file: str, lines: Iterator[str]) -> Iterator[tuple]:
             values.append((code, value.strip() if code != 1 else value))
 
 
-def read_dxf(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(DxfSource)
-    return spark.read.format("dxf").load(path)
+def read_dxf(spark: SparkSession, path: str, suffix: str = ".dxf") -> DataFrame:
+    """Entities of DXF drawings (a file, a folder or a pattern of any file system that Spark reads): DXF_ROWS, a row for each vertex or placed text. A drawing is read by one task."""
 
+    def parse(batches: Iterator) -> Iterator:
+        import io
 
-def read_parcels(spark: SparkSession, path: str) -> DataFrame:
-    """survey, ring of a parcel file by its suffix: GeoJSON, KML, KMZ, shapefile, CSV or LandXML."""
+        import pyarrow as pa
+
+        names = [f.split()[0] for f in DXF_ROWS.split(", ")]
+        kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+        types = [kinds[f.split()[1]] for f in DXF_ROWS.split(", ")]
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+        for batch in batches:
+            held = []
+            for file, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
+                for row in dxf_rows(file, io.TextIOWrapper(io.BytesIO(content), encoding="utf-8", errors="replace")):
+                    held.append(row)
+                    if len(held) == 50_000:
+                        yield made(held)
+                        held = []
+            if held:
+                yield made(held)
+
+    files = spark.read.format("binaryFile").load(path).where(F.lower("path").endswith(suffix))
+    return files.select("path", "content").mapInArrow(parse, DXF_ROWS)
+
+
+def read_parcels(spark: SparkSession, path: str, target: str | None = None) -> DataFrame:
+    """survey, village, ring, crs of a parcel file by its suffix: GeoJSON, KML, KMZ, shapefile, CSV or LandXML.
+
+    What a format doesn't give is null; CSV and LandXML rings whose coordinates are all degrees are WGS84. With
+    ``target`` (a northern UTM system) rings in degrees or in another UTM zone are brought to it. Rings are cleaned (see
+    repaired()); those without an area have no rows.
+    """
     suffix = path.rsplit(".", 1)[-1].lower()
     readers = {"geojson": read_geojson, "json": read_geojson, "kml": read_kml, "kmz": read_kmz, "shp": read_shapefile, "csv": read_csv_parcels, "xml": read_landxml, "landxml": read_landxml}
     if suffix not in readers:
         raise ValueError(f"no reader for .{suffix}")
-    return readers[suffix](spark, path).select("survey", "ring")
+    raw = readers[suffix](spark, path)
+    for name in ("village", "crs"):
+        if name not in raw.columns:
+            raw = raw.withColumn(name, F.lit(None).cast("string"))
+    degrees = F.forall("ring", lambda p: p["x"].between(-180, 180) & p["y"].between(-90, 90))
+    known = raw.withColumns({"ring": repaired(F.col("ring")), "crs": F.coalesce("crs", F.when(degrees, "EPSG:4326"))}).where("ring IS NOT NULL")
+    return (reprojected(known, target) if target else known).select("survey", "village", "ring", "crs")
+
+
+def repaired(ring: Column) -> Column:
+    """A ring without unknown and repeated vertices and its closing one; null where fewer than three or no area are left."""
+    from parcelwright.functions.plane import finite, ring_area
+
+    there = F.filter(ring, lambda p: p.isNotNull() & finite(p["x"]).isNotNull() & finite(p["y"]).isNotNull())
+    once = F.filter(there, lambda p, i: (i == 0) | (p != F.get(there, i - 1)))
+    bare = F.when((F.size(once) > 1) & (F.get(once, F.lit(0)) == F.element_at(once, -1)), F.slice(once, 1, F.size(once) - 1)).otherwise(once)
+    return F.when((F.size(bare) >= 3) & (ring_area(bare) > 0), bare)
+
+
+def reprojected(parcels: DataFrame, target: str) -> DataFrame:
+    """Rows (ring, crs, ...) with their rings in ``target``, a northern UTM system like EPSG:32643; crs says so. Rings of a system that is neither degrees nor northern UTM stay as they are."""
+    from parcelwright.functions.plane import from_utm, to_utm
+
+    name = F.upper(F.regexp_replace("crs", r"\s", ""))
+    zone_of = F.when(name.rlike(r"^EPSG:326\d\d$"), F.substring(name, 9, 2).cast("int"))
+    zone = F.lit(int(target.strip()[-2:]))
+    geographic = name.isin("EPSG:4326", "OGC:CRS84", "CRS84")
+
+    def moved(p: Column) -> Column:
+        place = from_utm(p["x"], p["y"], zone_of)
+        return to_utm(F.when(geographic, p["x"]).otherwise(place["lon"]), F.when(geographic, p["y"]).otherwise(place["lat"]), zone)
+
+    goes = F.coalesce((geographic | zone_of.isNotNull()) & (name != target.upper().replace(" ", "")), F.lit(False))
+    return parcels.withColumns({"ring": F.when(goes, F.transform("ring", moved)).otherwise(F.col("ring")), "crs": F.when(goes, F.lit(target)).otherwise(F.col("crs"))})
 
 
 def primary_rings(parcels: DataFrame) -> DataFrame:

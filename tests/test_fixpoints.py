@@ -52,3 +52,30 @@ def test_drawings_give_stones_and_chains(spark):
     stones = matching.surveyed_stones(drawing)
     assert {(r.x, r.code) for r in stones.collect()} == {(0.0, "B"), (10.0, None)}
     assert [round(r.length, 6) for r in matching.traced_edges(drawing, stones, 5.0).collect()] == [10.0]
+
+
+def test_clusters_by_distance_with_a_third_of_all_points_at_one_spot(spark):
+    """Two dense spots a little more or less than the gap apart, a chain, copies and points without a place."""
+    import random
+
+    from parcelwright.operators.graph import distance_clusters
+
+    for apart in (0.97, 1.03):
+        rng = random.Random(int(apart * 100))
+        points = [(i, rng.random() * 0.01, rng.random() * 0.01) for i in range(300)] + [(300 + i, apart + 0.01 + rng.random() * 0.01, rng.random() * 0.01) for i in range(300)]
+        points += [(600 + i, 10 + rng.random() * 6, rng.random() * 6) for i in range(120)] + [(800, 50.0, 50.0), (801, 50.0, 50.0), (802, None, 1.0)]
+        parent = {p[0]: p[0] for p in points}
+
+        def find(n):
+            while parent[n] != n:
+                n = parent[n]
+            return n
+
+        for a, ax, ay in points:
+            for b, bx, by in points:
+                if a < b and None not in (ax, bx) and ((ax - bx) ** 2 + (ay - by) ** 2) ** 0.5 <= 1.0:
+                    x, y = find(a), find(b)
+                    parent[max(x, y)] = min(x, y)
+        got = {r.node: r.label for r in distance_clusters(spark.createDataFrame(points, "node long, x double, y double"), 1.0).collect()}
+        groups = lambda of: sorted(sorted(n for n in parent if of(n) == g) for g in {of(n) for n in parent})
+        assert groups(got.get) == groups(find)

@@ -99,3 +99,20 @@ def test_matching_takes_each_target_once():
 def test_small_inputs(n):
     points = SQUARE[:n]
     assert K.overlap_area(points, SQUARE) == 0.0 and len(K.convex_hull(points)) == n
+
+
+def test_many_overlaps_at_once_equal_one_by_one():
+    from parcelwright.functions.kernels import overlap_area, overlap_areas
+
+    rng = np.random.default_rng(8)
+
+    def ring():
+        n = int(rng.integers(3, 10))
+        angle, far = np.sort(rng.random(n) * 2 * np.pi), rng.random(n) + 0.3
+        made = np.stack([far * np.cos(angle), far * np.sin(angle)], axis=1) + rng.random(2) * 1.5 + 1e5
+        return made[::-1] if rng.random() < 0.5 else made
+
+    left, right = [ring() for _ in range(120)] + [np.zeros((0, 2)), np.zeros((2, 2)), ring()], [ring() for _ in range(122)] + [np.zeros((1, 2))]
+    for batch in (1, 500, 1_000_000):
+        assert np.allclose(overlap_areas(left, right, batch), [overlap_area(a, b) if len(a) else 0.0 for a, b in zip(left, right)], atol=1e-6)
+    assert overlap_areas([], []).tolist() == []

@@ -14,15 +14,15 @@ def test_best_edge_pairs(spark):
 
 
 def test_seats_and_shifts(spark):
-    corners = spark.createDataFrame([("p", l, x, y) for l, x, y in (("A", 0.0, 0.0), ("B", 50.0, 0.0), ("C", 50.0, 35.0))] + [("q", "A", 0.0, 0.0)], "plot string, label string, x double, y double")
-    controls = spark.createDataFrame([("p", "A", 100.0, 100.0), ("p", "B", 100.0, 150.0), ("p", "C", 65.0, 150.0), ("p", "Z", 0.0, 0.0), ("q", "A", 5.0, 5.0)], "plot string, label string, tx double, ty double")
+    corners = spark.createDataFrame([("p", l, x, y) for l, x, y in (("A", 0.0, 0.0), ("B", 41.0, 0.0), ("C", 41.0, 27.0))] + [("q", "A", 0.0, 0.0)], "plot string, label string, x double, y double")
+    controls = spark.createDataFrame([("p", "A", 100.0, 100.0), ("p", "B", 100.0, 141.0), ("p", "C", 73.0, 141.0), ("p", "Z", 0.0, 0.0), ("q", "A", 5.0, 5.0)], "plot string, label string, tx double, ty double")
     got = {r.plot: r for r in plots.seats_by_controls(corners, controls).collect()}
-    assert got["p"].controls == 3 and abs(got["p"].angle - math.pi / 2) < 1e-9 and (round(got["p"].shift_x, 6), round(got["p"].shift_y, 6)) == (100, 100) and got["p"].baseline > 60
+    assert got["p"].controls == 3 and abs(got["p"].angle - math.pi / 2) < 1e-9 and (round(got["p"].shift_x, 6), round(got["p"].shift_y, 6)) == (100, 100) and got["p"].baseline > 49
     assert got["q"].angle is None
     shift = spark.range(1).select(plots.rigid_shift(F.lit(0.0), F.lit(1.2), F.lit(5.0), F.lit(6.0), F.lit(10.0), F.lit(20.0)).alias("s")).collect()[0].s
     assert (round(shift.x, 6), round(shift.y, 6)) == (7, 10)
-    placed = spark.createDataFrame([("p", i, x, y, x + 100.4, y + 100) for i, (x, y) in enumerate([(0.0, 0.0), (50.0, 0.0), (50.0, 35.0)])], "plot string, at int, x double, y double, px double, py double")
-    stones = spark.createDataFrame([(1, 100.0, 100.0), (2, 150.0, 100.0), (3, 900.0, 0.0)], "stone long, x double, y double")
+    placed = spark.createDataFrame([("p", i, x, y, x + 100.4, y + 100) for i, (x, y) in enumerate([(0.0, 0.0), (41.0, 0.0), (41.0, 27.0)])], "plot string, at int, x double, y double, px double, py double")
+    stones = spark.createDataFrame([(1, 100.0, 100.0), (2, 141.0, 100.0), (3, 900.0, 0.0)], "stone long, x double, y double")
     fit = plots.refined_poses(placed, stones, 5.0).collect()
     assert [(r.plot, r.n, round(r.shift_x, 6)) for r in fit] == [("p", 2, 100.0)]
 

@@ -110,7 +110,7 @@ def test_dispatch_ranks_and_systems(spark, tmp_path):
     (tmp_path / "v.csv").write_text("survey,x,y,seq\n1,77.0,11.0,1\n1,77.4,11.3,3\n1,77.4,11.0,2\n")
     parcels = files.read_parcels(spark, str(tmp_path / "v.csv"))
     assert files.utm_of(parcels) == "EPSG:32643" and files.utm_of(parcels.limit(0)) is None
-    assert [r["rank"] for r in files.primary_rings(parcels.unionByName(parcels.selectExpr("survey", "slice(ring, 1, 2) AS ring"))).orderBy("rank").collect()] == [1, 2]
+    assert [r["rank"] for r in files.primary_rings(parcels.select("survey", "ring").unionByName(parcels.selectExpr("survey", "slice(ring, 1, 2) AS ring"))).orderBy("rank").collect()] == [1, 2]
     with pytest.raises(ValueError):
         files.read_parcels(spark, "a.pdf")
     drawing = spark.createDataFrame([("SURVEY NUMBER", "MTEXT", r"{\fArial|b0;82/1}"), ("SURVEY NUMBER", "TEXT", "82"), ("X", "TEXT", "9"), ("SURVEY NUMBER", "TEXT", "none")], "layer string, entity string, text string")
@@ -145,3 +145,34 @@ def test_shapefile(spark, tmp_path):
     rows = files.read_shapefile(spark, str(tmp_path / "a.shp")).orderBy("survey").collect()
     assert [(r.survey, r.part, r.crs, len(r.ring)) for r in rows] == [("12/1", 0, "EPSG:32643", 4), ("13", 0, "EPSG:32643", 4)]
     assert files.read_parcels(spark, str(tmp_path / "b.shp")).count() == 2 and files.read_shapefile(spark, str(tmp_path)).count() == 4
+
+
+def test_aliases_order_and_parts_of_csv(spark, tmp_path):
+    (tmp_path / "both.csv").write_text("FIELDNO,lon,lat,easting,northing,vno\n1,77.0,11.0,500000,1200000,1\n1,77.1,11.0,500040,1200000,2\n1,77.1,11.1,500040,1200030,3\n")
+    assert [ring_of(r) for r in files.read_csv_parcels(spark, str(tmp_path / "both.csv")).collect()] == [[[500000, 1200000], [500040, 1200000], [500040, 1200030]]]
+    (tmp_path / "m.csv").write_text('sy_no,the_geom\n5,"MULTIPOLYGON (((0 0, 4 0, 4 3), (1 1, 2 1, 2 2)), ((9 9, 10 9, 10 10)))"\n')
+    assert sorted(ring_of(r) for r in files.read_csv_parcels(spark, str(tmp_path / "m.csv")).collect()) == [[[0, 0], [4, 0], [4, 3]], [[9, 9], [10, 9], [10, 10]]]
+    rows = "".join(f"7,{i},{i * i}\n" for i in range(3_000))
+    (tmp_path / "o.csv").write_text("survey,x,y\n" + rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        ring = files.read_csv_parcels(spark, str(tmp_path / "o.csv")).collect()[0].ring
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [p.x for p in ring] == list(range(3_000))
+
+
+def test_village_names_of_shapefiles_and_parcels_in_another_system(spark, tmp_path):
+    doc = {"type": "Feature", "properties": {"SyNo": "12/1", "village_na": "Oradam"}, "geometry": {"type": "Polygon", "coordinates": [[[76.5, 11.0], [76.5, 11.0], [76.501, 11.0], [76.501, 11.001], [76.5, 11.0]]]}}
+    (tmp_path / "a.geojson").write_text(json.dumps(doc))
+    row = files.read_parcels(spark, str(tmp_path / "a.geojson"), "EPSG:32643").collect()[0]
+    assert (row.survey, row.village, row.crs, len(row.ring)) == ("12/1", "Oradam", "EPSG:32643", 3)
+    assert 660_000 < row.ring[0].x < 670_000 and 1_210_000 < row.ring[0].y < 1_220_000
+    back = files.reprojected(files.reprojected(spark.createDataFrame([row]), "EPSG:32644"), "EPSG:32643").collect()[0]
+    assert back.crs == "EPSG:32643" and all(abs(p.x - q.x) < 1e-3 and abs(p.y - q.y) < 1e-3 for p, q in zip(back.ring, row.ring))
+    assert files.read_parcels(spark, str(tmp_path / "a.geojson")).collect()[0].crs == "EPSG:4326"
+
+
+def test_landxml_system(spark, tmp_path):
+    (tmp_path / "a.xml").write_text('<LandXML><CoordinateSystem name="WGS84 / EPSG:32644"/><Parcels><Parcel name="5"><CoordGeom><Line><Start>0 0</Start><End>0 4</End></Line><Line><Start>0 4</Start><End>3 4</End></Line></CoordGeom></Parcel></Parcels></LandXML>')
+    assert [(r.survey, r.crs) for r in files.read_landxml(spark, str(tmp_path / "a.xml")).collect()] == [("5", "EPSG:32644")]
