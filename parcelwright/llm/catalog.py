@@ -75,12 +75,34 @@ def p7_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_usage(spark: SparkSession, folder: str) -> DataFrame:
-    """Containers and unused space of each context."""
+    """Containers of each context, what each limit holds of them, and unused space."""
     from parcelwright.llm import packing
 
     return packing.usage(p7_packing(spark, folder), _table(spark, folder, "contexts"))
 
 
+def _instructions(spark: SparkSession, folder: str) -> tuple:
+    """Documents as instruction data, where all three limits act: the first line is a prompt without loss, and a container has at most 8 examples and 70 % of its tokens with loss."""
+    from parcelwright.llm import packing
+
+    limits, contexts = packing.Limits(most_segments=8, loss_share=0.7, prompt_lines=1), _table(spark, folder, "contexts")
+    return packing.pack(_table(spark, folder, "documents").select("doc_id", "text"), contexts, limits=limits), contexts, limits
+
+
+def p7_instructions(spark: SparkSession, folder: str) -> DataFrame:
+    """Use of the containers when documents are packed as instruction data."""
+    from parcelwright.llm import packing
+
+    return packing.usage(*_instructions(spark, folder))
+
+
+def p7_soundness(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents placed and limits broken in that packing."""
+    from parcelwright.llm import packing
+
+    return packing.soundness(*_instructions(spark, folder))
+
+
 def _languages(spark: SparkSession, folder: str) -> DataFrame:
     from parcelwright.llm import langid
 
@@ -107,8 +129,8 @@ def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_survivors": p2_survivors, "p3_found": p3_found, "p3_sources": p3_sources, "p4_found": p4_found, "p4_links": p4_links, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_usage": p7_usage, "p8_found": p8_found, "p8_segments": p8_segments}
+    return {"p2_found": p2_found, "p2_survivors": p2_survivors, "p3_found": p3_found, "p3_sources": p3_sources, "p4_found": p4_found, "p4_links": p4_links, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_usage": p7_usage, "p7_instructions": p7_instructions, "p7_soundness": p7_soundness, "p8_found": p8_found, "p8_segments": p8_segments}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p7_soundness": "SELECT CAST(context_id AS INTEGER) AS context_id, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, CAST(0 AS BIGINT) AS over_a_limit, CAST(0 AS BIGINT) AS broken, CAST(0 AS BIGINT) AS split_in_vain FROM contexts"}

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from parcelwright.llm.bpe import load_bpe, vocabulary_file
-from parcelwright.llm.packing import Context, fill, pack, pieces, place, usage
+from parcelwright.llm.packing import Context, Limits, fill, pack, pieces, place, prompt, soundness, usage
 
 
 @pytest.mark.parametrize("capacity,segments,loss", [(100, 100, 100), (100, 3, 100), (100, 100, 60), (64, 2, 64)])
@@ -19,8 +19,15 @@ def test_limits_hold_and_little_is_unused(capacity, segments, loss):
 
 
 def test_pieces_of_long_documents():
-    doc, piece, start, size = pieces(np.array([0, 5, 10, 25]), 10)
+    doc, piece, start, size, _ = pieces(np.array([0, 5, 10, 25]), np.ones(4), 10, 10)
     assert list(zip(doc.tolist(), piece.tolist(), start.tolist(), size.tolist())) == [(0, 0, 0, 0), (1, 0, 0, 5), (2, 0, 0, 10), (3, 0, 0, 10), (3, 1, 10, 10), (3, 2, 20, 5)]
+    cut = pieces(np.array([9, 25, 9]), np.array([4, 12, 1]), 10, 6)
+    assert list(zip(*[c.tolist() for c in cut])) == [(0, 0, 0, 9, 5), (1, 0, 0, 10, 0), (1, 1, 10, 8, 6), (1, 2, 18, 6, 6), (1, 3, 24, 1, 1), (2, 0, 0, 7, 6), (2, 1, 7, 2, 2)]
+
+
+def test_prompts():
+    assert [prompt(t, 1) for t in ("Do it.\nDone.", "One line", "Ends.\n", None, "", "\nx")] == ["Do it.\n", None, None, None, None, "\n"]
+    assert prompt("a\nb\nc", 2) == "a\nb\n" and prompt("a\nb", 2) is None
 
 
 def test_place_one_pack():
@@ -62,5 +69,16 @@ def test_empty_tables(spark):
     documents, contexts = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "context_id int, tokenizer string, capacity int")
     assert pack(documents, contexts).collect() == []
     assert pack(documents, spark.createDataFrame([(1, "byte_bpe_50k", 512)], contexts.schema)).collect() == []
-    with pytest.raises(ValueError):
-        pack(documents, contexts, loss_share=0.5)
+
+
+def test_each_limit_acts(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(["word"] * int(k)) + "\n" + " ".join(["reply"] * int(m)) for k, m in zip(rng.integers(1, 20, 600), rng.integers(1, 120, 600))] + ["", None, "x\n" + "word " * 900]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    contexts = spark.createDataFrame([(1, "byte_bpe_50k", 256), (2, "byte_bpe_50k", 2048)], "context_id int, tokenizer string, capacity int")
+    for limits, full in ((Limits(loss_share=0.7, prompt_lines=1), "full_of_loss"), (Limits(most_segments=4), "full_of_segments"), (Limits(), "full_of_tokens")):
+        placed = pack(documents, contexts, limits=limits).cache()
+        sound = soundness(placed, contexts, limits).collect()
+        assert len(sound) == 2 and all((r.documents, r.over_a_limit, r.broken, r.split_in_vain) == (len(texts), 0, 0, 0) for r in sound)
+        used = {r.context_id: r for r in usage(placed, contexts, limits).collect()}
+        assert used[2][full] > 0.5 * used[2].containers and all(r.containers <= 1.1 * r.least_containers + 3 for r in used.values())
