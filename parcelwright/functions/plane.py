@@ -273,3 +273,31 @@ def inner_point(ring: Column) -> Column:
     mean = lambda k: F.aggregate(ring, F.lit(0.0), lambda s, p: s + p[k]) / n
     flat = F.abs(total["a"]) <= 1e-9
     return F.when(n > 0, F.struct(*[F.when(flat, mean(k)).otherwise(o[k] + total[k] / (3 * F.when(flat, 1.0).otherwise(total["a"]))).alias(k) for k in "xy"]))
+
+
+def ring_distance(px: Column, py: Column, ring: Column) -> Column:
+    """Distance of a point from a ring's area: 0 inside, else that from its nearest edge."""
+    edges = closed_pairs(ring)
+    crosses = F.size(F.filter(edges, lambda e: ((e["y1"] > py) != (e["y2"] > py)) & (px < (e["x2"] - e["x1"]) * (py - e["y1"]) / F.when(e["y2"] != e["y1"], e["y2"] - e["y1"]) + e["x1"])))
+    apart = F.array_min(F.transform(edges, lambda e: segment_distance(px, py, e["x1"], e["y1"], e["x2"], e["y2"])))
+    return F.when(crosses % 2 == 1, 0.0).otherwise(apart)
+
+
+def best_skip(lengths: Column, target: Column) -> Column:
+    """struct(skip, rms): which of ``lengths`` to leave out so that the rest fits the fingerprint ``target`` best; the first of several; null where the numbers don't allow it."""
+    without = lambda k: F.filter(lengths, lambda v, i: i != k)
+    options = F.transform(F.sequence(F.lit(0), F.greatest(F.size(lengths) - 1, F.lit(0))), lambda k: F.struct(F.round(fingerprint_rms(fingerprint(without(k)), target), 9).alias("rms"), k.alias("skip")))
+    best = F.array_min(F.filter(options, lambda o: o["rms"].isNotNull()))
+    return F.when(best.isNotNull(), F.struct(best["skip"].alias("skip"), best["rms"].alias("rms")))
+
+
+def gathered(points: Column, indices: Column) -> Column:
+    """The points at ``indices`` (from 0), in their order; all points where no index is given or one lies outside."""
+    sound = (F.size(indices) > 0) & ~F.exists(indices, lambda i: i.isNull() | (i < 0) | (i >= F.size(points)))
+    return F.when(F.coalesce(sound, F.lit(False)), F.transform(indices, lambda i: F.get(points, i))).otherwise(points)
+
+
+def turned_text(x: Column, y: Column, rotation: Column, angle: Column, scale: Column, tx: Column, ty: Column) -> Column:
+    """struct(x, y, rotation) of a text under a similarity transform, its rotation in degrees within [0, 360)."""
+    px, py = similarity(angle, scale, tx, ty, x, y)
+    return F.struct(px.alias("x"), py.alias("y"), F.pmod(rotation + F.degrees(angle), F.lit(360.0)).alias("rotation"))

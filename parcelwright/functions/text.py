@@ -124,3 +124,14 @@ def listed_text(issues: Column, most: int = 5) -> Column:
     more = F.size(known) - most
     shown = F.array_join(F.slice(known, 1, most), "; ")
     return F.when(more > 0, F.concat(shown, F.lit(" (+"), more.cast("string"), F.lit(")"))).otherwise(F.coalesce(shown, F.lit("")))
+
+
+def first_coordinate(c: Column) -> Column:
+    """struct(x, y): the first pair of numbers in the nested coordinates of a GeoJSON text; null if there is none."""
+    pair = r"\[\s*(-?[\d.]+(?:[eE][-+]?\d+)?)\s*,\s*(-?[\d.]+(?:[eE][-+]?\d+)?)"
+    return F.when(F.regexp_extract(c, pair, 1) != "", F.struct(F.regexp_extract(c, pair, 1).cast("double").alias("x"), F.regexp_extract(c, pair, 2).cast("double").alias("y")))
+
+
+def check_line(name: Column, state: Column, detail: Column, width: int = 24) -> Column:
+    """A line of a check report: the name padded to ``width``, the state in capitals, and the detail if there is one."""
+    return F.concat(F.rpad(F.coalesce(name, F.lit("")), width, " "), F.upper(F.coalesce(state, F.lit("?"))), F.coalesce(F.concat(F.lit(": "), F.trim(detail)), F.lit("")))

@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelwright.plans import land, matched, measures, relational, shaped
+from parcelwright.plans import land, matched, measures, placed, relational, shaped
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**land.QUERIES, **relational.QUERIES, **shaped.QUERIES, **matched.QUERIES, **measures.QUERIES}
+    return {**land.QUERIES, **relational.QUERIES, **shaped.QUERIES, **matched.QUERIES, **measures.QUERIES, **placed.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**land.ORACLE, **relational.ORACLE, **shaped.ORACLE, **matched.ORACLE, **measures.ORACLE}
+    return {**land.ORACLE, **relational.ORACLE, **shaped.ORACLE, **matched.ORACLE, **measures.ORACLE, **placed.ORACLE}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -27,6 +27,49 @@ def corner_rows(df: DataFrame, keys: list[str], ring: str = "ring") -> DataFrame
     return at.select(*keys, "corner", shown(F.col("p.x")).alias("x"), shown(F.col("p.y")).alias("y"))
 
 
+def located_corners(df: DataFrame, keys: list[str], zone: Column, ring: str = "ring") -> DataFrame:
+    """corner_rows() of rings in a northern UTM zone, with lon and lat of each corner at seven decimals."""
+    from parcelwright.functions.plane import from_utm
+
+    at = df.select(*keys, zone.alias("_zone"), F.posexplode(ring).alias("corner", "p"))
+    place = from_utm(F.col("p.x"), F.col("p.y"), F.col("_zone"))
+    shown = lambda form, c: F.format_string(form, c)
+    return at.select(*keys, "corner", shown("%.3f", F.col("p.x")).alias("x"), shown("%.3f", F.col("p.y")).alias("y"), shown("%.7f", place["lon"]).alias("lon"), shown("%.7f", place["lat"]).alias("lat"))
+
+
+def worklist(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """The rows with priority: their place, from 1, in the order of work of their group."""
+    from pyspark.sql import Window
+
+    return df.withColumn("priority", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+
+
+def staged(df: DataFrame, group: str, order: list[Column], columns: int, step: float) -> DataFrame:
+    """The rows with dx, dy: places in a grid of ``columns`` a row, ``step`` apart, where the group's unplaced plots are shown."""
+    placed = worklist(df, group, order)
+    at = F.col("priority") - 1
+    return placed.withColumns({"dx": (at % columns) * step, "dy": -F.floor(at / columns) * step}).drop("priority")
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One object for each line."""
+    df.write.mode("overwrite").json(path)
+
+
+def append_manifest(df: DataFrame, path: str) -> None:
+    """Adds outcomes to a manifest, which is a table of Parquet files that only grows."""
+    df.write.mode("append").parquet(path)
+
+
+def drawing_edges(df: DataFrame) -> DataFrame:
+    """line: as drawing_lines(), a LINE entity for each edge of a ring (layer, ring)."""
+    from parcelwright.functions.plane import closed_pairs
+
+    pair = lambda code, c: F.concat(F.lit(f"\n{code}\n"), F.format_string("%.6f", c))
+    edge = df.where(F.size("ring") >= 2).select("layer", F.explode(closed_pairs(F.col("ring"))).alias("e"))
+    return edge.select(F.concat(F.lit("0\nLINE\n8\n"), F.coalesce("layer", F.lit("0")), pair(10, F.col("e.x1")), pair(20, F.col("e.y1")), pair(11, F.col("e.x2")), pair(21, F.col("e.y2"))).alias("line"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
@@ -46,9 +89,10 @@ def drawing_lines(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array_compact(F.array(outline, label))).alias("line"))
 
 
-def write_dxf(df: DataFrame, path: str) -> None:
-    """One drawing of all rows; a drawing is one file, so its rows go through one task as a stream."""
+def write_dxf(df: DataFrame, path: str, edges: bool = False) -> None:
+    """One drawing of all rows, outlines as closed polylines or, with ``edges``, as a line for each edge; a drawing is one file, so its rows go through one task as a stream."""
     spark = df.sparkSession
     begin, end = spark.createDataFrame([(0, "0\nSECTION\n2\nENTITIES")], "part int, line string"), spark.createDataFrame([(2, "0\nENDSEC\n0\nEOF")], "part int, line string")
-    body = drawing_lines(df).select(F.lit(1).alias("part"), "line")
+    lines = drawing_lines(df.withColumn("ring", F.lit(None).cast(df.schema["ring"].dataType))).unionByName(drawing_edges(df)) if edges else drawing_lines(df)
+    body = lines.select(F.lit(1).alias("part"), "line")
     begin.unionByName(body).unionByName(end).repartition(1).sortWithinPartitions("part").select("line").write.mode("overwrite").text(path)
