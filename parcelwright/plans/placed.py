@@ -28,19 +28,19 @@ def query(sql: str | None = None):
 , l AS (SELECT plot, 'N' || eid % 3 AS name, x1 * 0.8 + x2 * 0.2 + 0.5 AS x, y1 * 0.8 + y2 * 0.2 - 0.25 AS y FROM e),
 m AS (SELECT e.*, l.name, l.x, l.y, (x2 - x1) ** 2 + (y2 - y1) ** 2 AS q FROM e JOIN l USING (plot)), t AS (SELECT *, CASE WHEN q = 0 THEN 0 ELSE least(1, greatest(0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / q)) END AS t FROM m),
 g AS (SELECT plot, name, eid, round(sqrt((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2), 6) AS gap FROM t)
-SELECT plot AS parcel_id, name, round(min(gap), 4) AS gap FROM g GROUP BY plot, name""")
+SELECT plot AS parcel_id, name, min(gap) AS gap FROM g GROUP BY plot, name""")
 def neighbour_edges(spark: SparkSession, folder: str) -> DataFrame:
     """The edge of each parcel nearest to the labels that name a neighbour."""
     e = _edges(spark, folder)
     labels = e.select("plot", F.concat(F.lit("N"), (F.col("eid") % 3).cast("string")).alias("name"), (F.col("x1") * 0.8 + F.col("x2") * 0.2 + 0.5).alias("x"), (F.col("y1") * 0.8 + F.col("y2") * 0.2 - 0.25).alias("y"))
-    return placing.named_edges(e, labels).select(F.col("plot").alias("parcel_id"), "name", F.round("gap", 4).alias("gap"))
+    return placing.named_edges(e, labels).select(F.col("plot").alias("parcel_id"), "name", "gap")
 
 
 _SHAPE = ((0.0, 0.0), (31.0, 0.0), (37.0, 22.0), (11.0, 29.0))  # a plot without symmetry
 
 
 @query("""
-SELECT c_custkey, round(cos(c_custkey % 300 / 50.0), 4) AS cosine, CAST(c_custkey % 40 * 1000 AS DOUBLE) AS tx, CAST(c_custkey // 40 * 1000 AS DOUBLE) AS ty, 1.0::DOUBLE AS coverage FROM customer""")
+SELECT c_custkey, round(cos(c_custkey % 300 / 50.0), 2) AS cosine, CAST(c_custkey % 40 * 1000 AS DOUBLE) AS tx, CAST(c_custkey // 40 * 1000 AS DOUBLE) AS ty, 1.0::DOUBLE AS coverage FROM customer""")
 def poses_on_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Plots of customers laid on traced lines, which are the same plots under planted poses."""
     c = F.col("c_custkey")
@@ -51,7 +51,7 @@ def poses_on_lines(spark: SparkSession, folder: str) -> DataFrame:
     vertices = base.select(F.col("plot").alias("line"), F.posexplode(traced).alias("at", "p")).select("line", "at", "p.x", "p.y")
     segments = placing.traced_segments(vertices, 4.0).withColumnRenamed("line", "window")
     found = placing.poses_on_lines(edges.withColumn("window", F.col("plot")), segments, 0.5, 0.5, ["window"])
-    return found.select(F.col("plot").alias("c_custkey"), (F.round(F.cos("angle"), 4) + 0.0).alias("cosine"), (F.round("tx", 1) + 0.0).alias("tx"), (F.round("ty", 1) + 0.0).alias("ty"), F.round("coverage", 3).alias("coverage"))
+    return found.select(F.col("plot").alias("c_custkey"), (F.round(F.cos("angle"), 2) + 0.0).alias("cosine"), (F.round("tx", 1) + 0.0).alias("tx"), (F.round("ty", 1) + 0.0).alias("ty"), F.round("coverage", 3).alias("coverage"))
 
 
 @query("SELECT c_custkey, CAST(c_custkey % 4 AS INTEGER) AS shift, c_custkey % 2 = 1 AS flipped, 0.0::DOUBLE AS coherence FROM customer")
@@ -71,8 +71,8 @@ def corner_orders(spark: SparkSession, folder: str) -> DataFrame:
 @query(_EDGES_SQL + """
 , l AS (SELECT plot, list(round_even(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) / 0.5, 0) * 0.5 ORDER BY eid) AS b FROM e GROUP BY plot), w AS (SELECT plot, b, CAST(plot % len(b) AS BIGINT) AS k FROM l),
 t AS (SELECT plot, b, list_sort(list_filter(b, lambda v, i: i - 1 <> k)) AS target FROM w), o AS (SELECT plot, s - 1 AS skip, list_sort(list_filter(b, lambda v, i: i <> s)) AS rest, target FROM (SELECT *, unnest(range(1, len(b) + 1)) AS s FROM t)),
-r AS (SELECT plot, skip, round(sqrt(list_sum(list_transform(list_zip(rest, target), lambda z: (z[1] - z[2]) ** 2)) / len(rest)), 9) AS rms FROM o)
-SELECT plot AS parcel_id, CAST(m.s AS INTEGER) AS skip, m.r AS rms FROM (SELECT plot, min({'r': rms, 's': skip}) AS m FROM r GROUP BY plot)""")
+z AS (SELECT plot, skip, round(sqrt(list_sum(list_transform(list_zip(rest, target), lambda z: (z[1] - z[2]) ** 2)) / len(rest)), 9) AS rms FROM o)
+SELECT plot AS parcel_id, CAST(m.s AS INTEGER) AS skip, m.r AS rms FROM (SELECT plot, min({'r': rms, 's': skip}) AS m FROM z GROUP BY plot)""")
 def skipped_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Which edge of a ring to leave out so that it fits the fingerprint of the ring without one edge."""
     lengths = F.transform(plane.closed_pairs(F.col("polygon")), lambda e: F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"]))
@@ -82,13 +82,13 @@ def skipped_edges(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("parcel_id", plane.best_skip(F.col("lengths"), target).alias("b")).select("parcel_id", "b.skip", "b.rms")
 
 
-@query("SELECT c_custkey, CAST(at AS INTEGER) AS corner, CAST(c_custkey % 30 * 40 + CASE WHEN at IN (1, 2) THEN 40 ELSE 0 END AS DOUBLE) AS x, CAST(c_custkey // 30 * 40 + CASE WHEN at >= 2 THEN 40 ELSE 0 END AS DOUBLE) AS y FROM customer, (VALUES (0), (1), (2), (3)) v(at)")
+@query("SELECT c_custkey, CAST(pos AS INTEGER) AS corner, CAST(c_custkey % 30 * 40 + CASE WHEN pos IN (1, 2) THEN 40 ELSE 0 END AS DOUBLE) AS x, CAST(c_custkey // 30 * 40 + CASE WHEN pos >= 2 THEN 40 ELSE 0 END AS DOUBLE) AS y FROM customer, (VALUES (0), (1), (2), (3)) v(pos)")
 def spread_poses(spark: SparkSession, folder: str) -> DataFrame:
-    """Square plots in a grid, guessed a little wrongly, seated one from another until all are; every 60th is a seed."""
+    """Square plots in a grid, guessed a little wrongly, seated one from another until all are; every seventh is a seed."""
     c = F.col("c_custkey")
     side = 40.0
     square = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (side, 0.0), (side, side), (0.0, side))])
-    seed = F.col("plot") % 60 == 0
+    seed = F.col("plot") % 7 == 0
     off = lambda k: F.when(seed, 0.0).otherwise((F.col("plot") % k - k // 2) / 20.0)
     made = table(spark, folder, "customer").select(c.alias("plot"), F.posexplode(square).alias("at", "p"))
     corners = made.select("plot", "at", "p.x", "p.y", (F.col("plot") % 30 * side + F.col("p.x") + off(7)).alias("gx"), (F.floor(F.col("plot") / 30) * side + F.col("p.y") + off(5)).alias("gy"))
@@ -225,4 +225,4 @@ def edge_drawings(spark: SparkSession, folder: str) -> DataFrame:
     none = F.lit(None).cast("double")
     p = _rings(spark, folder).select(F.concat(F.lit("P"), F.col("parcel_id").cast("string")).alias("layer"), F.col("polygon").alias("ring"), F.lit(None).cast("string").alias("text"), none.alias("x"), none.alias("y"))
     found = _through(spark, lambda out: sinks.write_dxf(p, out, edges=True), lambda out: files.read_dxf(spark, out, suffix=".txt"))
-    return found.where("entity = 'LINE'").groupBy("layer").agg(F.count_if("at = 0").alias("edges"), F.round(F.sum("x"), 3).alias("sum_x"))
+    return found.where("entity = 'LINE'").groupBy("layer").agg(F.count_if(F.col("at") == 0).alias("edges"), F.round(F.sum("x"), 3).alias("sum_x"))
