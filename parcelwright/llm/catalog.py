@@ -50,7 +50,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """The field sketches and all parcel records of the same plot."""
     from parcelwright.llm import linking
 
-    return linking.link(_table(spark, folder, "fmb_errors"), *_parcels(spark, folder)).select("fmb_id", "parcel_id")
+    return linking.matches(_table(spark, folder, "fmb_errors"), *_parcels(spark, folder))
 
 
 def p4_links(spark: SparkSession, folder: str) -> DataFrame:

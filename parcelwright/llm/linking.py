@@ -236,6 +236,28 @@ def precision(cascade: list[Pass], labelled: DataFrame, plots: DataFrame, unheld
     return out
 
 
+def _resolve(sketches: DataFrame, parcels: DataFrame, villages: DataFrame, sources: DataFrame, cascade: list[Pass]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(the match of each resolved sketch: fmb_id, object, rule, sure; the records of each object; the sketches; the plots)."""
+    columns = ["survey", "header_village", "m1_file", "n_corners", "stated_area_ha", "perimeter_m", "placed_x", "placed_y"]
+    late = F.col("run_at") if "run_at" in sketches.columns else F.lit(None).cast("timestamp")
+    single = sketches.where("fmb_id IS NOT NULL").select("fmb_id", F.struct(*columns).alias("s"), F.struct(late.alias("at"), F.xxhash64(*columns).alias("h")).alias("o")).groupBy("fmb_id").agg(F.max_by("s", "o").alias("s")).select("fmb_id", "s.*")
+    waiting = materialise(prepare_sketches(single, villages)).withColumn("probe", F.lit(0))
+    plots, members = prepare_plots(parcels, villages, sources)
+    resolved = None
+    for step in cascade:
+        left = waiting if resolved is None else waiting.join(resolved, "fmb_id", "left_anti")
+        names = F.array(*[F.lit(r.name) for r in step.rules])
+        done = materialise(_met(step, left, plots, _first_rule(step)).select("fmb_id", "object", F.get(names, F.col("rule")).alias("rule"), "sure"))
+        resolved = done if resolved is None else resolved.unionByName(done)
+    return resolved, members, waiting, plots
+
+
+def matches(sketches: DataFrame, parcels: DataFrame, villages: DataFrame, sources: DataFrame) -> DataFrame:
+    """fmb_id, parcel_id of link(), without trying the rules for their confidence."""
+    resolved, members, _, _ = _resolve(sketches, parcels, villages, sources, passes())
+    return resolved.join(members, "object").select("fmb_id", "parcel_id")
+
+
 def link(sketches: DataFrame, parcels: DataFrame, villages: DataFrame, sources: DataFrame, cascade: list[Pass] | None = None) -> DataFrame:
     """The parcel records of the plot that each sketch shows: fmb_id, parcel_id, rule, confidence.
 
@@ -249,17 +271,7 @@ def link(sketches: DataFrame, parcels: DataFrame, villages: DataFrame, sources:
     sketches it is 1/2. Other columns are ignored; empty tables give no rows.
     """
     cascade = cascade or passes()
-    columns = ["survey", "header_village", "m1_file", "n_corners", "stated_area_ha", "perimeter_m", "placed_x", "placed_y"]
-    late = F.col("run_at") if "run_at" in sketches.columns else F.lit(None).cast("timestamp")
-    single = sketches.where("fmb_id IS NOT NULL").select("fmb_id", F.struct(*columns).alias("s"), F.struct(late.alias("at"), F.xxhash64(*columns).alias("h")).alias("o")).groupBy("fmb_id").agg(F.max_by("s", "o").alias("s")).select("fmb_id", "s.*")
-    waiting = materialise(prepare_sketches(single, villages)).withColumn("probe", F.lit(0))
-    plots, members = prepare_plots(parcels, villages, sources)
-    resolved = None
-    for step in cascade:
-        left = waiting if resolved is None else waiting.join(resolved, "fmb_id", "left_anti")
-        names = F.array(*[F.lit(r.name) for r in step.rules])
-        done = materialise(_met(step, left, plots, _first_rule(step)).select("fmb_id", "object", F.get(names, F.col("rule")).alias("rule"), "sure"))
-        resolved = done if resolved is None else resolved.unionByName(done)
+    resolved, members, waiting, plots = _resolve(sketches, parcels, villages, sources, cascade)
     sketched, found = waiting.count(), resolved.count()
     labelled = materialise(waiting.drop("probe").join(resolved.where("sure").select("fmb_id", F.col("object").alias("label")), "fmb_id").orderBy(F.xxhash64("fmb_id"), "fmb_id").limit(LABELLED))
     trust = precision(cascade, labelled, plots, 1 - found / sketched if sketched else 0.0)
