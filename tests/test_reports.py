@@ -1,6 +1,6 @@
 import json
 
-from parcelwright.operators.nested import json_parts, read_document
+from parcelwright.operators.nested import instances, json_parts, paths
 from parcelwright.plans import land
 
 REQUESTS = "array<struct<survey_number string, disposition string, reason string, input_type string, instruction string, resolves_via string, known_utm array<double>>>"
@@ -8,16 +8,15 @@ PROPOSALS = "array<struct<survey_number string, hypothesis string, action string
 
 
 def test_documents_of_any_depth_and_wrapping():
-    deep = 30_000
-    document = read_document("[" * deep + '{"a": [1.50, -2e3, true, null, "x\\u00e9"], "b": {}, "c": []}' + "]" * deep + " rest")
-    for _ in range(deep):
-        (document,) = document
-    assert document == {"a": ["1.50", "-2e3", True, None, "xé"], "b": {}, "c": []}
-    assert read_document("[" * deep + "1" + "]" * (deep - 1)) is read_document("[" * deep + '{"a" 1}' + "]" * deep) is None
-    wrapped = '{"a": 1}'
+    read = lambda body: [r[5] for r in instances(body, paths(land.REPORTS))]
+    deep, inner = 30_000, '{"checks": [{"a": [1.50, -2e3, true, null, "x\\u00e9"], "b": {}, "c": []}]}'
+    want = [{"a.0": "1.50", "a.1": "-2e3", "a.2": "true", "a.3": None, "a.4": "xé"}]
+    assert read("[" * deep + inner + "]" * deep + " rest") == read(inner) == want
+    assert read("[" * deep + inner + "]" * (deep - 1)) == read("[" * deep + '{"checks" [{"a": 1}]}' + "]" * deep) == []
+    wrapped = inner
     for _ in range(9):
         wrapped = json.dumps(wrapped)
-    assert read_document(wrapped) == {"a": "1"}
+    assert read(wrapped) == want
 
 
 def test_flat_tables_hold_every_field(spark, tmp_path):
