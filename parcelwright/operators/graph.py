@@ -36,37 +36,42 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 FINER = 8  # parts of a side from one level of linked_cells() to the next
+FEW_PAIRS = 1_024  # places of two cells are compared with one another up to so many pairs; fuller cells by finer boxes, with the same result
 
 
 def linked_cells(celled: DataFrame, pairs: DataFrame, gap: float, side: float) -> DataFrame:
     """a, b of those ``pairs`` of cells (u, v, pu, pv, a, b) that hold two points (u, v, x, y) at most ``gap`` apart.
 
     Cells are judged by the boxes around their points: boxes that lie within the gap altogether are linked, boxes farther
-    apart are not. Where that doesn't tell, the boxes of smaller cells are compared in the same way, and so on; a cell
-    with one place is its own box, so it ends. Points are never paired, however many a cell holds.
+    apart are not. Where that doesn't tell, two cells of few places compare these; of fuller ones the boxes of smaller
+    cells are compared in the same way, and so on; a cell with one place is its own box, so it ends. The work for a pair
+    of cells is bounded, however many points they hold.
     """
-    box = [F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")]
+    box = [F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")]
     done, open_pairs, level = None, pairs.withColumns({c: F.lit(0) for c in ("fu", "fv", "gu", "gv")}), 0
     while True:
         fine = side / FINER**level
         within_cell = [(F.floor(F.col(c) / fine) if level else F.lit(0)).alias(f) for c, f in (("x", "fu"), ("y", "fv"))]
         boxes = celled.select("u", "v", "x", "y", *within_cell).groupBy("u", "v", "fu", "fv").agg(*box)
-        left = boxes.select("u", "v", "fu", "fv", *[F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")])
-        right = boxes.select(F.col("u").alias("pu"), F.col("v").alias("pv"), F.col("fu").alias("gu"), F.col("fv").alias("gv"), *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")])
+        left = boxes.select("u", "v", "fu", "fv", *[F.col(c).alias(f"a{c}") for c in ("n", "x0", "y0", "x1", "y1")])
+        right = boxes.select(F.col("u").alias("pu"), F.col("v").alias("pv"), F.col("fu").alias("gu"), F.col("fv").alias("gv"), *[F.col(c).alias(f"b{c}") for c in ("n", "x0", "y0", "x1", "y1")])
         met = open_pairs.join(left, ["u", "v", "fu", "fv"]).join(right, ["pu", "pv", "gu", "gv"])
         apart = lambda c: F.greatest(F.lit(0.0), F.col(f"b{c}0") - F.col(f"a{c}1"), F.col(f"a{c}0") - F.col(f"b{c}1"))
         across = lambda c: F.greatest(F.col(f"b{c}1") - F.col(f"a{c}0"), F.col(f"a{c}1") - F.col(f"b{c}0"))
-        judged = met.withColumns({"sure": F.hypot(across("x"), across("y")) <= gap, "may": F.hypot(apart("x"), apart("y")) <= gap}).where("may")
-        judged = materialise(judged.select("u", "v", "pu", "pv", "a", "b", "fu", "fv", "gu", "gv", "sure"))
-        linked = judged.where("sure").select("a", "b").distinct()
+        judged = met.withColumns({"sure": F.hypot(across("x"), across("y")) <= gap, "few": F.col("an") * F.col("bn") <= FEW_PAIRS, "may": F.hypot(apart("x"), apart("y")) <= gap}).where("may")
+        judged = materialise(judged.select("u", "v", "pu", "pv", "a", "b", "fu", "fv", "gu", "gv", "sure", "few"))
+        place = celled.select("u", "v", *within_cell, F.col("x").alias("ax"), F.col("y").alias("ay"))
+        other_place = place.select(F.col("u").alias("pu"), F.col("v").alias("pv"), F.col("fu").alias("gu"), F.col("fv").alias("gv"), F.col("ax").alias("bx"), F.col("ay").alias("by"))
+        compared = judged.where("NOT sure AND few").join(place, ["u", "v", "fu", "fv"]).join(other_place, ["pu", "pv", "gu", "gv"]).where(F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) <= gap)
+        linked = judged.where("sure").select("a", "b").unionByName(compared.select("a", "b")).distinct()
         done = linked if done is None else done.unionByName(linked)
-        waiting = judged.where("NOT sure").join(linked, ["a", "b"], "left_anti")
-        if not waiting.limit(1).count():
+        waiting = judged.where("NOT sure AND NOT few").join(linked, ["a", "b"], "left_anti")
+        if not judged.where("NOT sure AND NOT few").limit(1).count() or not waiting.limit(1).count():
             return done
         level += 1
         finer = celled.select("u", "v", (F.floor(F.col("x") / (side / FINER ** (level - 1))) if level > 1 else F.lit(0)).alias("fu"), (F.floor(F.col("y") / (side / FINER ** (level - 1))) if level > 1 else F.lit(0)).alias("fv"), F.floor(F.col("x") / (side / FINER**level)).alias("su"), F.floor(F.col("y") / (side / FINER**level)).alias("sv")).distinct()
         other = finer.select(F.col("u").alias("pu"), F.col("v").alias("pv"), F.col("fu").alias("gu"), F.col("fv").alias("gv"), F.col("su").alias("tu"), F.col("sv").alias("tv"))
-        open_pairs = waiting.drop("sure").join(finer, ["u", "v", "fu", "fv"]).join(other, ["pu", "pv", "gu", "gv"]).select("u", "v", "pu", "pv", "a", "b", F.col("su").alias("fu"), F.col("sv").alias("fv"), F.col("tu").alias("gu"), F.col("tv").alias("gv"))
+        open_pairs = waiting.drop("sure", "few").join(finer, ["u", "v", "fu", "fv"]).join(other, ["pu", "pv", "gu", "gv"]).select("u", "v", "pu", "pv", "a", "b", F.col("su").alias("fu"), F.col("sv").alias("fv"), F.col("tu").alias("gu"), F.col("tv").alias("gv"))
 
 
 def distance_clusters(points: DataFrame, gap: float) -> DataFrame:
