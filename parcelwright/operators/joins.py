@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 STEPS = (-1, 0, 1)
 
 
-def cell(c: Column, side: float) -> Column:
+def cell(c: Column, side: float | Column) -> Column:
     return F.floor(c / side)
 
 
@@ -19,6 +19,22 @@ def around(df: DataFrame, *cells: str) -> DataFrame:
     return df
 
 
+def merged(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join by sorting. Spark's estimates leave out the rows that an explode makes, so it would broadcast what doesn't fit the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def along_cells(df: DataFrame, x1: str, y1: str, x2: str, y2: str, pad: float, side: float | Column) -> DataFrame:
+    """Each segment once for every cell (_u, _v) of ``side`` that holds a place within ``pad`` of it (and few others): column by column only the rows that it crosses."""
+    low, high = F.least(x1, x2), F.greatest(x1, x2)
+    step, run = F.col(x2) - F.col(x1), F.col(y2) - F.col(y1)
+    columns = df.withColumn("_u", F.explode(F.sequence(cell(low - pad, side), cell(high + pad, side))))
+    at = lambda x: F.when(step == 0, 0.0).otherwise((F.least(high, F.greatest(low, x)) - F.col(x1)) / step)
+    p = F.col(y1) + run * at(F.col("_u") * side - pad)
+    q = F.col(y1) + run * F.when(step == 0, 1.0).otherwise(at((F.col("_u") + 1) * side + pad))
+    return columns.withColumn("_v", F.explode(F.sequence(cell(F.least(p, q) - pad, side), cell(F.greatest(p, q) + pad, side))))
+
+
 def within(left: DataFrame, right: DataFrame, distance: float, on: list[str] | None = None) -> DataFrame:
     """Pairs of ``left`` (lid, lx, ly) and ``right`` (rid, rx, ry) at most ``distance`` apart, with their gap.
 
@@ -26,7 +42,7 @@ def within(left: DataFrame, right: DataFrame, distance: float, on: list[str] | N
     """
     a = left.where("lx IS NOT NULL AND ly IS NOT NULL").withColumns({"_u": cell(F.col("lx"), distance), "_v": cell(F.col("ly"), distance)})
     b = around(right.where("rx IS NOT NULL AND ry IS NOT NULL").withColumns({"_u": cell(F.col("rx"), distance), "_v": cell(F.col("ry"), distance)}), "_u", "_v")
-    return a.join(b, ["_u", "_v", *(on or [])]).drop("_u", "_v").withColumn("gap", F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry"))).where(F.col("gap") <= distance)
+    return merged(a, b, ["_u", "_v", *(on or [])]).drop("_u", "_v").withColumn("gap", F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry"))).where(F.col("gap") <= distance)
 
 
 def nearest(left: DataFrame, right: DataFrame, distance: float, k: int = 1, on: list[str] | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwright.functions.plane import finite
+from parcelwright.operators.joins import along_cells, merged
 
 HULL_BUFFER = 100_000  # hull points that a task holds before it hands them on; see hulls()
 
@@ -172,14 +173,19 @@ def covered_lengths(segments: DataFrame, lines: DataFrame, reach: float) -> Data
 
     The part of a segment near one line is one interval, since the places within ``reach`` of a line are convex: it is
     solved for the strip along the line and the discs about its ends. The union of the intervals of all lines is what is
-    covered. Segments and lines meet in cells, so only near ones are compared.
+    covered. A line goes to the cells, of about its own size, that it touches, a segment to the cells of each such size
+    near it, so only near ones are compared; a pair that meets in several cells changes no union.
     """
-    span = F.greatest(F.lit(1.0), F.lit(4 * reach))
-    cells = lambda df, x1, y1, x2, y2, pad: df.withColumn("_u", F.explode(F.sequence(F.floor((F.least(x1, x2) - pad) / span), F.floor((F.greatest(x1, x2) + pad) / span)))).withColumn("_v", F.explode(F.sequence(F.floor((F.least(y1, y2) - pad) / span), F.floor((F.greatest(y1, y2) + pad) / span))))
-    a = cells(segments, "x1", "y1", "x2", "y2", reach)
-    b = cells(lines, "lx1", "ly1", "lx2", "ly2", 0.0)
-    met = a.join(b, ["_u", "_v"]).drop("_u", "_v").distinct()
     c = F.col
+    base = max(1.0, 4 * reach)
+    size = F.greatest(F.abs(c("lx2") - c("lx1")), F.abs(c("ly2") - c("ly1")))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(size / base) / 2).cast("int"))
+    side = base * F.pow(F.lit(4.0), c("_level"))
+    sized = lines.select("lx1", "ly1", "lx2", "ly2", F.when(size > 0, level).when(size == 0, 0).alias("_level")).where("_level IS NOT NULL")
+    levels = [r[0] for r in sized.select("_level").distinct().collect()]
+    b = along_cells(sized, "lx1", "ly1", "lx2", "ly2", 0.0, side)
+    a = along_cells(segments.select("sid", "x1", "y1", "x2", "y2", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")).alias("_level")), "x1", "y1", "x2", "y2", reach, side)
+    met = merged(a, b, ["_level", "_u", "_v"])
     met = met.select("sid", (c("x2") - c("x1")).alias("dx"), (c("y2") - c("y1")).alias("dy"), (c("lx2") - c("lx1")).alias("ex"), (c("ly2") - c("ly1")).alias("ey"), (c("x1") - c("lx1")).alias("px"), (c("y1") - c("ly1")).alias("py"), (c("x1") - c("lx2")).alias("qx"), (c("y1") - c("ly2")).alias("qy"))
 
     def between(at: Column, slope: Column, low: Column, high: Column) -> tuple[Column, Column]:
@@ -197,10 +203,11 @@ def covered_lengths(segments: DataFrame, lines: DataFrame, reach: float) -> Data
     both = (long > 0) & off[0].isNotNull() & along[0].isNotNull() & (F.greatest(off[0], along[0]) <= F.least(off[1], along[1]))
     strip = F.when(both, F.greatest(off[0], along[0])), F.when(both, F.least(off[1], along[1]))
     parts = [strip, disc("px", "py"), disc("qx", "qy")]
-    # each part is a row of its own; where they meet, the union below joins them
-    each = met.select("sid", F.explode(F.array(*[F.struct(low.alias("low"), high.alias("high")) for low, high in parts])).alias("p")).where("p.low IS NOT NULL")
-    near = each.select("sid", F.greatest(F.lit(0.0), F.col("p.low")).alias("low"), F.least(F.lit(1.0), F.col("p.high")).alias("high")).where("low < high")
-    before = Window.partitionBy("sid").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
-    union = near.withColumn("from", F.greatest("low", F.coalesce(F.max("high").over(before), F.lit(0.0)))).groupBy("sid").agg(F.sum(F.greatest(F.lit(0.0), c("high") - c("from"))).alias("share"))
+    # the three parts make one interval
+    each = met.select("sid", F.least(*[low for low, _ in parts]).alias("low"), F.greatest(*[high for _, high in parts]).alias("high")).where("low IS NOT NULL")
+    near = each.select("sid", F.greatest(F.lit(0.0), F.col("low")).alias("low"), F.least(F.lit(1.0), F.col("high")).alias("high")).where("low < high")
     length = F.hypot(c("x2") - c("x1"), c("y2") - c("y1"))
-    return segments.join(union, "sid", "left").select("sid", length.alias("length"), (length * F.coalesce("share", F.lit(0.0))).alias("covered"))
+    whole = near.withColumn("length", F.lit(None).cast("double")).unionByName(segments.select("sid", F.lit(0.0).alias("low"), F.lit(0.0).alias("high"), length.alias("length")))
+    before = Window.partitionBy("sid").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
+    union = whole.withColumn("from", F.greatest("low", F.coalesce(F.max("high").over(before), F.lit(0.0)))).groupBy("sid").agg(F.max("length").alias("length"), F.sum(F.greatest(F.lit(0.0), c("high") - c("from"))).alias("share"))
+    return union.select("sid", "length", (c("length") * c("share")).alias("covered"))
