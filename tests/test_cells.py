@@ -43,3 +43,15 @@ def test_lines_of_all_sizes_cover(spark):
     lines = [(-5000.0, 1.0, 400.0, 1.0), (500.0, 0.5, 500.2, 0.5), (600.0, -1.0, 640.0, -1.0), (3.0, -9000.0, 3.0, 9000.0)]
     got = {r.sid: r.covered for r in shapes.covered_lengths(segments, spark.createDataFrame(lines, "lx1 double, ly1 double, lx2 double, ly2 double"), 2.0).collect()}
     assert abs(got[1] - (400 + 3 ** 0.5 + 0.2 + 2 * 3.75 ** 0.5 + 40 + 2 * 3 ** 0.5)) < 1e-6 and abs(got[2] - 0.5) < 1e-9
+
+
+def test_poses_on_lines_cover_without_broadcast_cells(spark):
+    from parcelwright.operators import placing
+
+    n = spark.range(20)
+    edges = n.select(F.col("id").alias("plot"), F.col("id").alias("window"), F.lit(0).alias("eid"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.lit(30.0).alias("x2"), F.lit(0.0).alias("y2"))
+    segments = n.select(F.col("id").alias("window"), (F.col("id") * 1000.0).alias("x1"), F.lit(0.0).alias("y1"), (F.col("id") * 1000.0).alias("x2"), F.lit(30.0).alias("y2"))
+    got = placing.poses_on_lines(edges, segments, 0.5, 0.5, ["window"])
+    cells = [line for line in plan(got).splitlines() if "_u" in line and "Join" in line]
+    assert cells and not [line for line in cells if "Broadcast" in line]
+    assert {(r.plot, round(r.tx), r.coverage) for r in got.collect()} == {(i, i * 1000, 1.0) for i in range(20)}
