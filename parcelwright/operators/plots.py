@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from parcelwright.functions.plane import angle_between, orientation, projected_overlap, similarity
 from parcelwright.operators.fits import principal_axis, transform_fit
 from parcelwright.operators.graph import greedy_keep
-from parcelwright.operators.joins import around, cell, nearest, within
+from parcelwright.operators.joins import along_cells, cell, merged, nearest, within
 
 
 def best_edge_pairs(edges: DataFrame, farthest: float, angle: float = 10.0, overlap: float = 0.5) -> DataFrame:
@@ -123,14 +123,14 @@ def split_edges(edges: DataFrame, nodes: DataFrame, off: float = 1.5, clear: flo
     """
     side = max(off, 1e-9) * 4
     e = edges.withColumn("l", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).where("l > 0")
-    spread = e.withColumn("_u", F.explode(F.sequence(cell(F.least("x1", "x2"), side), cell(F.greatest("x1", "x2"), side)))).withColumn("_v", F.explode(F.sequence(cell(F.least("y1", "y2"), side), cell(F.greatest("y1", "y2"), side))))
-    placed = around(nodes.where("x IS NOT NULL AND y IS NOT NULL").withColumns({"_u": cell(F.col("x"), side), "_v": cell(F.col("y"), side)}), "_u", "_v")
+    spread = along_cells(e, "x1", "y1", "x2", "y2", off, side)
+    placed = nodes.where("x IS NOT NULL AND y IS NOT NULL").select("x", "y", cell(F.col("x"), side).alias("_u"), cell(F.col("y"), side).alias("_v"))
     ux, uy = (F.col("x2") - F.col("x1")) / F.col("l"), (F.col("y2") - F.col("y1")) / F.col("l")
     s, d = (F.col("x") - F.col("x1")) * ux + (F.col("y") - F.col("y1")) * uy, F.abs((F.col("x") - F.col("x1")) * uy - (F.col("y") - F.col("y1")) * ux)
-    cuts = spread.join(placed, ["_u", "_v"]).withColumns({"s": s, "d": d}).where((F.col("d") <= off) & (F.col("s") >= clear) & (F.col("s") <= F.col("l") - clear)).select("eid", "s").distinct()
-    places = cuts.groupBy("eid").agg(F.array_sort(F.collect_list("s")).alias("all"))
+    cuts = merged(spread, placed, ["_u", "_v"]).withColumns({"s": s, "d": d}).where((F.col("d") <= off) & (F.col("s") >= clear) & (F.col("s") <= F.col("l") - clear)).select("eid", "s")
+    places = cuts.groupBy("eid").agg(F.array_sort(F.collect_set("s")).alias("all"))
     kept = F.aggregate("all", F.array().cast("array<double>"), lambda k, v: F.when((F.size(k) == 0) | (v - F.element_at(k, -1) > spacing), F.array_append(k, v)).otherwise(k))
-    at = e.join(places.select("eid", kept.alias("s")), "eid", "left").withColumn("s", F.concat(F.array(F.lit(0.0)), F.coalesce("s", F.array().cast("array<double>")), F.array("l")))
+    at = merged(e, places.select("eid", kept.alias("s")), ["eid"], "left").withColumn("s", F.concat(F.array(F.lit(0.0)), F.coalesce("s", F.array().cast("array<double>")), F.array("l")))
     piece = at.select("eid", "x1", "y1", ux.alias("ux"), uy.alias("uy"), F.posexplode(F.zip_with(F.slice("s", F.lit(1), F.size("s") - 1), F.slice("s", F.lit(2), F.size("s") - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))).alias("part", "r"))
     along = lambda c, u, r: F.col(c) + F.col(u) * F.col(f"r.{r}")
     return piece.select("eid", "part", along("x1", "ux", "p").alias("x1"), along("y1", "uy", "p").alias("y1"), along("x1", "ux", "q").alias("x2"), along("y1", "uy", "q").alias("y2"))

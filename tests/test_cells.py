@@ -55,3 +55,14 @@ def test_poses_on_lines_cover_without_broadcast_cells(spark):
     cells = [line for line in plan(got).splitlines() if "_u" in line and "Join" in line]
     assert cells and not [line for line in cells if "Broadcast" in line]
     assert {(r.plot, round(r.tx), r.coverage) for r in got.collect()} == {(i, i * 1000, 1.0) for i in range(20)}
+
+
+def test_split_edges_without_broadcast_cells(spark):
+    from parcelwright.operators import plots
+
+    n = spark.range(50)
+    edges = n.select(F.col("id").alias("eid"), F.lit(0.0).alias("x1"), (F.col("id") * 20.0).alias("y1"), F.lit(100.0).alias("x2"), (F.col("id") * 20.0).alias("y2"))
+    nodes = n.select(F.col("id").alias("nid"), (F.col("id") + 20.0).alias("x"), (F.col("id") * 20.0 + 1.4).alias("y"))
+    got = plots.split_edges(edges, nodes.union(nodes))
+    assert "Broadcast" not in plan(got)
+    assert {(r.eid, r.part, r.x1, r.x2) for r in got.collect()} == {p for i in range(50) for p in ((i, 0, 0.0, i + 20.0), (i, 1, i + 20.0, 100.0))}
