@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelwright.functions.plane import pair_similarity, ring_distance, segment_distance, similarity
 from parcelwright.operators.fits import transform_fit
-from parcelwright.operators.joins import band, boxes_meeting, nearest
+from parcelwright.operators.joins import band, boxes_meeting, merged, nearest
 from parcelwright.operators.shapes import covered_lengths
 from parcelwright.plans.checkpoints import materialise
 
@@ -80,18 +80,18 @@ def seats_spread(corners: DataFrame, seeds: DataFrame, reach: float, least: int
     each round a plot with at least ``least`` guessed corners within ``reach`` of seated ones (of earlier rounds) is fitted to
     them rigidly. It ends when a round seats none; each round is written to the shared folder.
     """
-    seated = materialise(corners.join(seeds.select("plot").distinct(), "plot", "left_semi").select("plot", "at", F.col("gx").alias("x"), F.col("gy").alias("y"), F.lit(0).alias("round")))
+    seated = materialise(merged(corners, seeds.select("plot").distinct(), ["plot"], "left_semi").select("plot", "at", F.col("gx").alias("x"), F.col("gy").alias("y"), F.lit(0).alias("round")))
     fresh, number = seated, 0
     while True:
         number += 1
-        waiting = corners.join(seated.select("plot").distinct(), "plot", "left_anti")
+        waiting = merged(corners, seated.select("plot").distinct(), ["plot"], "left_anti")
         near_fresh = nearest(waiting.select(F.struct("plot", "at").alias("lid"), F.col("gx").alias("lx"), F.col("gy").alias("ly")), fresh.select(F.struct("plot", "at").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry")), reach)
-        touched = waiting.join(near_fresh.select("lid.plot").distinct(), "plot", "left_semi")
+        touched = merged(waiting, near_fresh.select("lid.plot").distinct(), ["plot"], "left_semi")
         near = nearest(touched.select(F.struct("plot", "at").alias("lid"), F.col("gx").alias("lx"), F.col("gy").alias("ly")), seated.select(F.struct("plot", "at").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry")), reach)
-        goals = near.select("lid.plot", "lid.at", F.col("rid.plot").alias("by"), F.col("rid.at").alias("by_at")).join(seated.select(F.col("plot").alias("by"), F.col("at").alias("by_at"), F.col("x").alias("tx"), F.col("y").alias("ty")), ["by", "by_at"])
-        fit = transform_fit(touched.join(goals, ["plot", "at"]), "plot", scaled=False).where((F.col("n") >= least) & F.col("angle").isNotNull())
+        goals = merged(near.select("lid.plot", "lid.at", F.col("rid.plot").alias("by"), F.col("rid.at").alias("by_at")), seated.select(F.col("plot").alias("by"), F.col("at").alias("by_at"), F.col("x").alias("tx"), F.col("y").alias("ty")), ["by", "by_at"])
+        fit = transform_fit(merged(touched, goals, ["plot", "at"]), "plot", scaled=False).where((F.col("n") >= least) & F.col("angle").isNotNull())
         x, y = similarity(F.col("angle"), F.lit(1.0), F.col("shift_x"), F.col("shift_y"), F.col("x"), F.col("y"))
-        fresh = materialise(touched.join(fit, "plot").select("plot", "at", x.alias("x"), y.alias("y"), F.lit(number).alias("round")))
+        fresh = materialise(merged(touched, fit, ["plot"]).select("plot", "at", x.alias("x"), y.alias("y"), F.lit(number).alias("round")))
         if not fresh.limit(1).count():
             return seated
         seated = materialise(seated.unionByName(fresh))

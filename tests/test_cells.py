@@ -66,3 +66,16 @@ def test_split_edges_without_broadcast_cells(spark):
     got = plots.split_edges(edges, nodes.union(nodes))
     assert "Broadcast" not in plan(got)
     assert {(r.eid, r.part, r.x1, r.x2) for r in got.collect()} == {p for i in range(50) for p in ((i, 0, 0.0, i + 20.0), (i, 1, i + 20.0, 100.0))}
+
+
+def test_seats_spread_without_broadcast_rows(spark, monkeypatch):
+    from parcelwright.operators import placing
+
+    plans = []
+    monkeypatch.setattr(placing, "materialise", lambda df: plans.append(plan(df)) or df.checkpoint(eager=True))
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.lit(x).alias("x"), F.lit(y).alias("y")) for i, (x, y) in enumerate(((0.0, 0.0), (40.0, 0.0), (40.0, 40.0), (0.0, 40.0)))]))
+    corners = spark.range(6).select(F.col("id").alias("plot"), at.alias("c")).select("plot", "c.*").select("plot", "at", "x", "y", (F.col("plot") * 40.0 + F.col("x") + 0.1 * (F.col("plot") > 0).cast("int")).alias("gx"), F.col("y").alias("gy"))
+    got = placing.seats_spread(corners, spark.range(1).select(F.col("id").alias("plot")), 1.0, 2)
+    assert {(r.plot, r.at, round(r.gx, 6), r.round) for r in got.select("plot", "at", F.col("x").alias("gx"), "round").collect()} == {(p, i, p * 40.0 + (40.0 if i in (1, 2) else 0.0), p) for p in range(6) for i in range(4)}
+    wide = [line for p in plans for line in p.splitlines() if "Join" in line and any(k in line for k in ("_u", "by_at", "LeftSemi", "LeftAnti"))]
+    assert wide and not [line for line in wide if "Broadcast" in line]
