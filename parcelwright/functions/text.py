@@ -68,12 +68,16 @@ def boundary_code(c: Column) -> Column:
     return F.coalesce(F.exists(F.split(F.upper(c), r"[-\s]+"), lambda t: t.isin(*BOUNDARY_CODES)), F.lit(False))
 
 
-def known_survey(reading: Column, known: Column) -> Column:
-    """The longest member of the array ``known`` that a misread text may mean: O, I and l read as digits, separators dropped."""
+def survey_options(reading: Column) -> Column:
+    """The numbers that a misread text may mean: O, I and l read as digits, each run of digits and all runs together."""
     digits = F.translate(reading, "OoIl", "0011")
     runs = F.regexp_extract_all(digits, F.lit(r"(\d+)"), F.lit(1))
-    options = F.array_distinct(F.concat(runs, F.array(F.concat_ws("", runs))))
-    hits = F.array_intersect(options, known)
+    return F.array_distinct(F.concat(runs, F.array(F.concat_ws("", runs))))
+
+
+def known_survey(reading: Column, known: Column) -> Column:
+    """The longest member of the array ``known`` that a misread text may mean (see survey_options()); long lists of known numbers go through matching.known_readings()."""
+    hits = F.array_intersect(survey_options(reading), known)
     return F.get(F.array_sort(hits, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), F.lit(0))
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwright.functions.plane import angle_between, orientation, pair_similarity, segment_distance, similarity
+from parcelwright.functions.text import survey_options
 from parcelwright.operators.graph import distance_clusters, greedy_keep
-from parcelwright.operators.joins import around, band, cell, nearest, within
+from parcelwright.operators.joins import around, band, cell, merged, nearest, within
 
 
 def nearest_segments(points: DataFrame, segments: DataFrame, reach: float, shortest: float = 0.0, digits: int | None = None) -> DataFrame:
@@ -190,6 +191,17 @@ def traced_edges(drawing: DataFrame, stones: DataFrame, reach: float) -> DataFra
     return steps.join(place("a"), "a").join(place("b"), "b").select("a", "b", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")).alias("length"))
 
 
+def known_readings(readings: DataFrame, known: DataFrame) -> DataFrame:
+    """Each row of ``readings`` (reading, ...) with survey: the longest number of ``known`` (known) that it may mean, then the smallest; null if there is none.
+
+    As text.known_survey(), but what a reading may mean meets the known numbers by equality, so the list has no bound.
+    """
+    options = readings.select("reading").where("reading IS NOT NULL").distinct().withColumn("known", F.explode(survey_options(F.col("reading"))))
+    hits = merged(options, known.select("known").distinct(), ["known"])
+    found = hits.groupBy("reading").agg(F.min(F.struct((-F.length("known")).alias("size"), "known")).alias("b")).select("reading", F.col("b.known").alias("survey"))
+    return merged(readings, found, ["reading"], "left")
+
+
 def by_fingerprint(left: DataFrame, right: DataFrame, worst: float, apart: float) -> DataFrame:
     """lid, rid, rms: for each ring of ``left`` (lid, lengths) the ring of ``right`` (rid, lengths) whose sorted edge lengths fit best, up to an rms of ``worst``; ties go to the smaller rid.
 

@@ -92,10 +92,9 @@ WITH k AS (SELECT list(DISTINCT s) AS known FROM (SELECT CAST(s_suppkey * 11 AS
 SELECT c_custkey, CASE WHEN list_contains(known, CAST(c_custkey AS VARCHAR)) THEN CAST(c_custkey AS VARCHAR) END AS survey FROM customer, k""")
 def known_surveys(spark: SparkSession, folder: str) -> DataFrame:
     """Misread numbers (O for 0, I for 1) found among known ones, here the multiples of 11 that suppliers have."""
-    known = table(spark, folder, "supplier").agg(F.collect_set((F.col("s_suppkey") * 11).cast("string")).alias("known"))
+    known = table(spark, folder, "supplier").select((F.col("s_suppkey") * 11).cast("string").alias("known"))
     misread = F.translate(F.col("c_custkey").cast("string"), "01", "OI")
-    asked = table(spark, folder, "customer").select("c_custkey", misread.alias("reading"), F.lit(1).alias("one"))
-    return asked.join(known.withColumn("one", F.lit(1)), "one").select("c_custkey", text.known_survey(F.col("reading"), F.col("known")).alias("survey"))
+    return matching.known_readings(table(spark, folder, "customer").select("c_custkey", misread.alias("reading")), known).select("c_custkey", "survey")
 
 
 @query("""

@@ -79,3 +79,24 @@ def test_seats_spread_without_broadcast_rows(spark, monkeypatch):
     assert {(r.plot, r.at, round(r.gx, 6), r.round) for r in got.select("plot", "at", F.col("x").alias("gx"), "round").collect()} == {(p, i, p * 40.0 + (40.0 if i in (1, 2) else 0.0), p) for p in range(6) for i in range(4)}
     wide = [line for p in plans for line in p.splitlines() if "Join" in line and any(k in line for k in ("_u", "by_at", "LeftSemi", "LeftAnti"))]
     assert wide and not [line for line in wide if "Broadcast" in line]
+
+
+def test_known_readings_join_as_the_expression(spark):
+    from parcelwright.functions import text
+    from parcelwright.operators import matching
+
+    readings = spark.createDataFrame([(1, "IlO"), (2, "78-4"), (3, "x"), (4, None), (5, "12 7"), (6, "IlO"), (6, "7-l2")], "k int, reading string")
+    listed = ["110", "784", "7", "12", "9"]
+    got = matching.known_readings(readings, spark.createDataFrame([(v,) for v in [*listed, "12", None]], "known string")).select("k", "reading", "survey")
+    want = readings.select("k", "reading", text.known_survey(F.col("reading"), F.array(*[F.lit(v) for v in listed])).alias("survey"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and {r.k: r.survey for r in got.collect()}[5] == "12"
+
+
+def test_known_surveys_meet_by_equality(spark, tmp_path):
+    from parcelwright.plans.measures import known_surveys
+
+    spark.range(2000).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(100).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = known_surveys(spark, str(tmp_path))
+    assert "collect_set" not in plan(got)
+    assert {r.c_custkey: r.survey for r in got.collect()} == {k: str(k) if k % 11 == 0 and k < 1100 else None for k in range(2000)}
