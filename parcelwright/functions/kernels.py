@@ -76,45 +76,70 @@ def _cut(corners: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     return np.take_along_axis(made, order[:, :, None].repeat(2, 2), axis=1), count
 
 
-def overlap_areas(lefts: list[np.ndarray], rights: list[np.ndarray], batch: int = 200_000) -> np.ndarray:
-    """overlap_area() of many pairs of rings at once: all triangles of all pairs are clipped together, ``batch`` of them at a time."""
-    out = np.zeros(len(lefts))
-    fans = []
-    for rings in (lefts, rights):
-        made = []
-        for ring, origin in zip(rings, lefts):
-            r = ring - origin[0] if len(ring) >= 3 and len(origin) else np.zeros((0, 2))
-            tri = np.stack([np.repeat(r[:1], len(r) - 2, axis=0), r[1:-1], r[2:]], axis=1) if len(r) >= 3 else np.zeros((0, 3, 2))
-            twice = (tri[:, 1, 0] - tri[:, 0, 0]) * (tri[:, 2, 1] - tri[:, 0, 1]) - (tri[:, 1, 1] - tri[:, 0, 1]) * (tri[:, 2, 0] - tri[:, 0, 0])
-            tri, twice = tri[twice != 0], twice[twice != 0]
-            tri[twice < 0] = tri[twice < 0][:, ::-1]
-            made.append((tri, np.sign(twice)))
-        fans.append(made)
-    sizes = np.array([len(a[0]) * len(b[0]) for a, b in zip(*fans)], np.int64)
+def _fans(xy: np.ndarray, size: np.ndarray, origin: np.ndarray, sound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Triangles about the first corner of each ring (its corners in ``xy``, one ring after another), turned counter-clockwise, with their signs; and their number by ring."""
+    xy = xy - np.repeat(origin, size, axis=0)
+    first = np.cumsum(size) - size
+    count = np.where(sound, np.maximum(size - 2, 0), 0)
+    ring = np.repeat(np.arange(len(size)), count)
+    at = first[ring] + np.arange(len(ring)) - np.repeat(np.cumsum(count) - count, count)
+    tri = np.stack([xy[first[ring]], xy[at + 1], xy[at + 2]], axis=1)
+    twice = (tri[:, 1, 0] - tri[:, 0, 0]) * (tri[:, 2, 1] - tri[:, 0, 1]) - (tri[:, 1, 1] - tri[:, 0, 1]) * (tri[:, 2, 0] - tri[:, 0, 0])
+    tri, ring, twice = tri[twice != 0], ring[twice != 0], twice[twice != 0]
+    tri[twice < 0] = tri[twice < 0][:, ::-1]
+    return tri, np.sign(twice), np.bincount(ring, minlength=len(size))
+
+
+def overlap_areas_flat(left: np.ndarray, left_size: np.ndarray, right: np.ndarray, right_size: np.ndarray, batch: int = 200_000) -> np.ndarray:
+    """overlap_area() of many pairs of rings at once, given as all corners one after another and the number of each ring's: all triangles of all pairs are clipped together, ``batch`` of them at a time."""
+    n = len(left_size)
+    out = np.zeros(n)
+    origin = np.zeros((n, 2))
+    begun = left_size > 0
+    origin[begun] = left[(np.cumsum(left_size) - left_size)[begun]]
+    a, a_sign, a_count = _fans(left, left_size, origin, begun)
+    b, b_sign, b_count = _fans(right, right_size, origin, begun)
+    a_first, b_first, sizes = np.cumsum(a_count) - a_count, np.cumsum(b_count) - b_count, a_count * b_count
+    upto = np.cumsum(sizes)
     begin = 0
-    while begin < len(sizes):
-        end = begin + 1
-        while end < len(sizes) and sizes[begin : end + 1].sum() <= batch:
-            end += 1
-        pairs = [(i, *fans[0][i], *fans[1][i]) for i in range(begin, end) if sizes[i]]
-        if pairs:
-            which = np.repeat([p[0] for p in pairs], [len(p[1]) * len(p[3]) for p in pairs])
-            sign = np.concatenate([np.outer(p[2], p[4]).ravel() for p in pairs])
-            subject = np.concatenate([np.repeat(p[1], len(p[3]), axis=0) for p in pairs])
-            clip = np.concatenate([np.tile(p[3], (len(p[1]), 1, 1)) for p in pairs])
+    while begin < n:
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + batch, "right")))
+        part = np.arange(begin, end)
+        which = np.repeat(part, sizes[part])
+        if len(which):
+            at = np.arange(len(which)) - np.repeat(np.cumsum(sizes[part]) - sizes[part], sizes[part])
+            i, j = a_first[which] + at // b_count[which], b_first[which] + at % b_count[which]
+            sign, subject, clip = a_sign[i] * b_sign[j], a[i], b[j]
             meet = (subject.min(axis=1) <= clip.max(axis=1)).all(axis=1) & (clip.min(axis=1) <= subject.max(axis=1)).all(axis=1)
             which, sign, subject, clip = which[meet], sign[meet], subject[meet], clip[meet]
             size = np.full(len(subject), 3)
-            for i in range(3):
-                subject, size = _cut(subject, size, clip[:, i], clip[:, (i + 1) % 3])
+            for k in range(3):
+                subject, size = _cut(subject, size, clip[:, k], clip[:, (k + 1) % 3])
             live = np.arange(subject.shape[1])[None, :] < size[:, None]
             rest = np.where(live[:, :, None], subject - subject[:, :1], 0.0)  # corners that don't count lie on the first
             area = np.abs((rest[:, :-1, 0] * rest[:, 1:, 1] - rest[:, 1:, 0] * rest[:, :-1, 1]).sum(axis=1)) / 2 if subject.shape[1] > 2 else np.zeros(len(subject))
-            out += np.bincount(which, sign * area, len(out))
+            out += np.bincount(which, sign * area, n)
         begin = end
     return np.abs(out)
 
 
+def overlap_areas(lefts: list[np.ndarray], rights: list[np.ndarray], batch: int = 200_000) -> np.ndarray:
+    """overlap_areas_flat() of lists of rings."""
+    flat = lambda rings: (np.concatenate([np.zeros((0, 2)), *rings]), np.array([len(r) for r in rings], np.int64))
+    return overlap_areas_flat(*flat(lefts), *flat(rights), batch)
+
+
+def ring_areas(xy: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The area of each ring, given as all corners one after another and the number of each ring's; 0 with fewer than three."""
+    first = np.cumsum(size) - size
+    ring = np.repeat(np.arange(len(size)), size)
+    r = xy - xy[first[ring]]
+    after = np.arange(len(xy)) + 1
+    after[(first + size - 1)[size > 0]] = first[size > 0]
+    twice = np.bincount(ring, r[:, 0] * r[after, 1] - r[after, 0] * r[:, 1], len(size))
+    return np.where(size >= 3, np.abs(twice) / 2, 0.0)
+
+
 def overlap_measures(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
     """(shared area, share of the smaller ring, intersection over union)."""
     shared, x, y = overlap_area(a, b), abs(signed_area(a)), abs(signed_area(b))

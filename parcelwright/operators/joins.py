@@ -80,7 +80,7 @@ def boxes_meeting(left: DataFrame, right: DataFrame, side: float) -> DataFrame:
         sound = df.where((F.col(f"{p}x0") <= F.col(f"{p}x1")) & (F.col(f"{p}y0") <= F.col(f"{p}y1")))
         return sound.withColumn("_u", F.explode(us)).withColumn("_v", F.explode(vs))
 
-    met = spread(left, "l").join(spread(right, "r"), ["_u", "_v"])
+    met = merged(spread(left, "l"), spread(right, "r"), ["_u", "_v"])
     low_x, low_y = F.greatest("lx0", "rx0"), F.greatest("ly0", "ry0")
     meets = (low_x <= F.least("lx1", "rx1")) & (low_y <= F.least("ly1", "ry1"))
     return met.where(meets & (cell(low_x, side) == F.col("_u")) & (cell(low_y, side) == F.col("_v"))).drop("_u", "_v")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelwright.functions import plane
@@ -88,13 +88,18 @@ def plot_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     def boxes(name: str, k: str, d: int, side: str) -> DataFrame:
         key = F.col(k)
         x0, y0 = (key * 37 % 1000 + d).cast("double"), (key * 91 % 1000 + d).cast("double")
-        return table(spark, folder, name).select(key.alias(f"{side}id"), x0.alias(f"{side}x0"), y0.alias(f"{side}y0"), (x0 + 10 + key % 13).alias(f"{side}x1"), (y0 + 8 + key % 11).alias(f"{side}y1"))
+        corners = [f"{side}{e}" for e in ("x0", "y0", "x1", "y1")]
+        drawn = table(spark, folder, name).select(key.alias("key"), x0.alias(corners[0]), y0.alias(corners[1]), (x0 + 10 + key % 13).alias(corners[2]), (y0 + 8 + key % 11).alias(corners[3]))
+        return drawn.withColumn(f"{side}id", F.min("key").over(Window.partitionBy(*corners)))
 
-    met = joins.boxes_meeting(boxes("customer", "c_custkey", 0, "l"), boxes("supplier", "s_suppkey", 2, "r"), 20.0)
+    # equal rings are clipped once, as the first of them
+    left, right = boxes("customer", "c_custkey", 0, "l"), boxes("supplier", "s_suppkey", 2, "r")
+    met = joins.boxes_meeting(left.where("key = lid").drop("key"), right.where("key = rid").drop("key"), 20.0)
     point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     ring = lambda s: F.array(point(f"{s}x0", f"{s}y0"), point(f"{s}x1", f"{s}y0"), point(f"{s}x1", f"{s}y1"), point(f"{s}x0", f"{s}y1"))
-    found = shapes.overlaps(met.select(F.col("lid").alias("customer"), F.col("rid").alias("supplier"), ring("l").alias("ring_a"), ring("r").alias("ring_b")))
-    return found.select("customer", "supplier", *[F.round(c, 4).alias(c) for c in ("shared", "share", "iou")])
+    found = shapes.overlaps(met.select("lid", "rid", ring("l").alias("ring_a"), ring("r").alias("ring_b"))).select("lid", "rid", *[F.round(c, 4).alias(c) for c in ("shared", "share", "iou")])
+    each = joins.merged(found, right.select("rid", F.col("key").alias("supplier")), ["rid"])
+    return joins.merged(each, left.select("lid", F.col("key").alias("customer")), ["lid"]).select("customer", "supplier", "shared", "share", "iou")
 
 
 def _rings(spark: SparkSession, folder: str) -> DataFrame:

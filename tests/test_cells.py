@@ -100,3 +100,16 @@ def test_known_surveys_meet_by_equality(spark, tmp_path):
     got = known_surveys(spark, str(tmp_path))
     assert "collect_set" not in plan(got)
     assert {r.c_custkey: r.survey for r in got.collect()} == {k: str(k) if k % 11 == 0 and k < 1100 else None for k in range(2000)}
+
+
+def test_equal_rings_are_clipped_once(spark, tmp_path, monkeypatch):
+    from parcelwright.plans import shaped
+
+    pairs = []
+    monkeypatch.setattr(shaped.shapes, "overlaps", lambda df, f=shapes.overlaps: pairs.append(df) or f(df))
+    keys = spark.createDataFrame([(k,) for k in (5, 5 + 143_000, 5 + 286_000, 7)], "c_custkey long")
+    keys.write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(5,), (5 + 143_000,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = shaped.plot_overlaps(spark, str(tmp_path)).collect()
+    assert pairs[0].count() == 1 and len(got) == 6
+    assert {(r.customer % 143_000, r.supplier % 143_000, r.shared) for r in got} == {(5, 5, 13.0 * 11.0)}
