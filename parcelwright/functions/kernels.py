@@ -420,3 +420,141 @@ def matched_once(points: np.ndarray, targets: np.ndarray, reach: float, nearest:
             taken.add(j)
             out.append((i, j, d))
     return out
+
+
+def pose_keys(plot: np.ndarray, *parts: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of a long and doubles."""
+    p1, p2, p3, p4, p5 = (np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
+    h = np.full(len(plot), 42, np.uint64)
+    for part in (np.asarray(plot, np.int64), *[np.asarray(v, float) + 0.0 for v in parts]):
+        h = turn((h + p5 + np.uint64(8)) ^ (turn(part.view(np.uint64) * p2, 31) * p1), 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+class Spots:
+    """The nearest of some places within ``reach``; ties go to the one given first."""
+
+    def __init__(self, xy: np.ndarray, reach: float):
+        self.xy, self.reach, self.side = xy, reach, 2 * reach
+        cells = np.floor((xy - reach) / self.side).astype(np.int64)
+        self.low = cells.min(axis=0)
+        self.span = cells.max(axis=0) - self.low + 2  # each place goes to two by two cells
+        u, v = (cells - self.low).T
+        keys = np.concatenate([(u + i) * self.span[1] + v + j for i in (0, 1) for j in (0, 1)])
+        order = np.argsort(keys, kind="stable")
+        order = order[np.lexsort((order % len(xy), keys[order]))]
+        self.keys, self.which = keys[order], order % len(xy)
+
+    def nearest(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which place, or -1, and its distance."""
+        u, v = np.floor(x / self.side).astype(np.int64) - self.low[0], np.floor(y / self.side).astype(np.int64) - self.low[1]
+        found, gap = np.full(len(x), -1), np.full(len(x), np.inf)
+        rows = np.flatnonzero((u >= 0) & (v >= 0) & (u < self.span[0]) & (v < self.span[1]))
+        key = u[rows] * self.span[1] + v[rows]
+        at = np.searchsorted(self.keys, key)
+        while len(rows):
+            live = at < len(self.keys)
+            live[live] = self.keys[at[live]] == key[live]
+            rows, key, at = rows[live], key[live], at[live]
+            place = self.which[at]
+            d = np.hypot(x[rows] - self.xy[place, 0], y[rows] - self.xy[place, 1])
+            better = (d <= self.reach) & (d < gap[rows])
+            found[rows[better]], gap[rows[better]] = place[better], d[better]
+            at = at + 1
+        return found, gap
+
+
+def best_placements(plots: list[tuple[int, np.ndarray]], stones: np.ndarray, names: np.ndarray, tolerance: float, longest: float, scales: tuple[float, float], block: int = 1_000_000) -> list[tuple]:
+    """The best pose of each plot (name, corners in ring order) on the stones: rows of plot, pose, angle, scale, tx, ty, inliers, residual.
+
+    All poses are tried, ``block`` pairs of stones and about as many corners at a time; of a plot only the best so far is
+    kept: most inliers, then the smallest residual to six digits, then the smallest key.
+    """
+    if not plots or len(stones) < 2:
+        return []
+    order = np.lexsort((names,))
+    spots, code = Spots(stones[order], tolerance), np.unique(names, return_inverse=True)[1]
+    spot_code = code[order]
+    size = np.array([len(r) for _, r in plots])
+    ring = np.zeros((len(plots), size.max(), 2))
+    for i, (_, r) in enumerate(plots):
+        ring[i, : len(r)] = r
+    own, at = np.nonzero(np.arange(size.max())[None, :] < size[:, None])
+    a, b = ring[own, at], ring[own, (at + 1) % size[own]]
+    length = np.hypot(*(b - a).T)
+    sound = (length > 0) & (length <= longest)
+    own, a, b, length = own[sound], a[sound], b[sound], length[sound]
+    turned = np.arctan2(*(b - a).T[::-1])
+    best: dict[int, tuple] = {}
+
+    def score(edge: np.ndarray, p: np.ndarray, q: np.ndarray, gap: np.ndarray) -> None:
+        scale = gap / length[edge]
+        fits = (scale >= scales[0]) & (scale <= scales[1])
+        edge, p, q, scale = edge[fits], p[fits], q[fits], scale[fits]
+        if not len(edge):
+            return
+        plot = own[edge]
+        angle = np.arctan2(q[:, 1] - p[:, 1], q[:, 0] - p[:, 0]) - turned[edge]
+        c, s = scale * np.cos(angle), scale * np.sin(angle)
+        tx, ty = p[:, 0] - (c * a[edge, 0] - s * a[edge, 1]), p[:, 1] - (s * a[edge, 0] + c * a[edge, 1])
+        n = size[plot].max()
+        hit, total, hits = np.full((len(plot), n), -1), np.zeros(len(plot)), np.zeros(len(plot), int)
+        for k in range(n):
+            on = np.flatnonzero(size[plot] > k)
+            x, y = ring[plot[on], k].T
+            found, d = spots.nearest(c[on] * x - s[on] * y + tx[on], s[on] * x + c[on] * y + ty[on])
+            near = found >= 0
+            hit[on[near], k] = spot_code[found[near]]
+            total[on[near]] += d[near]
+            hits[on[near]] += 1
+        hit.sort(axis=1)
+        inliers = (hit[:, :1] >= 0).sum(axis=1) + ((hit[:, 1:] >= 0) & (hit[:, 1:] != hit[:, :-1])).sum(axis=1)
+        residual = total / np.maximum(hits, 1)
+        rough = np.round(residual, 6)
+        by = np.lexsort((rough, -inliers, plot))
+        first = np.r_[True, plot[by][1:] != plot[by][:-1]]
+        lead = by[first][np.cumsum(first) - 1]
+        tied = by[(inliers[by] == inliers[lead]) & (rough[by] == rough[lead]) & (inliers[by] > 0)]
+        held = {i: (-v[6], round(v[7], 6)) for i, v in best.items()}
+        tied = tied[[held.get(i, (0, 0.0)) >= (-m, r) for i, m, r in zip(plot[tied].tolist(), inliers[tied].tolist(), rough[tied].tolist())]]
+        half = lambda v, digits: np.copysign(np.floor(np.abs(v) * 10.0**digits + 0.5) / 10.0**digits, v)
+        key = pose_keys(np.array([plots[i][0] for i in plot[tied]], np.int64), half(angle[tied], 4), half(tx[tied], 2), half(ty[tied], 2), half(scale[tied], 4))
+        by = np.lexsort((key, plot[tied]))
+        for j in by[np.r_[True, plot[tied][by][1:] != plot[tied][by][:-1]]] if len(by) else []:
+            i = tied[j]
+            new = (plots[plot[i]][0], int(key[j]), float(angle[i]), float(scale[i]), float(tx[i]), float(ty[i]), int(inliers[i]), float(residual[i]))
+            rank = lambda v: (-v[6], round(v[7], 6), v[1])
+            if plot[i] not in best or rank(new) < rank(best[plot[i]]):
+                best[int(plot[i])] = new
+
+    def meet(p: np.ndarray, q: np.ndarray, gap: np.ndarray) -> None:
+        by = np.argsort(gap)
+        p, q, gap = p[by], q[by], gap[by]
+        low, high = np.searchsorted(gap, length - tolerance), np.searchsorted(gap, length + tolerance, "right")
+        most = max(1, block // int(size.max()))
+        upto = np.cumsum(high - low)
+        for begin in range(0, int(upto[-1]) if len(upto) else 0, most):
+            row = np.arange(begin, min(begin + most, int(upto[-1])))
+            edge = np.searchsorted(upto, row, "right")
+            pair = low[edge] + row - (upto[edge] - (high - low)[edge])
+            score(edge, stones[p[pair]], stones[q[pair]], gap[pair])
+
+    by = np.argsort(stones[:, 0], kind="stable")
+    xs, farthest = stones[by, 0], longest * scales[1]
+    held, count, begin = [], 0, 0
+    while begin < len(by):
+        low, high = np.searchsorted(xs, xs[begin] - farthest), np.searchsorted(xs, xs[begin] + 2 * farthest, "right")
+        end = min(begin + max(1, block // int(high - low)), int(np.searchsorted(xs, xs[begin] + farthest, "right")))
+        left, right = by[begin:end], by[low:high]
+        gap = np.hypot(stones[left, 0][:, None] - stones[right, 0], stones[left, 1][:, None] - stones[right, 1])
+        i, j = np.nonzero((gap <= farthest) & (code[left][:, None] != code[right]))
+        held.append((left[i], right[j], gap[i, j]))
+        count, begin = count + len(i), end
+        if count >= block or begin >= len(by):
+            meet(*[np.concatenate(v) for v in zip(*held)])
+            held, count = [], 0
+    return list(best.values())

@@ -64,6 +64,28 @@ def best_poses(found: DataFrame) -> DataFrame:
     return found.groupBy("plot").agg(F.min_by(F.struct(*rest), F.struct(-F.col("inliers"), F.round("residual", 6), "pose")).alias("b")).select("plot", "b.*")
 
 
+def placed_best(corners: DataFrame, stones: DataFrame, tolerance: float, longest: float, scales: tuple[float, float] = (0.9, 1.1), parts: int = 8) -> DataFrame:
+    """As best_poses() of poses(), from the same tables, without a row for each pose.
+
+    The plots of an area are dealt to ``parts`` groups, each with all stones of the area; a kernel tries all poses of a
+    group's plots and keeps the best, so the shuffle holds corners and ``parts`` times the stones, whatever the number of poses.
+    """
+
+    def run(left, right):
+        import pandas as pd
+
+        from parcelwright.functions.kernels import best_placements
+
+        rings = [(k, r.sort_values("at")[["x", "y"]].to_numpy(float)) for k, r in left.groupby("plot")]
+        found = best_placements(rings, right[["x", "y"]].to_numpy(float), right["stone"].to_numpy(), tolerance, longest, scales)
+        return pd.DataFrame(found, columns=["plot", "pose", "angle", "scale", "tx", "ty", "inliers", "residual"])
+
+    dealt = corners.where("area IS NOT NULL").withColumn("part", F.pmod(F.hash("plot"), F.lit(parts))).select("area", "part", "plot", "at", "x", "y")
+    everywhere = stones.where("area IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("area", "part", "stone", "x", "y")
+    kind = corners.schema["plot"].dataType.simpleString()
+    return dealt.groupBy("area", "part").cogroup(everywhere.groupBy("area", "part")).applyInPandas(run, f"plot {kind}, pose bigint, angle double, scale double, tx double, ty double, inliers bigint, residual double")
+
+
 def supported_readings(readings: DataFrame, reach: float) -> DataFrame:
     """The reading (rid, name, x, y, confidence) of each name with the most other names within ``reach``: name, rid, support; ties by confidence, then rid."""
     a = readings.select(F.col("rid").alias("lid"), F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("name").alias("ln"), "confidence")

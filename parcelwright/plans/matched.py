@@ -121,7 +121,7 @@ def placed_plots(spark: SparkSession, folder: str) -> DataFrame:
     stones = sound.groupBy("area", "x", "y").agg(F.min("stone_id").alias("stone"))
     sides = p.where("lgd_village_code IS NOT NULL").select(F.explode(plane.closed_pairs(ring)).alias("e"))
     longest = sides.agg(F.max(F.hypot(F.col("e.x2") - F.col("e.x1"), F.col("e.y2") - F.col("e.y1")))).collect()[0][0]
-    return matching.best_poses(matching.poses(corners, stones, 0.5, longest or 1.0))
+    return matching.placed_best(corners, stones, 0.5, longest or 1.0)
 
 
 @query(_EDGE_SQL + """
