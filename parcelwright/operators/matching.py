@@ -83,7 +83,9 @@ def placed_best(corners: DataFrame, stones: DataFrame, tolerance: float, longest
     dealt = corners.where("area IS NOT NULL").withColumn("part", F.pmod(F.hash("plot"), F.lit(parts))).select("area", "part", "plot", "at", "x", "y")
     everywhere = stones.where("area IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("area", "part", "stone", "x", "y")
     kind = corners.schema["plot"].dataType.simpleString()
-    return dealt.groupBy("area", "part").cogroup(everywhere.groupBy("area", "part")).applyInPandas(run, f"plot {kind}, pose bigint, angle double, scale double, tx double, ty double, inliers bigint, residual double")
+    tasks = int(corners.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a few bytes may be much work, so small partitions aren't brought together
+    spread = lambda df: df.repartition(tasks, "area", "part").groupBy("area", "part")
+    return spread(dealt).cogroup(spread(everywhere)).applyInPandas(run, f"plot {kind}, pose bigint, angle double, scale double, tx double, ty double, inliers bigint, residual double")
 
 
 def supported_readings(readings: DataFrame, reach: float) -> DataFrame:
