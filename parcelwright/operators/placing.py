@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelwright.functions.plane import pair_similarity, ring_distance, segment_distance, similarity
+from parcelwright.functions.plane import ring_distance, segment_distance, similarity
 from parcelwright.operators.fits import transform_fit
 from parcelwright.operators.joins import band, boxes_meeting, merged, nearest
-from parcelwright.operators.shapes import covered_lengths
+from parcelwright.operators.shapes import covered_parts, newly_covered
 from parcelwright.plans.checkpoints import materialise
 
 
@@ -36,19 +36,25 @@ def poses_on_lines(edges: DataFrame, segments: DataFrame, error: float, reach: f
     keys = on or []
     a = edges.select("plot", *keys, *[F.col(c).alias(f"a{c}") for c in ("x1", "y1", "x2", "y2")], length.alias("al"))
     s = segments.select(*keys, *[F.col(c).alias(f"s{c}") for c in ("x1", "y1", "x2", "y2")], length.alias("sl"))
-    met = band(a, s, "al", "sl", error, keys).where("al > 0")
+    met = band(a, s.hint("merge"), "al", "sl", error, keys).where("al > 0")
     ways = F.explode(F.array(F.struct(*[F.col(f"s{c}").alias(n) for c, n in (("x1", "px"), ("y1", "py"), ("x2", "qx"), ("y2", "qy"))]), F.struct(*[F.col(f"s{c}").alias(n) for c, n in (("x2", "px"), ("y2", "py"), ("x1", "qx"), ("y1", "qy"))])))
-    laid = met.withColumn("w", ways).withColumn("p", pair_similarity(*[F.col(c) for c in ("ax1", "ay1", "ax2", "ay2", "w.px", "w.py", "w.qx", "w.qy")]))
+    turn = F.atan2(F.col("w.qy") - F.col("w.py"), F.col("w.qx") - F.col("w.px")) - F.atan2(F.col("ay2") - F.col("ay1"), F.col("ax2") - F.col("ax1"))
+    laid = met.withColumn("w", ways).withColumn("turn", turn)
     # the middle of the edge goes to the middle of the segment, without scale
     mx, my = (F.col("ax1") + F.col("ax2")) / 2, (F.col("ay1") + F.col("ay2")) / 2
-    tx, ty = similarity(F.col("p.angle"), F.lit(1.0), F.lit(0.0), F.lit(0.0), mx, my)
-    pose = laid.select("plot", F.round(F.atan2(F.sin("p.angle"), F.cos("p.angle")), 5).alias("angle"), F.round((F.col("w.px") + F.col("w.qx")) / 2 - tx, 2).alias("tx"), F.round((F.col("w.py") + F.col("w.qy")) / 2 - ty, 2).alias("ty")).distinct()
-    pose = materialise(pose)
+    tx, ty = similarity(F.col("turn"), F.lit(1.0), F.lit(0.0), F.lit(0.0), mx, my)
+    pose = laid.select("plot", F.round(F.atan2(F.sin("turn"), F.cos("turn")), 5).alias("angle"), F.round((F.col("w.px") + F.col("w.qx")) / 2 - tx, 2).alias("tx"), F.round((F.col("w.py") + F.col("w.qy")) / 2 - ty, 2).alias("ty")).distinct()
+    # the edges of a pose carry its number, not the pose
+    pose = materialise(pose.withColumn("pose", F.monotonically_increasing_id()))
     at = lambda x, y: similarity(F.col("angle"), F.lit(1.0), F.col("tx"), F.col("ty"), F.col(x), F.col(y))
     (x1, y1), (x2, y2) = at("x1", "y1"), at("x2", "y2")
-    put = pose.join(edges.select("plot", "eid", "x1", "y1", "x2", "y2"), "plot").select(F.struct("plot", "angle", "tx", "ty", "eid").alias("sid"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
-    covered = covered_lengths(put, segments.select(*[F.col(c).alias(f"l{c}") for c in ("x1", "y1", "x2", "y2")]), reach)
-    share = covered.groupBy("sid.plot", "sid.angle", "sid.tx", "sid.ty").agg(F.round(F.sum("covered") / F.sum("length"), 6).alias("coverage"))
+    own = edges.select("plot", "eid", "x1", "y1", "x2", "y2", length.alias("length"))
+    put = merged(pose, own, ["plot"]).select("pose", "eid", "length", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+    parts = covered_parts(put, segments.select(*[F.col(c).alias(f"l{c}") for c in ("x1", "y1", "x2", "y2")]), reach, ["pose", "eid", "length"])
+    # all parts of a pose go to one task, for the unions as for the sums
+    covered = parts.repartition("pose").withColumn("new", newly_covered("pose", "eid")).groupBy("pose").agg(F.sum(F.col("new") * F.col("length")).alias("covered"))
+    judged = merged(merged(pose, covered, ["pose"], "left"), own.groupBy("plot").agg(F.sum("length").alias("length")), ["plot"])
+    share = judged.withColumn("coverage", F.round(F.coalesce("covered", F.lit(0.0)) / F.col("length"), 6))
     return share.groupBy("plot").agg(F.min_by(F.struct("angle", "tx", "ty", "coverage"), F.struct(-F.col("coverage"), "angle", "tx", "ty")).alias("b")).select("plot", "b.*")
 
 

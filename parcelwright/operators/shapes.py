@@ -173,13 +173,13 @@ def rigid_placements(pairs: DataFrame, key: str) -> DataFrame:
     return pairs.where(F.size("src") >= 3).where(F.size("dst") >= 3).select(key, "src", "dst").mapInPandas(run, f"{key} {kind}, angle double, shift_x double, shift_y double, residual double")
 
 
-def covered_lengths(segments: DataFrame, lines: DataFrame, reach: float) -> DataFrame:
-    """How much of each segment (sid, x1, y1, x2, y2) lies within ``reach`` of a line (lx1, ly1, lx2, ly2): sid, length, covered.
+def covered_parts(segments: DataFrame, lines: DataFrame, reach: float, keep: list[str]) -> DataFrame:
+    """The columns ``keep``, low, high: the shares of the way along each segment (x1, y1, x2, y2) between which it lies within ``reach`` of a line (lx1, ly1, lx2, ly2).
 
     The part of a segment near one line is one interval, since the places within ``reach`` of a line are convex: it is
-    solved for the strip along the line and the discs about its ends. The union of the intervals of all lines is what is
-    covered. A line goes to the cells, of about its own size, that it touches, a segment to the cells of each such size
-    near it, so only near ones are compared; a pair that meets in several cells changes no union.
+    solved for the strip along the line and the discs about its ends. A line goes to the cells, of about its own size,
+    that it touches, a segment to the cells of each such size near it, so only near ones are compared; a pair that meets
+    in several cells gives its interval again, which changes no union.
     """
     c = F.col
     base = max(1.0, 4 * reach)
@@ -189,30 +189,42 @@ def covered_lengths(segments: DataFrame, lines: DataFrame, reach: float) -> Data
     sized = lines.select("lx1", "ly1", "lx2", "ly2", F.when(size > 0, level).when(size == 0, 0).alias("_level")).where("_level IS NOT NULL")
     levels = [r[0] for r in sized.select("_level").distinct().collect()]
     b = along_cells(sized, "lx1", "ly1", "lx2", "ly2", 0.0, side)
-    a = along_cells(segments.select("sid", "x1", "y1", "x2", "y2", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")).alias("_level")), "x1", "y1", "x2", "y2", reach, side)
+    a = along_cells(segments.select(*keep, "x1", "y1", "x2", "y2", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")).alias("_level")), "x1", "y1", "x2", "y2", reach, side)
     met = merged(a, b, ["_level", "_u", "_v"])
-    met = met.select("sid", (c("x2") - c("x1")).alias("dx"), (c("y2") - c("y1")).alias("dy"), (c("lx2") - c("lx1")).alias("ex"), (c("ly2") - c("ly1")).alias("ey"), (c("x1") - c("lx1")).alias("px"), (c("y1") - c("ly1")).alias("py"), (c("x1") - c("lx2")).alias("qx"), (c("y1") - c("ly2")).alias("qy"))
+    met = met.select(*keep, (c("x2") - c("x1")).alias("dx"), (c("y2") - c("y1")).alias("dy"), (c("lx2") - c("lx1")).alias("ex"), (c("ly2") - c("ly1")).alias("ey"), (c("x1") - c("lx1")).alias("px"), (c("y1") - c("ly1")).alias("py"), (c("x1") - c("lx2")).alias("qx"), (c("y1") - c("ly2")).alias("qy"))
+    # each step's columns are used several times in the next, so a step isn't written out within the other: the code would be too long to compile
+    met = met.withColumns({"_long": c("ex") * c("ex") + c("ey") * c("ey"), "_square": c("dx") * c("dx") + c("dy") * c("dy")})
+    met = met.withColumns({"_off": c("ex") * c("py") - c("ey") * c("px"), "_off_slope": c("ex") * c("dy") - c("ey") * c("dx"), "_wide": reach * F.sqrt("_long"), "_along": c("ex") * c("px") + c("ey") * c("py"), "_along_slope": c("ex") * c("dx") + c("ey") * c("dy"), "_phalf": c("dx") * c("px") + c("dy") * c("py"), "_qhalf": c("dx") * c("qx") + c("dy") * c("qy")})
+    root = lambda p: c(f"_{p}half") * c(f"_{p}half") - c("_square") * (c(f"{p}x") * c(f"{p}x") + c(f"{p}y") * c(f"{p}y") - reach * reach)
 
     def between(at: Column, slope: Column, low: Column, high: Column) -> tuple[Column, Column]:
         inside = F.when(at.between(low, high), 0.0), F.when(at.between(low, high), 1.0)
         return F.when(slope > 0, (low - at) / slope).when(slope < 0, (high - at) / slope).otherwise(inside[0]), F.when(slope > 0, (high - at) / slope).when(slope < 0, (low - at) / slope).otherwise(inside[1])
 
-    def disc(x: str, y: str) -> tuple[Column, Column]:
-        square, half = c("dx") * c("dx") + c("dy") * c("dy"), c("dx") * c(x) + c("dy") * c(y)
-        root = half * half - square * (c(x) * c(x) + c(y) * c(y) - reach * reach)
-        return F.when((root >= 0) & (square > 0), (-half - F.sqrt(root)) / square), F.when((root >= 0) & (square > 0), (-half + F.sqrt(root)) / square)
-
-    long = c("ex") * c("ex") + c("ey") * c("ey")
-    off = between(c("ex") * c("py") - c("ey") * c("px"), c("ex") * c("dy") - c("ey") * c("dx"), -reach * F.sqrt(long), reach * F.sqrt(long))
-    along = between(c("ex") * c("px") + c("ey") * c("py"), c("ex") * c("dx") + c("ey") * c("dy"), F.lit(0.0), long)
-    both = (long > 0) & off[0].isNotNull() & along[0].isNotNull() & (F.greatest(off[0], along[0]) <= F.least(off[1], along[1]))
-    strip = F.when(both, F.greatest(off[0], along[0])), F.when(both, F.least(off[1], along[1]))
-    parts = [strip, disc("px", "py"), disc("qx", "qy")]
-    # the three parts make one interval
-    each = met.select("sid", F.least(*[low for low, _ in parts]).alias("low"), F.greatest(*[high for _, high in parts]).alias("high")).where("low IS NOT NULL")
-    near = each.select("sid", F.greatest(F.lit(0.0), F.col("low")).alias("low"), F.least(F.lit(1.0), F.col("high")).alias("high")).where("low < high")
+    off, along = between(c("_off"), c("_off_slope"), -c("_wide"), c("_wide")), between(c("_along"), c("_along_slope"), F.lit(0.0), c("_long"))
+    met = met.withColumns({"_off0": off[0], "_off1": off[1], "_along0": along[0], "_along1": along[1], "_proot": F.when(c("_square") > 0, root("p")), "_qroot": F.when(c("_square") > 0, root("q"))})
+    met = met.withColumns({"_strip0": F.greatest("_off0", "_along0"), "_strip1": F.least("_off1", "_along1"), "_pwide": F.when(c("_proot") >= 0, F.sqrt("_proot")), "_qwide": F.when(c("_qroot") >= 0, F.sqrt("_qroot"))})
+    both = (c("_long") > 0) & c("_off0").isNotNull() & c("_along0").isNotNull() & (c("_strip0") <= c("_strip1"))
+    disc = lambda p: tuple(F.when(c(f"_{p}wide").isNotNull(), (-c(f"_{p}half") + way * c(f"_{p}wide")) / c("_square")) for way in (-1, 1))
+    parts = [(F.when(both, c("_strip0")), F.when(both, c("_strip1"))), disc("p"), disc("q")]
+    # the three parts make one interval; greatest() and least() would skip a null, so pairs without one are left out
+    met = met.withColumns({"_low": F.least(*[low for low, _ in parts]), "_high": F.greatest(*[high for _, high in parts])})
+    met = met.withColumns({"low": F.when(c("_low").isNotNull(), F.greatest(F.lit(0.0), c("_low"))), "high": F.least(F.lit(1.0), c("_high"))})
+    one = F.explode(F.when(c("low") < c("high"), F.array(F.struct("low", "high"))))
+    return met.select(*keep, one.alias("_part")).select(*keep, "_part.low", "_part.high")
+
+
+def newly_covered(*key: str) -> Column:
+    """How much of an interval (low, high) none of its ``key`` that starts earlier holds; the sum is the length of their union."""
+    before = Window.partitionBy(*key).orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
+    return F.greatest(F.lit(0.0), F.col("high") - F.greatest("low", F.coalesce(F.max("high").over(before), F.lit(0.0))))
+
+
+def covered_lengths(segments: DataFrame, lines: DataFrame, reach: float) -> DataFrame:
+    """How much of each segment (sid, x1, y1, x2, y2) lies within ``reach`` of a line (lx1, ly1, lx2, ly2): sid, length, covered; the union of its covered_parts()."""
+    c = F.col
+    near = covered_parts(segments, lines, reach, ["sid"])
     length = F.hypot(c("x2") - c("x1"), c("y2") - c("y1"))
     whole = near.withColumn("length", F.lit(None).cast("double")).unionByName(segments.select("sid", F.lit(0.0).alias("low"), F.lit(0.0).alias("high"), length.alias("length")))
-    before = Window.partitionBy("sid").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
-    union = whole.withColumn("from", F.greatest("low", F.coalesce(F.max("high").over(before), F.lit(0.0)))).groupBy("sid").agg(F.max("length").alias("length"), F.sum(F.greatest(F.lit(0.0), c("high") - c("from"))).alias("share"))
+    union = whole.withColumn("new", newly_covered("sid")).groupBy("sid").agg(F.max("length").alias("length"), F.sum("new").alias("share"))
     return union.select("sid", "length", (c("length") * c("share")).alias("covered"))

@@ -1,5 +1,6 @@
 """Joins on cells: their rows aren't broadcast, and every near pair meets."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -20,6 +21,15 @@ def test_cells_of_covered_segments_are_not_broadcast(spark):
     assert {round(r.covered, 6) for r in got.collect()} == {14.0}
 
 
+def test_intervals_are_solved_once_and_in_code_that_compiles(spark):
+    segments = spark.range(9).select(F.col("id").alias("sid"), F.lit(0.0).alias("x1"), (F.col("id") * 10.0).alias("y1"), F.lit(100.0).alias("x2"), (F.col("id") * 10.0).alias("y2"))
+    lines = spark.range(9).select(F.lit(5.0).alias("lx1"), (F.col("id") * 10.0).alias("ly1"), F.lit(15.0).alias("lx2"), (F.col("id") * 10.0).alias("ly2"))
+    wide = plan(shapes.covered_lengths(segments, lines, 2.0)).splitlines()
+    joins_made = [line for line in wide if "SortMergeJoin" in line]
+    assert joins_made and not [line for line in joins_made if "CASE" in line]
+    assert max(len(line) for line in wide) < 3000
+
+
 def test_cells_along_segments_hold_all_near_places(spark):
     r = random.Random(3)
     segments = [(i, r.uniform(-50, 50), r.uniform(-50, 50), r.uniform(-50, 50), r.uniform(-50, 50)) for i in range(200)] + [(900, 3.0, -20.0, 3.0, 40.0), (901, -8.0, 6.0, 8.0, 6.0), (902, 1.0, 1.0, 1.0, 1.0)]
@@ -57,6 +67,43 @@ def test_poses_on_lines_cover_without_broadcast_cells(spark):
     assert {(r.plot, round(r.tx), r.coverage) for r in got.collect()} == {(i, i * 1000, 1.0) for i in range(20)}
 
 
+def test_poses_on_lines_without_broadcast_edges(spark, monkeypatch):
+    from parcelwright.operators import placing
+
+    plans = []
+    monkeypatch.setattr(placing, "materialise", lambda df: plans.append(plan(df)) or df.checkpoint(eager=True))
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("eid"), *[F.lit(v).alias(c) for c, v in zip(("x1", "y1", "x2", "y2"), e)]) for i, e in enumerate(((0.0, 0.0, 30.0, 0.0), (30.0, 0.0, 30.0, 20.0)))]))
+    edges = spark.range(20).select(F.col("id").alias("plot"), F.col("id").alias("window"), at.alias("e")).select("plot", "window", "e.*")
+    segments = edges.select("window", *[(F.col(c) + F.col("plot") * (1000.0 if c[0] == "x" else 0.0)).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    got = placing.poses_on_lines(edges, segments, 0.5, 0.5, ["window"])
+    assert plans and not [p for p in [*plans, plan(got)] if "Broadcast" in p]
+    assert {(r.plot, round(r.angle, 3) + 0.0, round(r.tx), round(r.ty), r.coverage) for r in got.collect()} == {(i, 0.0, i * 1000, 0, 1.0) for i in range(20)}
+
+
+def test_parts_of_a_pose_go_by_its_number(spark):
+    from parcelwright.operators import placing
+
+    shape = ((0.0, 0.0, 30.0, 0.0), (30.0, 0.0, 30.0, 20.0), (30.0, 20.0, 0.0, 0.0))
+    edges = spark.createDataFrame([(k, 5, i, *e) for k in (1, 2) for i, e in enumerate(shape)], "plot long, window long, eid int, x1 double, y1 double, x2 double, y2 double")
+    # one side traced whole, of another the last 8 metres in two parts that overlap, the third not at all
+    segments = spark.createDataFrame([(5, 100.0, 0.0, 130.0, 0.0), (5, 130.0, 12.5, 130.0, 18.0), (5, 130.0, 16.0, 130.0, 19.5)], "window long, x1 double, y1 double, x2 double, y2 double")
+    got = placing.poses_on_lines(edges, segments, 0.5, 0.5, ["window"])
+    assert not [line for line in plan(got).splitlines() if "Exchange" in line and "angle" in line]
+
+    def gap(x, y, x1, y1, x2, y2):
+        t = max(0.0, min(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2)))
+        return math.hypot(x - x1 - t * (x2 - x1), y - y1 - t * (y2 - y1))
+
+    steps, near, whole, lines = 4000, 0.0, 0.0, [r[1:] for r in segments.collect()]
+    for x1, y1, x2, y2 in shape:
+        at = ((100.0 + x1 + (x2 - x1) * (k + 0.5) / steps, y1 + (y2 - y1) * (k + 0.5) / steps) for k in range(steps))
+        whole += math.hypot(x2 - x1, y2 - y1)
+        near += math.hypot(x2 - x1, y2 - y1) / steps * sum(any(gap(*p, *line) <= 0.5 for line in lines) for p in at)
+    rows = sorted(got.collect())
+    assert [r[:4] for r in rows] == [(1, 0.0, 100.0, 0.0), (2, 0.0, 100.0, 0.0)]
+    assert all(abs(r.coverage - near / whole) < 1e-3 for r in rows)
+
+
 def test_split_edges_without_broadcast_cells(spark):
     from parcelwright.operators import plots
 
