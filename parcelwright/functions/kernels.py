@@ -468,11 +468,66 @@ class Spots:
         return found, gap
 
 
+class Nearby:
+    """Whether places may lie within ``reach`` of a corner: a bitmap of cells on a torus. It says yes too often, but never no where one does.
+
+    Places far apart share cells. Corners lie within ``widest`` of a place; positions are single complex numbers in cells
+    from the torus' edge, and ``slack`` is more than all that rounding can do.
+    """
+
+    def __init__(self, xy: np.ndarray, reach: float, widest: float):
+        self.side = reach or 1.0
+        self.bits = min(12, max(6, math.ceil(math.log2(1600 * len(xy)) / 2)))
+        m, far = 1 << self.bits, widest / self.side
+        self.shift = m * (int(far) // m + 1)
+        slack = 2.0**-20 * (self.shift + m + 2 * far) + 2.0**-48 * float(np.abs(xy).max()) / self.side
+        self.table = np.full(m * m // 8, 255, np.uint8)  # eight bands of rows, a bit each, so it stays in the cache
+        at = np.mod(xy / self.side, m)
+        self.at = ((at + self.shift) @ (1, 1j)).astype(np.complex64)
+        if slack > 2:
+            return
+        cells = np.floor(at).astype(np.int64)
+        part, wide = at - cells, reach / self.side + slack
+        steps = np.arange(-math.ceil(wide), math.ceil(wide) + 1)
+        off = np.maximum(0, np.maximum(steps - part[:, :, None], part[:, :, None] - steps - 1)) ** 2
+        which, i, j = np.nonzero(off[:, 0, :, None] + off[:, 1, None, :] <= wide * wide)
+        taken = np.zeros(m * m, np.uint8)
+        taken[(((cells[which, 1] + steps[j]) & (m - 1)) << self.bits) | ((cells[which, 0] + steps[i]) & (m - 1))] = 1
+        self.table = (taken.reshape(8, -1) << np.arange(8, dtype=np.uint8)[:, None]).sum(axis=0, dtype=np.uint8)
+
+    def count(self, p: np.ndarray, w: np.ndarray, k: np.ndarray, block: int = 32_768) -> np.ndarray:
+        """For each place p (of ``at``) and way w in cells, how many of the corners p + w k may have a place nearby."""
+        k, m, size = k.astype(np.complex64)[:, None], self.bits, max(1, block // max(1, len(k)))
+        out = np.empty(len(p), np.uint8 if len(k) < 254 else np.int32)
+        for i in range(0, len(p), size):
+            xy = k * w[i : i + size]
+            xy += p[i : i + size]
+            cell = xy.view(np.float32).astype(np.int32)
+            cell &= (1 << m) - 1
+            pair = cell.view(np.int64)  # x in the low half, y in the high
+            key = pair >> (32 - m)
+            key |= pair
+            key &= (1 << 2 * m) - 1
+            band = (key >> (2 * m - 3)).astype(np.uint8)
+            key &= (1 << (2 * m - 3)) - 1
+            near = self.table.take(key)
+            near >>= band
+            near &= 1
+            np.add.reduce(near, axis=0, dtype=out.dtype, out=out[i : i + size])
+        return out
+
+
+# Corners farther from each other, in reaches, aren't sought in the bitmap; all poses of their plot are judged in full.
+WIDEST = 20_000.0
+
+
 def best_placements(plots: list[tuple[int, np.ndarray]], stones: np.ndarray, names: np.ndarray, tolerance: float, longest: float, scales: tuple[float, float], block: int = 1_000_000) -> list[tuple]:
     """The best pose of each plot (name, corners in ring order) on the stones: rows of plot, pose, angle, scale, tx, ty, inliers, residual.
 
-    All poses are tried, ``block`` pairs of stones and about as many corners at a time; of a plot only the best so far is
-    kept: most inliers, then the smallest residual to six digits, then the smallest key.
+    All poses count, ``block`` pairs of stones and about as many corners at a time; of a plot only the best so far is kept:
+    most inliers, then the smallest residual to six digits, then the smallest key. A pose is judged in full only if as many
+    of its corners as the best one's inliers may have a stone nearby (Nearby), so those left out can't be the best.
+    Edges with the fewest pairs go first: after them n - m + 1 corners of the n tell that a pose has less than m.
     """
     if not plots or len(stones) < 2:
         return []
@@ -488,8 +543,17 @@ def best_placements(plots: list[tuple[int, np.ndarray]], stones: np.ndarray, nam
     length = np.hypot(*(b - a).T)
     sound = (length > 0) & (length <= longest)
     own, a, b, length = own[sound], a[sound], b[sound], length[sound]
+    if not len(own):
+        return []
     turned = np.arctan2(*(b - a).T[::-1])
+    spot, origin, along = stones @ (1, 1j), a @ (1, 1j), (b - a) @ (1, 1j)
+    twice = np.concatenate([np.tile(r @ (1, 1j), 2) for _, r in plots])  # so the corners after an edge are a slice
+    after = (2 * (np.cumsum(size) - size))[own] + at[sound] + 2
+    across = np.array([np.hypot(*np.ptp(r, axis=0)) for _, r in plots]) * scales[1]
+    odd = ~(across <= WIDEST * tolerance)
+    nearby = Nearby(stones, tolerance, float(across[~odd].max(initial=0.0)))
     best: dict[int, tuple] = {}
+    need = np.zeros(len(plots), int)  # inliers of the best so far
 
     def score(edge: np.ndarray, p: np.ndarray, q: np.ndarray, gap: np.ndarray) -> None:
         scale = gap / length[edge]
@@ -530,30 +594,88 @@ def best_placements(plots: list[tuple[int, np.ndarray]], stones: np.ndarray, nam
             rank = lambda v: (-v[6], round(v[7], 6), v[1])
             if plot[i] not in best or rank(new) < rank(best[plot[i]]):
                 best[int(plot[i])] = new
+                need[plot[i]] = new[6]
 
     def meet(p: np.ndarray, q: np.ndarray, gap: np.ndarray) -> None:
+        """All poses on the pairs p, q and q, p."""
         by = np.argsort(gap)
-        p, q, gap = p[by], q[by], gap[by]
-        low, high = np.searchsorted(gap, length - tolerance), np.searchsorted(gap, length + tolerance, "right")
-        most = max(1, block // int(size.max()))
-        upto = np.cumsum(high - low)
-        for begin in range(0, int(upto[-1]) if len(upto) else 0, most):
-            row = np.arange(begin, min(begin + most, int(upto[-1])))
-            edge = np.searchsorted(upto, row, "right")
-            pair = low[edge] + row - (upto[edge] - (high - low)[edge])
-            score(edge, stones[p[pair]], stones[q[pair]], gap[pair])
+        p, q, gap = np.stack([p[by], q[by]], axis=1).ravel(), np.stack([q[by], p[by]], axis=1).ravel(), np.repeat(gap[by], 2)
+        place, way = nearby.at[p], ((spot[q] - spot[p]) / nearby.side).astype(np.complex64)
+        low = np.searchsorted(gap, np.maximum(length - tolerance, length * scales[0] * (1 - 1e-9)))
+        high = np.searchsorted(gap, np.minimum(length + tolerance, length * scales[1] * (1 + 1e-9)), "right")
+
+        def sifted(e: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+            """Pairs that may give the edge's plot as many inliers as it has, or ``least``, and how many at most."""
+            i, n, s, m = own[e], int(size[own[e]]), slice(low[e], high[e]), max(least, int(need[own[e]]))
+            if odd[i]:
+                return np.arange(s.start, s.stop), np.full(s.stop - s.start, n)
+            k = (twice[after[e] : after[e] + n - 2] - origin[e]) / along[e]
+            first = min(n - m + 1, len(k)) if m > 2 else len(k)
+            most = nearby.count(place[s], way[s], k[:first])
+            rows = np.flatnonzero(most >= (m - 2 if first == len(k) else 1))
+            most = most[rows].astype(int) + 2
+            rows += s.start
+            if first == len(k) or not len(rows):
+                return rows, most
+            most += nearby.count(place[rows], way[rows], k[first:])
+            kept = most >= m
+            return rows[kept], most[kept]
+
+        def judged(rest: tuple, whole: bool) -> tuple:
+            """What is left when those of each plot that may have the most inliers are judged, if that may be more than it has; ``whole``: until none is left."""
+            edge, pair, most = rest
+            while len(edge):
+                plot = own[edge]
+                top = np.zeros(len(plots), int)
+                for v in np.unique(most):
+                    top[plot[most == v]] = v
+                chosen = (most == top[plot]) & (whole | (most > need[plot]))
+                rows, step = np.flatnonzero(chosen), max(1, block // int(size.max()))
+                for i in range(0, len(rows), step):
+                    r = rows[i : i + step]
+                    score(edge[r], stones[p[pair[r]]], stones[q[pair[r]]], gap[pair[r]])
+                left = ~chosen & (most >= need[plot])
+                edge, pair, most = edge[left], pair[left], most[left]
+                if not whole:
+                    break
+            return edge, pair, most
+
+        def together(rest: tuple, held: list) -> tuple:
+            e, pair, most = zip((0, *rest[1:]), *held)
+            edge = np.repeat(e[1:], [len(v) for v in pair[1:]]).astype(int)
+            return np.r_[rest[0], edge], np.concatenate(pair), np.concatenate(most)
+
+        by = np.lexsort((high - low, own))
+        rank = np.arange(len(by)) - np.searchsorted(own[by], own[by])
+        rest = none = (np.zeros(0, int),) * 3
+        for turn in range(5):
+            if turn == 4:  # plots with no third corner on a stone
+                rest = judged(rest, True)
+            held, count = [], len(rest[0])
+            for e in by[(rank == turn) if turn < 3 else (rank >= 3) if turn == 3 else need[own[by]] < 3].tolist():
+                if high[e] <= low[e]:
+                    continue
+                pair, most = sifted(e, 3 if turn < 4 else 0)
+                held.append((e, pair, most))
+                count += len(pair)
+                if count >= block:
+                    judged(together(rest, held), True)
+                    rest, held, count = none, [], 0
+            rest = judged(together(rest, held), turn == 4)
 
     by = np.argsort(stones[:, 0], kind="stable")
-    xs, farthest = stones[by, 0], longest * scales[1]
+    xs, farthest = stones[by, 0], min(longest * scales[1], float((length + tolerance).max()))
     held, count, begin = [], 0, 0
     while begin < len(by):
-        low, high = np.searchsorted(xs, xs[begin] - farthest), np.searchsorted(xs, xs[begin] + 2 * farthest, "right")
-        end = min(begin + max(1, block // int(high - low)), int(np.searchsorted(xs, xs[begin] + farthest, "right")))
-        left, right = by[begin:end], by[low:high]
-        gap = np.hypot(stones[left, 0][:, None] - stones[right, 0], stones[left, 1][:, None] - stones[right, 1])
-        i, j = np.nonzero((gap <= farthest) & (code[left][:, None] != code[right]))
-        held.append((left[i], right[j], gap[i, j]))
-        count, begin = count + len(i), end
+        high = int(np.searchsorted(xs, xs[begin] + 1.25 * farthest, "right"))
+        end = max(begin + 1, min(begin + block // (high - begin), int(np.searchsorted(xs, xs[begin] + 0.25 * farthest, "right"))))
+        left, right = by[begin:end], by[begin:high]
+        dx, dy = stones[left, 0][:, None] - stones[right, 0], stones[left, 1][:, None] - stones[right, 1]
+        i, j = np.nonzero(dx * dx + dy * dy <= farthest * farthest * (1 + 1e-9))
+        gap = np.hypot(dx[i, j], dy[i, j])
+        kept = (gap <= farthest) & (i < j) & (code[left[i]] != code[right[j]])
+        held.append((left[i[kept]], right[j[kept]], gap[kept]))
+        count, begin = count + int(kept.sum()), end
         if count >= block or begin >= len(by):
             meet(*[np.concatenate(v) for v in zip(*held)])
             held, count = [], 0

@@ -67,25 +67,35 @@ def best_poses(found: DataFrame) -> DataFrame:
 def placed_best(corners: DataFrame, stones: DataFrame, tolerance: float, longest: float, scales: tuple[float, float] = (0.9, 1.1), parts: int = 8) -> DataFrame:
     """As best_poses() of poses(), from the same tables, without a row for each pose.
 
-    The plots of an area are dealt to ``parts`` groups, each with all stones of the area; a kernel tries all poses of a
-    group's plots and keeps the best, so the shuffle holds corners and ``parts`` times the stones, whatever the number of poses.
+    A kernel tries all poses of the plots of an area, with all stones of the area, and keeps the best, so the shuffle holds
+    corners and stones, whatever the number of poses. An area with more corners than half a task's share is dealt to
+    ``parts`` groups; as a share bounds their number, their list on the driver is short.
     """
 
     def run(left, right):
-        import pandas as pd
+        import numpy as np
+        import pyarrow as pa
 
         from parcelwright.functions.kernels import best_placements
 
-        rings = [(k, r.sort_values("at")[["x", "y"]].to_numpy(float)) for k, r in left.groupby("plot")]
-        found = best_placements(rings, right[["x", "y"]].to_numpy(float), right["stone"].to_numpy(), tolerance, longest, scales)
-        return pd.DataFrame(found, columns=["plot", "pose", "angle", "scale", "tx", "ty", "inliers", "residual"])
+        plot, own = np.unique(left["plot"].to_numpy(), return_inverse=True)
+        by = np.lexsort((left["at"].to_numpy(), own))
+        xy = lambda t: np.stack([t["x"].to_numpy(), t["y"].to_numpy()], axis=1).astype(float)
+        rings = list(zip(plot, np.split(xy(left)[by], np.cumsum(np.bincount(own))[:-1]))) if len(plot) else []
+        found = best_placements(rings, xy(right), right["stone"].to_numpy(), tolerance, longest, scales)
+        kinds = [left.schema.field("plot").type, pa.int64(), *[pa.float64()] * 4, pa.int64(), pa.float64()]
+        return pa.table([pa.array([v[i] for v in found], k) for i, k in enumerate(kinds)], names=["plot", "pose", "angle", "scale", "tx", "ty", "inliers", "residual"])
 
-    dealt = corners.where("area IS NOT NULL").withColumn("part", F.pmod(F.hash("plot"), F.lit(parts))).select("area", "part", "plot", "at", "x", "y")
-    everywhere = stones.where("area IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("area", "part", "stone", "x", "y")
-    kind = corners.schema["plot"].dataType.simpleString()
     tasks = int(corners.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a few bytes may be much work, so small partitions aren't brought together
+    known = corners.where("area IS NOT NULL AND plot IS NOT NULL")
+    counts = known.rollup("area").count().orderBy(F.desc("count"), F.asc_nulls_first("area")).limit(2 * tasks + 1).collect()  # the first is the total
+    large = [r["area"] for r in counts[1:] if r["count"] * 2 * tasks > counts[0]["count"]]
+    split = F.col("area").isin(large)
+    dealt = known.withColumn("part", F.when(split, F.pmod(F.hash("plot"), F.lit(parts))).otherwise(0)).select("area", "part", "plot", "at", "x", "y")
+    everywhere = stones.where("area IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL").withColumn("part", F.explode(F.sequence(F.lit(0), F.when(split, F.lit(parts - 1)).otherwise(0)))).select("area", "part", "stone", "x", "y")
+    kind = corners.schema["plot"].dataType.simpleString()
     spread = lambda df: df.repartition(tasks, "area", "part").groupBy("area", "part")
-    return spread(dealt).cogroup(spread(everywhere)).applyInPandas(run, f"plot {kind}, pose bigint, angle double, scale double, tx double, ty double, inliers bigint, residual double")
+    return spread(dealt).cogroup(spread(everywhere)).applyInArrow(run, f"plot {kind}, pose bigint, angle double, scale double, tx double, ty double, inliers bigint, residual double")
 
 
 def supported_readings(readings: DataFrame, reach: float) -> DataFrame:
